@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spindrift.plans import documents, evaluation, events
+
 _FAMILIES = r"""
 cur AS (
   SELECT id, parent FROM (
@@ -26,4 +28,4 @@ ORACLE = {
     "p3_descendants": f"""WITH RECURSIVE {_FAMILIES}
 SELECT up.anc AS ancestor, up.id AS descendant, CAST(b.depth - a.depth AS INT) AS distance
 FROM up JOIN node a ON a.id = up.anc JOIN node b ON b.id = up.id WHERE b.depth >= 0""",
-}
+} | documents.ORACLE | events.ORACLE | evaluation.ORACLE

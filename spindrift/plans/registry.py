@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.operators import hierarchy
+from spindrift.plans import documents, evaluation, events
 from spindrift.runtime import table
 
 
@@ -26,4 +27,4 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchies(_sessions(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_families, p3_descendants)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_families, p3_descendants)} | documents.QUERIES | events.QUERIES | evaluation.QUERIES
