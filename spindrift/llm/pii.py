@@ -75,8 +75,6 @@ _ID_WORD = (
 )
 _CUE_ID = re.compile(rf"(?i:(?<!\w){_ID_WORD})(?:\s?(?:no\.?|nr\.?|n°|nº|n\.|number|num\.?|núm\.?|número|numero|#|is|ist|es|est|è|é))*\s*[:=#]?\s*(?P<id>[A-Z0-9](?:[A-Z0-9]|[ ./-](?=[A-Z]{{0,2}}\d)|[ -](?=[A-Z]\b)){{5,24}})(?!\w)")
 
-_CUE_QUICK = re.compile(r"(?i)ssn|sin\b|tin\b|nino\b|nir\b|dni\b|nie\b|nif\b|niss\b|cpf\b|bsn\b|social|insurance|ni n|tax|s[ée]curit|seguri|steuer|versicherung|codice|identi|cidad|fiscal n|n[°º] |contribuinte|n[úu]mero|pass|pasap|ausweis|card|\bid\b")
-
 _UP = r"[A-ZÀ-ÖØ-Þ]"
 _W = rf"{_UP}[\w'’.-]*"
 _CITY = rf"{_UP}[\w'’-]+(?: (?i:bay|city|beach|falls|springs|heights|park)\b| (?:sur|am|de|del|do|da|la|le|les|di) {_UP}[\w'’-]+)?"
@@ -98,8 +96,6 @@ ADDRESSES = (
     ),
 )
 
-_GERMAN = re.compile(r"(?i)(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|pfad|chaussee|promenade|markt)\s\d")
-
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _GAP = re.compile(r"[ \t ]+(?:[^\W\d_]\.?[ \t ]+)?\Z")
 _COMMA_GAP = re.compile(r",[ \t ]+\Z")
@@ -107,7 +103,8 @@ _COMMA_GAP = re.compile(r",[ \t ]+\Z")
 _TITLES = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Madam|Herrn?|Frau|Dr\. med|M|MM|Mme|Mlle|Monsieur|Madame|Mademoiselle|Me|Sr|Sra|Srta|Señora?|Señorita|Don|Doña|Sig|Sig\.ra|Signora?|Dott|Dott\.ssa|Avv|Ing|Senhora?|Exmo|Dra|Doutora?)"
 TITLED = re.compile(rf"(?<![\w.])(?:{_TITLES}\.?[  ]+)+(?P<family>{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*)")
 _TITLE_KEYS = {"".join(c for c in t.lower() if c.isalpha()) for t in re.sub(r"[()?]|:", "", _TITLES.replace("n?", "").replace("a?", "")).split("|")}
-_SHORT = {"m", "me", "don", "ing", "sir", "mm"}
+# Fixed value: titles after which an unknown family name is taken for one.
+_SURE = set("mr mrs ms mx dr prof herr herrn frau mme mlle sra srta sig dott avv signora señor señora señorita".split())
 FIRM = set("llp plc inc ltd llc gmbh ag sa sas sarl se co corp company holdings holding group partners works systems industries kg ohg spa srl lda sl valve programme program street road lane".split())
 INTRO = re.compile(
     r"(?:\b[Mm]y name is|\b[Oo]n behalf of|\bThanks,|\b[Ss]igned,|\b[Ss]incerely,|\b[Rr]egards,|\bName:|\bAttn:|\b[Pp]repared by|\b[Ii]nterviewer=|\breviewer \||\bcall was led by"
@@ -119,6 +116,96 @@ INTRO = re.compile(
 _MAIL_NAME = re.compile(r"([a-z]{3,})[.-]([a-z](?:[a-z'-]*[a-z]){1,})\Z")
 
 
+# What is searched first, in one pass; the patterns above are only tried around these.
+_ANCHORS = {
+    "mail": "@|＠|&#64;|&#x40;|&commat;|%40| at |(at)|[at]|{at}|<at>|( at |[ at |(@)|[@]".split("|"),
+    "en": "street|road|lane| row|court|drive|blvd|boulevard|avenue| ave|place|square|terrace| hill|close|crescent| way|gardens|grove| mews|parade|parkway|pkwy|highway| walk| rise| st| rd| ln| dr| ct| sq".split("|"),
+    "fr": "rue|avenue|av.|boulevard|bd |chemin|allée|quai|impasse|place|cours|passage|route|sentier|square|faubourg|voie".split("|"),
+    "es": "calle|c/|avenida|avda.|av.|plaza|paseo|camino|carrera|ronda|travesía|glorieta|rua|r.|travessa|praça|largo|estrada|alameda|via|viale|piazza|piazzale|corso|vicolo|strada|lungomare".split("|"),
+    "de": [f"{w} {k}" for w in "straße strasse str. weg gasse platz allee ufer damm ring steig pfad chaussee promenade markt".split() for k in range(10)],
+    "id": (
+        "ssn|itin|tin|nino|ni number|ni no|nir|dni|nie|nif|niss|cpf|bsn|sin|social security|social-security|insurance n|tax id|tax number|tax no|taxid|taxpayer|sécurité sociale|passeport|passport|pasaporte|passaport|pass|steuer|sozialversicherung|versicherung"
+        "|codice fiscale|identità|identité|identidad|cidadão|contribuinte|fiscal|seguridad social|segurança social|ausweis|identity|id card|id number|id no|national id"
+    ).split("|"),
+    "title": "mr|mrs|ms|miss|mx|dr|prof|sir|madam|herr|frau|m.|m |mm|mme|mlle|monsieur|madame|mademoiselle|me |me.|sr|sra|srta|señor|don |doña|sig|dott|avv|ing.|ing |senhor|exmo|dra|doutor".split("|"),
+    "intro": (
+        "my name is|on behalf of|thanks,|signed,|sincerely,|regards,|name:|attn:|prepared by|interviewer=|reviewer||call was led by|ich bin|mein name ist|erstellt von|z. hd.|z.hd.|gespräch führte|je suis|je m'appelle|je m’appelle|rédigé par|attention de|été mené par"
+        "|soy|me llamo|mi nombre es|preparado por|la atención de|dirigió|mi chiamo|sono|redatto da|attenzione di|guidata da|chamo-me|meu nome é|sou|elaborado por|atenção de|cuidado de|conduzida por|a/c"
+    ).replace("reviewer||", "reviewer |¦|").split("|"),
+    "phone": "tel|tél|phone|mobil|handy|fax|cell|whatsapp|móvil|portable".split("|"),
+}
+_ANCHORS["intro"] = [w for w in _ANCHORS["intro"] if w not in ("reviewer ", "¦")] + ["reviewer |"]
+#: How far before and behind an anchor its pattern can reach.
+_REACH = {"mail": (90, 130), "en": (90, 110), "fr": (36, 140), "es": (16, 160), "de": (70, 90), "id": (40, 90), "title": (24, 70), "intro": (32, 110), "phone": (16, 50)}
+_RUN = re.compile(r"\d[\d ().,/A-Z\-\u00a0\u202f]{4,}")
+
+
+def _search():
+    """A function giving (position, kinds) of all anchors in a lower-cased text."""
+    kinds: dict[str, set[str]] = defaultdict(set)
+    for kind, words in _ANCHORS.items():
+        for w in words:
+            kinds[w].add(kind)
+    try:
+        import ahocorasick
+    except ImportError:
+        pattern = re.compile("(?=(" + "|".join(map(re.escape, sorted(kinds, key=len, reverse=True))) + "))")
+
+        def slow(text: str) -> Iterator[tuple[int, tuple[str, ...]]]:
+            for m in pattern.finditer(text):
+                hit = m.group(1)
+                yield m.end() + len(hit) - 1, tuple({k for w, ks in kinds.items() if hit.startswith(w) for k in ks})
+
+        return slow
+    tree = ahocorasick.Automaton()
+    for w, ks in kinds.items():
+        tree.add_word(w, tuple(ks))
+    tree.make_automaton()
+    return tree.iter
+
+
+_iter_anchors = None
+
+
+def anchors(text: str) -> dict[str, list[tuple[int, int]]]:
+    """For each kind of anchor the disjoint spans of the text in which its pattern can match."""
+    global _iter_anchors
+    if _iter_anchors is None:
+        _iter_anchors = _search()
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for end, kinds in _iter_anchors(low):
+        for k in kinds:
+            before, behind = _REACH[k]
+            spans = out[k]
+            a, b = max(0, end - before), end + behind
+            if spans and a <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+    return out
+
+
+def _around(pattern: re.Pattern, text: str, spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for a, b in spans:
+        yield from pattern.finditer(text, a, min(b, len(text)))
+
+
+def number_spans(text: str) -> list[tuple[int, int]]:
+    """Spans around runs with six or more digits."""
+    out: list[tuple[int, int]] = []
+    for m in _RUN.finditer(text):
+        if sum(map(str.isdigit, m.group(0))) >= 6:
+            a, b = max(0, m.start() - 9), m.end() + 16
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
 def folded(word: str) -> str:
     """A name as a lexicon key: letters only, without accents, in lower case."""
     plain = unicodedata.normalize("NFKD", word.casefold())
@@ -156,10 +243,8 @@ def dni_letter(number: str) -> str:
     return _DNI[int(number) % 23]
 
 
-def emails(text: str) -> Iterator[tuple[int, int, str]]:
-    if "@" not in text and "64" not in text and "40" not in text and "＠" not in text and not re.search(r"(?i)\bat\b|commat", text):
-        return
-    for m in EMAIL.finditer(text):
+def emails(text: str, at: dict) -> Iterator[tuple[int, int, str]]:
+    for m in _around(EMAIL, text, at["mail"]):
         top, s = m.group("top"), m.group(0)
         if top.lower() in _FILES:
             continue
@@ -168,18 +253,18 @@ def emails(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), m.group("local")
 
 
-def phones(text: str) -> Iterator[tuple[int, int]]:
-    for m in PHONE.finditer(text):
+def phones(text: str, at: dict, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    for m in _around(PHONE, text, numbers):
         n = len(_digits(m.group(0)))
         if 8 <= n <= 20 and not (m.start() >= 1 and text[m.start() - 1] == "(" and text[m.end() : m.end() + 7] == " shares"):
             yield m.start(), m.end()
-    for m in _CUE_PHONE.finditer(text):
+    for m in _around(_CUE_PHONE, text, at["phone"]):
         if 7 <= len(_digits(m.group(1))) <= 15:
             yield m.start(1), m.end(1)
 
 
-def id_numbers(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in ID_PLAIN.finditer(text):
+def id_numbers(text: str, at: dict, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    for m in _around(ID_PLAIN, text, numbers):
         how, s = m.lastgroup, m.group(0)
         if how == "ssn" and not valid_ssn(s):
             continue
@@ -188,33 +273,30 @@ def id_numbers(text: str) -> Iterator[tuple[int, int, str]]:
         if how == "nie" and dni_letter(str("XYZ".index(s[0])) + _digits(s)) != s[-1]:
             continue
         yield m.start(), m.end(), how
-    for m in _CUE_ID.finditer(text) if _CUE_QUICK.search(text) else ():
-        s = m.group("id")
-        if sum(c.isdigit() for c in s) >= 6:
+    for m in _around(_CUE_ID, text, at["id"]):
+        if sum(c.isdigit() for c in m.group("id")) >= 6:
             yield m.start("id"), m.end("id"), "cued"
 
 
-def addresses(text: str) -> Iterator[tuple[int, int]]:
-    for k, p in enumerate(ADDRESSES):
-        if k == 3 and not _GERMAN.search(text):
-            continue
-        for m in p.finditer(text):
+def addresses(text: str, at: dict) -> Iterator[tuple[int, int]]:
+    for kind, p in zip(("en", "fr", "es", "de"), ADDRESSES):
+        for m in _around(p, text, at[kind]):
             yield m.start(), m.end()
 
 
 # -- names -------------------------------------------------------------------------------------------------------------
 
 
-def seeds(text: str) -> Iterator[tuple[str, str]]:
+def seeds(text: str, at: dict) -> Iterator[tuple[str, str]]:
     """(role, key) of names that the text itself shows to be names."""
-    for _, _, local in emails(text):
+    for _, _, local in emails(text, at):
         m = _MAIL_NAME.match(re.sub(r"\+.*", "", local.lower()))
         if m:
             yield "given", folded(m.group(1))
             yield "family", folded(m.group(2))
-    for m in TITLED.finditer(text):
+    for m in _around(TITLED, text, at["title"]):
         yield "family", _key(m.group("family"))
-    for m in INTRO.finditer(text):
+    for m in _around(INTRO, text, at["intro"]):
         a, b = _key(m.group("a")), _key(m.group("b"))
         if a in _TITLE_KEYS or b in _TITLE_KEYS:
             continue
@@ -223,9 +305,24 @@ def seeds(text: str) -> Iterator[tuple[str, str]]:
         yield "family", family
 
 
-def names(text: str, given: set | dict, family: set | dict, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _known_words(text: str, given: set, family: set) -> list[tuple[int, int, str]]:
+    """Places of the lexicon's words, if the text has both a given and a family name."""
+    known = {w: k for w in set(WORD.findall(text)) if (k := _key(w)) in given or k in family}
+    if not known or not any(k in given for k in known.values()) or not any(k in family for k in known.values()):
+        return []
+    pattern = re.compile("|".join(map(re.escape, sorted(known, key=len, reverse=True))))
+    out = []
+    for m in pattern.finditer(text):
+        s, e = m.span()
+        if (s and (text[s - 1].isalpha() or (text[s - 1] in "'’-" and s > 1 and text[s - 2].isalpha()))) or (e < len(text) and (text[e].isalpha() or (text[e] in "'’-" and e + 1 < len(text) and text[e + 1].isalpha()))):
+            continue  # a part of a longer word
+        out.append((s, e, known[m.group(0)]))
+    return out
+
+
+def names(text: str, given: set, family: set, taken: list[tuple[int, int]], at: dict) -> Iterator[tuple[int, int]]:
     """Spans of names outside `taken` spans: two adjacent words of the lexicon in any order and case, with or without a comma or an initial between them and a further family name after them; titles with a family name; self-introductions."""
-    words = [(m.start(), m.end(), k) for m in WORD.finditer(text) if (k := _key(m.group(0))) in given or k in family]
+    words = _known_words(text, given, family)
     i = 0
     while i + 1 < len(words):
         s, e, k = words[i]
@@ -241,12 +338,12 @@ def names(text: str, given: set | dict, family: set | dict, taken: list[tuple[in
             i = j
         else:
             i += 1
-    for m in TITLED.finditer(text):
+    for m in _around(TITLED, text, at["title"]):
         k, title = _key(m.group("family")), m.group(0).split()[0].rstrip(".").lower()
-        if k in family or (title not in _SHORT and len(k) > 2 and "." in m.group(0)[:-len(m.group("family"))] or title in ("mr", "mrs", "ms", "herr", "frau", "mme", "signora", "señor", "señora", "dr")):
+        if k in family or title in _SURE:
             if not _of_firm(text, m.end()):
                 yield m.start(), m.end()
-    for m in INTRO.finditer(text):
+    for m in _around(INTRO, text, at["intro"]):
         a, b = _key(m.group("a")), _key(m.group("b"))
         if (a in family or a in given or b in family or b in given) and not _of_firm(text, m.end()):
             yield m.start("a"), m.end("b")
@@ -268,23 +365,24 @@ _BORN = re.compile(r"(?i)\b(?:born(?: on)?|date of birth|dob|geboren am|né(?:e)
 
 def find(text: str, given: set | dict, family: set | dict, birth_dates: bool = False) -> list[tuple[int, int, str, str]]:
     """Disjoint mentions (start, end, kind, form) in order; where finds overlap, mailboxes win over streets, numbers of identity, phones and names."""
-    got: list[tuple[int, int, str, str]] = [(s, e, "email", "") for s, e, _ in emails(text)]
+    at = anchors(text)
+    numbers = number_spans(text)
+    got: list[tuple[int, int, str, str]] = [(s, e, "email", "") for s, e, _ in emails(text, at)]
 
     def add(s: int, e: int, kind: str, form: str = "") -> None:
         if not any(a < e and s < b for a, b, _, _ in got):
             got.append((s, e, kind, form))
 
-    if re.search(r"\d", text):
-        for s, e in addresses(text):
-            add(s, e, "address")
-        for s, e, form in id_numbers(text):
-            add(s, e, "id_number", form)
-        for s, e in phones(text):
-            add(s, e, "phone")
-        if birth_dates:
-            for m in _BORN.finditer(text):
-                add(m.start(1), m.end(3), "birth_date")
-    for s, e in names(text, given, family, [(a, b) for a, b, _, _ in got]):
+    for s, e in addresses(text, at):
+        add(s, e, "address")
+    for s, e, form in id_numbers(text, at, numbers):
+        add(s, e, "id_number", form)
+    for s, e in phones(text, at, numbers):
+        add(s, e, "phone")
+    if birth_dates:
+        for m in _BORN.finditer(text):
+            add(m.start(1), m.end(3), "birth_date")
+    for s, e in names(text, given, family, [(a, b) for a, b, _, _ in got], at):
         add(s, e, "name")
     return sorted(got)
 
@@ -334,17 +432,22 @@ def name_lexicon(records: DataFrame, text: str = "text", min_support: int = MIN_
     def scan(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             roles: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            caps, all_ = Counter(), Counter()
+            words: Counter = Counter()
             for t in frame[text]:
                 if not t:
                     continue
-                for role, k in set(seeds(t)):
+                at = anchors(t)
+                for role, k in set(seeds(t, at)):
                     roles[k][role == "family"] += 1
-                for w, n in Counter(WORD.findall(EMAIL.sub(" ", t))).items():
-                    k = _key(w)
-                    all_[k] += n
-                    if w[0].isupper():
-                        caps[k] += n
+                words.update(WORD.findall(t))
+                for s, e, _ in emails(t, at):
+                    words.subtract(WORD.findall(t[s:e]))
+            caps, all_ = Counter(), Counter()
+            for w, n in words.items():
+                k = _key(w)
+                all_[k] += n
+                if w[0].isupper():
+                    caps[k] += n
             yield pd.DataFrame([(k, *roles.get(k, (0, 0)), caps[k], all_[k]) for k in all_.keys() | roles.keys()], columns=["key", "g", "f", "caps", "n"])
 
     parts = spread(records.select(text)).mapInPandas(scan, "key string, g long, f long, caps long, n long")
