@@ -127,5 +127,11 @@ def scrubbed(text: Column, patterns: list[str], token: str = "[REDACTED]") -> Co
     return text
 
 
+def tenths(n: Column, unit: int) -> Column:
+    """A whole number in units with one decimal, half a tenth rounded up; in whole numbers throughout, so that no binary fraction decides."""
+    t = F.floor((n.cast("long") * 10 + unit // 2) / unit)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def size_label(n: Column) -> Column:
-    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("B"))).when(n < 1_000_000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k"))).otherwise(F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M")))
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("B"))).when(n < 1_000_000, F.concat(tenths(n, 1000), F.lit("k"))).otherwise(F.concat(tenths(n, 1_000_000), F.lit("M")))

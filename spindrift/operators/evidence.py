@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import numeric_claims
+from spindrift.functions.text import numeric_claims, tenths
 from spindrift.operators.sessions import log
 
 #: Factors under which a stated figure may differ from a cited one.
@@ -41,14 +41,6 @@ def cache_stats(events: DataFrame) -> DataFrame:
     return keys.groupBy("session_id").agg((F.sum("n") - F.count("*")).alias("hits"), F.count("*").alias("misses"), F.count("*").alias("size"))
 
 
-def runs(cases: DataFrame, events: DataFrame) -> DataFrame:
-    """(case_id, session_id): a run for each case. Cases and sessions are put in order and paired by it; one table of cases is a suite and small."""
-    one = F.row_number().over(Window.orderBy("case_id"))
-    numbered = cases.select("case_id", one.alias("k"))
-    first = log(events).select("session_id").distinct().orderBy("session_id").limit(100_000)
-    return numbered.join(first.select("session_id", F.row_number().over(Window.orderBy("session_id")).alias("k")), "k").select("case_id", "session_id")
-
-
 def _verdict(check: str, status: Column, detail: Column) -> list[Column]:
     return ["case_id", F.lit(check).alias("check"), status.alias("status"), F.coalesce(detail, F.lit("")).alias("detail")]
 
@@ -133,7 +125,7 @@ def latency_cost(cases: DataFrame, measured: DataFrame) -> DataFrame:
     rows = cases.select("case_id", "max_tokens", "max_seconds").join(measured, "case_id")
     tokens = F.when(F.coalesce("total", F.lit(0)) > 0, F.col("total")).otherwise(F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0)))
     over, late = tokens > F.col("max_tokens"), F.col("seconds") > F.col("max_seconds")
-    label = F.when(tokens >= 1000, F.format_string("%.1fk tok", tokens / 1000)).otherwise(F.format_string("%d tok", tokens))
+    label = F.when(tokens >= 1000, F.concat(tenths(tokens, 1000), F.lit("k tok"))).otherwise(F.format_string("%d tok", tokens))
     detail = F.when(over, F.format_string("%d tok exceeds max_tokens %d", tokens, F.col("max_tokens"))).when(late, F.format_string("%.1fs exceeds max_seconds %.1f", "seconds", "max_seconds")).otherwise(F.concat(label, F.lit(" · "), F.format_string("%.1fs", "seconds")))
     return rows.select(_verdict("latency_cost", F.when(F.coalesce(over, F.lit(False)) | F.coalesce(late, F.lit(False)), "fail").otherwise("pass"), detail))
 

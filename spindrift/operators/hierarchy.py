@@ -11,7 +11,7 @@ rows (ancestor, descendant, distance). A parent with a third of all rows as chil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.runtime import Workspace, trimmed
@@ -63,6 +63,7 @@ def hierarchies(links: DataFrame, paths: bool = True, sizes: bool = True) -> Dat
         F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("parent"),
         F.lit(1).cast("int").alias("w"),
         F.lit(1).cast("long").alias("acc"),
+        F.lit(0).cast("long").alias("carry"),
         F.when(F.col("parent") == F.col("id"), F.col("id")).alias("cycle"),
         none.cast("string").alias("lo"),
         F.array().cast("array<string>").alias("seg"),
@@ -76,18 +77,20 @@ def hierarchies(links: DataFrame, paths: bool = True, sizes: bool = True) -> Dat
         a1 = alive.join(kids, "id", "left").withColumn("leaf", F.col("kids").isNull() & F.col("parent").isNotNull()).drop("kids")
         stays = ~F.col("leaf")
         sums = a1.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(
-            F.count_if(stays).alias("left"), F.max(F.when(stays, F.col("id"))).alias("kid"), F.sum(F.when(F.col("leaf"), F.col("acc"))).alias("add")
+            F.count_if(stays).alias("left"), F.max(F.when(stays, F.struct("id", "carry"))).alias("stay"), F.sum(F.when(F.col("leaf"), F.col("acc") + F.col("carry"))).alias("add")
         )
         me, kid, up = (_priority(F.col(c), k) for c in ("id", "kid", "parent"))
         out = stays & F.col("parent").isNotNull() & (F.col("left") == 1) & (F.col("kid") != F.col("id")) & (me < kid) & (me < up)
         a2 = (
             a1.join(sums, "id", "left")
+            .withColumn("kid", F.col("stay.id"))
+            .withColumn("between", F.col("stay.carry"))
             .withColumn("acc", F.col("acc") + F.coalesce("add", F.lit(0)))
             .withColumn("out", F.coalesce(out, F.lit(False)))
-            .drop("left", "add")
+            .drop("left", "add", "stay")
         ).persist()
         note = a2.filter("out").select(
-            F.col("kid").alias("id"), F.col("parent").alias("np"), F.col("w").alias("nw"), _least(F.col("lo"), F.col("id")).alias("nlo"),
+            F.col("kid").alias("id"), F.col("parent").alias("np"), F.col("w").alias("nw"), (F.col("acc") + F.col("carry")).alias("nc"), _least(F.col("lo"), F.col("id")).alias("nlo"),
             F.concat("seg", F.array("id")).alias("nseg") if paths else F.col("seg").alias("nseg"),
         )
         got = F.col("np").isNotNull()
@@ -95,11 +98,12 @@ def hierarchies(links: DataFrame, paths: bool = True, sizes: bool = True) -> Dat
             a2.join(note, "id", "left")
             .withColumn("parent", F.when(got, F.col("np")).otherwise(F.col("parent")))
             .withColumn("w", F.when(got, F.col("w") + F.col("nw")).otherwise(F.col("w")))
+            .withColumn("carry", F.when(got, F.col("carry") + F.col("nc")).otherwise(F.col("carry")))
             .withColumn("lo", F.when(got, _least(F.col("lo"), F.col("nlo"))).otherwise(F.col("lo")))
             .withColumn("seg", F.when(got, F.concat("nseg", "seg")).otherwise(F.col("seg")))
             .withColumn("cycle", F.when(F.col("parent") == F.col("id"), _least(F.col("lo"), F.col("id"))).otherwise(F.col("cycle")))
             .withColumn("parent", F.when(F.col("parent") != F.col("id"), F.col("parent")))
-            .drop("np", "nw", "nlo", "nseg")
+            .drop("np", "nw", "nc", "nlo", "nseg")
         )
         step, _ = ws.keep(a3)
         a2.unpersist()
@@ -120,7 +124,7 @@ def hierarchies(links: DataFrame, paths: bool = True, sizes: bool = True) -> Dat
                 size = none.cast("long")
             elif which == "out":  # what its one child holds, which outlived it
                 gone = gone.join(done.select(F.col("id").alias("kid"), F.col("subtree").alias("below")), "kid", "left")
-                size = F.col("acc") + F.col("below")
+                size = F.col("acc") + F.col("between") + F.col("below")
             else:
                 size = F.col("acc")
             own = F.concat("p", "seg", F.array("id")) if paths else F.col("p")
@@ -143,6 +147,5 @@ def descendants(nodes: DataFrame) -> DataFrame:
 
 
 def fork_forest(nodes: DataFrame) -> DataFrame:
-    """Sibling order of a forest: rank of each node among its parent's children by (created, id)."""
-    w = Window.partitionBy("parent").orderBy("created", "id")
-    return nodes.withColumn("sibling", F.row_number().over(w))
+    """nodes with `sibling`, the key that puts the children of a parent, and the roots, in order: created and then id. A key instead of a rank, as one parent may have a third of all rows as children."""
+    return nodes.withColumn("sibling", F.concat_ws(" ", F.coalesce("created", F.lit("")), "id"))

@@ -72,8 +72,9 @@ def paired_calls(events: DataFrame) -> DataFrame:
 
 def call_ordinals(events: DataFrame) -> DataFrame:
     """How many identical calls (name, arguments) of the session each call comes after: the recorded result it takes."""
-    w = Window.partitionBy("session_id", "name", "args").orderBy("seq")
-    return log(events).filter("type = 'tool_call'").select("session_id", "seq", "name", F.row_number().over(w).alias("ordinal"))
+    key = F.sha2(F.to_json(F.struct("session_id", "name", "args")), 256)
+    calls = log(events).filter("type = 'tool_call'").select("session_id", "seq", "name", key.alias("_call"))
+    return running(calls, "_call", "seq", {"ordinal": F.lit(1)}).select("session_id", "seq", "name", "ordinal")
 
 
 def last_rows(rows: DataFrame, n: int, key: str = "session_id", order: str = "seq") -> DataFrame:

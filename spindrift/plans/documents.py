@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import text as X
 from spindrift.functions.decoding import decoded
-from spindrift.operators import files, ingestion, search
+from spindrift.operators import artifacts, files, ingestion, search
 from spindrift.runtime import spread, table
 
 QUERIES: dict = {}
@@ -241,13 +241,13 @@ def loader_routing(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.routed(table(spark, d, "loaded_documents").select("load_id", "source"))
 
 
-@query("SELECT load_id, upper(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 1)) AS ticker, regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 2) AS year FROM loaded_documents")
+@query("SELECT load_id, nullif(upper(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 1)), '') AS ticker, nullif(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 2), '') AS year FROM loaded_documents")
 def source_identity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "loaded_documents").select("load_id", *ingestion.identity(F.col("source")))
 
 
 @query("""SELECT load_id, section, epoch_us(fetched_at) AS fetched_us, ticker, year FROM (SELECT load_id, section, fetched_at, upper(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 1)) AS ticker, regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 2) AS year,
-  row_number() OVER (PARTITION BY upper(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 1)), regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 2), section ORDER BY fetched_at, load_id) AS k FROM loaded_documents WHERE coalesce(status_code, 200) = 200) WHERE k = 1""")
+  row_number() OVER (PARTITION BY upper(regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 1)), regexp_extract(source, '([A-Za-z]+)/((?:19|20)\\d\\d)/[^/]+$', 2), section ORDER BY fetched_at, load_id) AS k FROM loaded_documents WHERE coalesce(status_code, 200) = 200 AND source IS NOT NULL) WHERE k = 1""")
 def first_filing(spark: SparkSession, d: str) -> DataFrame:
     first = ingestion.newest_per_entity(table(spark, d, "loaded_documents"))
     return first.select("load_id", "section", F.unix_micros("fetched_at").alias("fetched_us"), "ticker", "year")
@@ -266,7 +266,7 @@ def source_meta(spark: SparkSession, d: str) -> DataFrame:
     added = F.map_filter(F.create_map(F.lit("format"), F.col("format")), lambda k, v: v.isNotNull())
     merged = F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(added), k)), added)
     ordered = F.struct(*(F.element_at(merged, k).alias(k) for k in ("filename", "format", "loader")))
-    return table(spark, d, "loaded_documents").select("load_id", F.to_json(ordered).alias("meta"))
+    return table(spark, d, "loaded_documents").select("load_id", F.to_json(ordered, {"ignoreNullFields": "false"}).alias("meta"))
 
 
 _CLAIMS = r"""
@@ -404,7 +404,7 @@ def fragments_per_section(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.ordered_fragments(docs, ["entity_id", "section"], "doc_id", "text").select("entity_id", "section", "fragments", F.md5("joined").alias("digest"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1000 THEN n || 'B' WHEN n < 1000000 THEN printf('%.1fk', n / 1000) ELSE printf('%.1fM', n / 1000000) END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, CASE WHEN n < 1000 THEN n || 'B' WHEN n < 1000000 THEN ((n * 10 + 500) // 1000) // 10 || '.' || ((n * 10 + 500) // 1000) % 10 || 'k' ELSE ((n * 10 + 500000) // 1000000) // 10 || '.' || ((n * 10 + 500000) // 1000000) % 10 || 'M' END AS size FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)")
 def size_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", X.size_label(F.octet_length("text")).alias("size"))
 
@@ -418,3 +418,14 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def model_boundary(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.extracted(table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, 'raw/' || entity_id || '/' || version || '.txt' AS path FROM documents WHERE entity_id IS NOT NULL AND version IS NOT NULL")
+def template_paths(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").filter("entity_id is not null and version is not null")
+    return docs.select("doc_id", artifacts.template_path("raw/{entity_id}/{version}.txt", {"entity_id": F.col("entity_id"), "version": F.col("version")}).alias("path"))
+
+
+@query()
+def map_reduce(spark: SparkSession, d: str) -> DataFrame:
+    return artifacts.map_reduced(table(spark, d, "documents"), ingestion.stub_adapter, max_chars=2000)

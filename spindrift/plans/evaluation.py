@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import CLAIM
 from spindrift.operators import catalog, evidence, sessions
 from spindrift.plans.events import LOG
 from spindrift.runtime import table
@@ -42,7 +41,11 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.runs(_cases(spark, d), _events(spark, d))
+    """(case_id, session_id): the tables hold no runs of the cases, so the k-th case is paired with the k-th session."""
+    cases = _cases(spark, d).select("case_id")
+    first = sessions.log(_events(spark, d)).select("session_id").distinct().orderBy("session_id").limit(cases.count())
+    k = lambda c: F.row_number().over(Window.orderBy(c)).alias("k")  # noqa: E731  # of no more rows than cases
+    return cases.select("case_id", k("case_id")).join(first.select("session_id", k("session_id")), "k").select("case_id", "session_id")
 
 
 @query(f"SELECT session_id, seq, CASE WHEN {_CANON.format('locator')} = '' THEN source ELSE source || '#' || {_CANON.format('locator')} END AS cite FROM log WHERE type = 'citation'")
@@ -89,7 +92,7 @@ _FORBIDDEN = """(SELECT case_id, 'forbidden_phrases' AS "check", CASE WHEN NOT a
 FROM (SELECT case_id, answered, list_filter(forbidden_phrases, lambda p: contains(lower(coalesce(answer, '')), lower(p))) AS hits FROM answers JOIN eval_cases USING (case_id) WHERE len(forbidden_phrases) > 0))"""
 _MEASURED = "(SELECT case_id, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(total)::BIGINT AS total, round(count(*) * 1.5::DOUBLE, 1) AS seconds FROM (SELECT runs.case_id, coalesce(usage.prompt, 0) AS prompt, coalesce(usage.completion, 0) AS completion, coalesce(usage.total, 0) AS total FROM runs JOIN model_actions a ON a.session_id = runs.session_id) GROUP BY 1)"
 _LATENCY = f"""(SELECT case_id, 'latency_cost' AS "check", CASE WHEN coalesce(t > max_tokens, false) OR coalesce(seconds > max_seconds, false) THEN 'fail' ELSE 'pass' END AS status,
-CASE WHEN t > max_tokens THEN t || ' tok exceeds max_tokens ' || max_tokens WHEN seconds > max_seconds THEN printf('%.1fs exceeds max_seconds %.1f', seconds, max_seconds) ELSE CASE WHEN t >= 1000 THEN printf('%.1fk tok', t / 1000) ELSE t || ' tok' END || ' · ' || printf('%.1fs', seconds) END AS detail
+CASE WHEN t > max_tokens THEN t || ' tok exceeds max_tokens ' || max_tokens WHEN seconds > max_seconds THEN printf('%.1fs exceeds max_seconds %.1f', seconds, max_seconds) ELSE CASE WHEN t >= 1000 THEN ((t * 10 + 500) // 1000) // 10 || '.' || ((t * 10 + 500) // 1000) % 10 || 'k tok' ELSE t || ' tok' END || ' · ' || printf('%.1fs', seconds) END AS detail
 FROM (SELECT case_id, max_tokens, max_seconds, seconds, CASE WHEN total > 0 THEN total ELSE prompt + completion END AS t FROM eval_cases JOIN {_MEASURED} USING (case_id)))"""
 _ALL = " UNION ALL ".join(f"SELECT * FROM {x}" for x in (_FORBIDDEN, _EXPECTED, _FAITHFUL, _COVERAGE, _REPEATED, _ENTITY, _LATENCY))
 CHECKS = ["forbidden_phrases", "expected_clarification", "faithfulness", "coverage", "repeated_calls", "entity_resolution", "latency_cost"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import hierarchy, sessions, truncation
+from spindrift.operators import artifacts, hierarchy, sessions, truncation
 from spindrift.runtime import table
 
 QUERIES: dict = {}
@@ -58,7 +58,7 @@ def call_result_pairing(spark: SparkSession, d: str) -> DataFrame:
     return sessions.paired_calls(_events(spark, d)).select("session_id", "call_id", "seq", "name", "result_seq")
 
 
-@query("SELECT session_id, seq, name, row_number() OVER (PARTITION BY session_id, name, args ORDER BY seq)::INT AS ordinal FROM log WHERE type = 'tool_call'")
+@query("SELECT session_id, seq, name, row_number() OVER (PARTITION BY session_id, name, args ORDER BY seq) AS ordinal FROM log WHERE type = 'tool_call'")
 def repeated_call_results(spark: SparkSession, d: str) -> DataFrame:
     return sessions.call_ordinals(_events(spark, d))
 
@@ -190,3 +190,29 @@ def fork_tree(spark: SparkSession, d: str) -> DataFrame:
     nodes = hierarchy.hierarchies(hierarchy.known_links(hierarchy.current_rows(meta)), paths=False)
     created = meta.groupBy(hierarchy.trimmed(F.col("session_id")).alias("id")).agg(F.min("created").alias("created"))
     return hierarchy.fork_forest(nodes.join(created, "id")).select("id", "parent", "root", "depth", "subtree", "sibling")
+
+
+@query("""SELECT session_id, seq, CASE WHEN NOT json_valid(result) THEN 'compacted-result (opaque)' ELSE 'compacted-result ' || CASE json_type(result) WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str' ELSE 'int' END END AS stub FROM log WHERE type = 'tool_result' AND result IS NOT NULL""")
+def compacted_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = sessions.log(_events(spark, d)).filter("type = 'tool_result' and result is not null")
+    return rows.select("session_id", "seq", artifacts.compacted_stub(F.col("result")).alias("stub"))
+
+
+@query("""SELECT session_id, seq, CASE WHEN s IS NULL THEN CASE WHEN truncated THEN 'truncated' ELSE 'ok' END ELSE CASE WHEN s < 1024 THEN s || ' B' ELSE printf('%.1f KB', s / 1024) END || CASE WHEN truncated THEN ' · truncated' ELSE '' END END AS line
+FROM (SELECT *, octet_length(encode(json_extract_string(result, '$.content'))) AS s FROM log WHERE type = 'tool_result')""")
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = sessions.log(_events(spark, d)).filter("type = 'tool_result'")
+    return rows.select("session_id", "seq", artifacts.result_line(F.col("result"), F.col("truncated")).alias("line"))
+
+
+#: What a tool call's arguments may hold.
+CALL_ARGS = artifacts.Payload("args.json", {"limit": "int", "path": "str", "query": "str"}, ("limit",))
+
+
+@query("""SELECT session_id, seq, concat_ws('; ', CASE WHEN NOT list_contains(json_keys(args), 'limit') THEN 'args.json misses limit' END,
+  CASE WHEN json_type(args, '$.limit') NOT IN ('UBIGINT', 'BIGINT', 'BOOLEAN', 'NULL') THEN 'args.json field limit: expected integer, got ' || lower(replace(replace(json_type(args, '$.limit'), 'VARCHAR', 'STRING'), 'DOUBLE', 'DECIMAL')) END,
+  CASE WHEN json_type(args, '$.path') NOT IN ('VARCHAR', 'NULL') THEN 'args.json field path: expected string' END, CASE WHEN json_type(args, '$.query') NOT IN ('VARCHAR', 'NULL') THEN 'args.json field query: expected string' END) AS errors
+FROM log WHERE type = 'tool_call' AND args IS NOT NULL""")
+def validate_payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = sessions.log(_events(spark, d)).filter("type = 'tool_call' and args is not null")
+    return rows.select("session_id", "seq", F.array_join(artifacts.payload_errors(F.col("args"), CALL_ARGS), "; ").alias("errors"))
