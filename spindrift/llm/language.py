@@ -99,15 +99,18 @@ def suffix_automaton(data: bytes) -> array:
 
 def phrases(step: array, data: bytes) -> int:
     """The number of phrases of a greedy parse of data into longest matches; a symbol the automaton lacks is a phrase."""
-    n, state = 1, 0
+    n, state = 0, 0
     for c in data:
         to = step[state + c]
         if to:
             state = to
         else:
-            n += 1
+            if state:
+                n += 1
             state = step[c]
-    return n if data else 0
+            if not state:
+                n += 1
+    return n + (state != 0)
 
 
 _TABLE = re.compile(r"^\s*(?:\||[-+=|:\s]{3,}$)|\|\s*$")

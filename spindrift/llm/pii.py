@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.feistel import permute_date, permute_digits, permute_in_place, permute_valid
-from spindrift.runtime import spread
+from spindrift.runtime import Workspace, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Names seen in so many records at least enter the lexicon.
@@ -471,7 +471,7 @@ def _apply(records: DataFrame, lexicon: DataFrame, work, schema: str, text: str,
         return spread(records).mapInPandas(run, schema)
 
     key = F.udf(folded)  # only here, once per distinct word
-    at = records.withColumn("_row", F.monotonically_increasing_id())
+    at, _ = Workspace(spark, "pii").keep(records.withColumn("_row", F.monotonically_increasing_id()))  # once, as both sides of the join need the same numbers
     words = at.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*)"), 1))).alias("w")).withColumn("key", key("w"))
     known = words.join(lexicon, "key").groupBy("_row").agg(F.collect_set(F.when(F.col("is_given"), F.col("key"))).alias("_given"), F.collect_set(F.when(F.col("is_family"), F.col("key"))).alias("_family"))
     joined = at.join(known, "_row", "left").drop("_row")
