@@ -14,8 +14,8 @@ import unicodedata
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,24 +47,28 @@ def label_of(label: str | None) -> str | None:
     return _SPELLED.get(key) or _SPELLED.get(key.split("-")[0] if re.fullmatch(r"[a-z]{2,3}-[a-z0-9]{2,4}(-[a-z0-9]+)*", key) else "")
 
 
-_SPECIAL = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"}
+_SPECIAL = {"æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "'": "", "’": ""}
 
 
-@lru_cache(maxsize=4096)
-def _symbol(c: str) -> bytes:
-    out = []
-    for x in unicodedata.normalize("NFKD", _SPECIAL.get(c, c)):
-        if "a" <= x <= "z":
-            out.append(ord(x) - 96)
-        elif not unicodedata.combining(x) and x not in "'’":
-            out.append(0)
-    return bytes(out)
+class _Plain(dict):
+    """Code point to what stands for it: letters without accents, a space for the rest. Filled as characters turn up."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = "".join(x if "a" <= x <= "z" else "" if unicodedata.combining(x) else " " for x in unicodedata.normalize("NFKD", _SPECIAL.get(c, c))) if c not in "'’" else ""
+        self[code] = out
+        return out
+
+
+_PLAIN = _Plain()
+_CODES = bytes(k - 96 if 97 <= k <= 122 else 0 for k in range(256))
+_GAPS = re.compile(rb"\x00+")
 
 
 def symbols(text: str) -> bytes:
     """Letters a to z without case and accents as 1 to 26, runs of anything else as one 0."""
-    raw = b"".join(map(_symbol, text.casefold()))
-    return re.sub(rb"\x00+", b"\x00", raw).strip(b"\x00")
+    raw = text.casefold().translate(_PLAIN).encode("ascii").translate(_CODES)
+    return _GAPS.sub(b"\x00", raw).strip(b"\x00")
 
 
 def suffix_automaton(data: bytes) -> array:
@@ -113,8 +117,61 @@ def phrases(step: array, data: bytes) -> int:
     return n + (state != 0)
 
 
-_TABLE = re.compile(r"^\s*(?:\||[-+=|:\s]{3,}$)|\|\s*$")
-_CODE = re.compile(r"^\s*(?:[{}\[\]<]|\"[\w .-]+\":|[\w.]+\s?[=:(]\s?[\"{\[(\d]|\w+\(|import |def |select |[$>#]!?\s?/)|=\S+;?\s*$|^\s*[\w.-]+=")
+#: Cells of a block of texts that are parsed together, and the least number of texts worth a block.
+_CELLS, _FEW = 4_000_000, 32
+
+
+def phrase_counts(model: dict[str, array], data: list[bytes]) -> np.ndarray:
+    """phrases() of every text in every language, as rows and columns; texts of similar length are parsed in step with each other."""
+    out = np.zeros((len(data), len(model)), dtype=np.int64)
+    order = sorted(range(len(data)), key=lambda i: -len(data[i]))
+    at = 0
+    while at < len(order):
+        longest = len(data[order[at]])
+        if not longest:
+            break
+        rows = order[at : at + max(1, _CELLS // longest)]
+        at += len(rows)
+        if len(rows) < _FEW:
+            for i in rows:
+                out[i] = [phrases(step, data[i]) for step in model.values()]
+            continue
+        sizes = np.array([len(data[i]) for i in rows])
+        cells = np.zeros((len(rows), longest), dtype=np.uint8)
+        for k, i in enumerate(rows):
+            cells[k, : sizes[k]] = np.frombuffer(data[i], dtype=np.uint8)
+        cells = np.ascontiguousarray(cells.T).astype(np.int32)
+        live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts longer than each place
+        for col, step in enumerate(model.values()):
+            table = np.frombuffer(step, dtype=np.int32)
+            state, n = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows), dtype=np.int64)
+            for place in range(longest):
+                k = live[place]
+                now, c = state[:k], cells[place, :k]
+                to = table[now + c]
+                miss = np.flatnonzero(to == 0)
+                if miss.size:
+                    root = table[c[miss]]
+                    n[miss] += (now[miss] != 0).astype(np.int64) + (root == 0)
+                    to[miss] = root
+                state[:k] = to
+            out[rows, col] = n + (state != 0)
+    return out
+
+
+_RULE = re.compile(r"[-+=|:\s]{3,}\Z")
+_CODE = re.compile(r"(?:[{}\[\]<]|\"[\w .-]+\":|[\w.]+\s?[=:(]\s?[\"{\[(\d]|\w+\(|import |def |select |[$>#]!?\s?/|[\w.-]+=)")
+_ASSIGNED = re.compile(r"=\S+;?\Z")
+_ASCII_LETTERS = dict.fromkeys([*range(65, 91), *range(97, 123)])
+
+
+def _no_prose(body: str) -> bool:
+    """Whether a stripped line is of a table, JSON or code, or has few letters."""
+    if body[0] == "|" or body[-1] == "|" or _RULE.match(body) or _CODE.match(body) or ("=" in body and _ASSIGNED.search(body)):
+        return True
+    return len(body.translate(_ASCII_LETTERS)) > 0.5 * len(body) and sum(map(str.isalpha, body)) < 0.5 * len(body)
+
+
 _STAMP = re.compile(r"\s*[\[(]?\d{2,4}[-/.]\d\d?[-/.]\d{2,4}[T ]?[\d:.,]*\s?(?:Z|UTC|[+-]\d\d:?\d\d)?[\])]?\s*")
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|$)[^.!?]*)*(?:[.!?]+[\"”»’')\]]*\s*|$)")
 
@@ -122,7 +179,7 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|$)[^.!?]*)*(?:[.!?]+[\"”»’')
 def units(text: str) -> list[tuple[int, int, bool]]:
     """(start, end, prose) of sentences and other lines, in order. Tables, JSON, code and lines with few letters are no prose."""
     out, at, fenced = [], 0, False
-    for line in re.split(r"(?<=\n)|(?<=\x0c)", text):
+    for line in text.splitlines(keepends=True):
         stamp = _STAMP.match(line)  # of a log line
         if stamp:
             at, line = at + stamp.end(), line[stamp.end() :]
@@ -131,8 +188,7 @@ def units(text: str) -> list[tuple[int, int, bool]]:
             fenced = not fenced
             out.append((at, at + len(line), False))
         elif body:
-            letters = sum(map(str.isalpha, body))
-            if fenced or _TABLE.search(body) or _CODE.search(body) or letters < 0.5 * len(body):
+            if fenced or _no_prose(body):
                 out.append((at, at + len(line), False))
             else:
                 for m in _SENTENCE.finditer(line):
@@ -142,32 +198,35 @@ def units(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def passages(text: str, model: dict[str, array]) -> list[tuple[str, int, int, float]]:
-    """(language, start, end, confidence) of the runs of prose in one language."""
-    parts = [(s, e, symbols(text[s:e]) if prose else None) for s, e, prose in units(text)]
-    langs = list(model)
-    costs = [[phrases(model[g], d) for g in langs] if d else None for _, _, d in parts]
-    # the cheapest sequence of languages
-    best, back = [0.0] * len(langs), []
+def _cheapest(costs: list[list[int] | None]) -> list[int | None]:
+    """For each unit its language on the cheapest path; null costs are passed over."""
+    priced = [c for c in costs if c is not None]
+    if not priced:
+        return [None] * len(costs)
+    first = priced[0].index(min(priced[0]))
+    if all(c[first] == min(c) for c in priced):  # the same language is best everywhere
+        return [None if c is None else first for c in costs]
+    best, back = [0.0] * len(priced[0]), []
     for c in costs:
         if c is None:
             back.append(None)
             continue
         low = min(best)
         src = best.index(low)
-        step, came = [], []
-        for k in range(len(langs)):
-            change = low + CHANGE < best[k]
-            step.append((low + CHANGE if change else best[k]) + c[k])
-            came.append(src if change else k)
-        best = step
+        came = [src if low + CHANGE < b else k for k, b in enumerate(best)]
+        best = [min(low + CHANGE, b) + x for b, x in zip(best, c)]
         back.append(came)
     state = best.index(min(best))
-    chosen: list[int | None] = [None] * len(parts)
-    for i in range(len(parts) - 1, -1, -1):
+    out: list[int | None] = [None] * len(costs)
+    for i in range(len(costs) - 1, -1, -1):
         if back[i] is not None:
-            chosen[i] = state
+            out[i] = state
             state = back[i][state]
+    return out
+
+
+def _runs(parts: list[tuple[int, int, bool]], costs: list[list[int] | None], langs: list[str]) -> list[tuple[str, int, int, float]]:
+    chosen = _cheapest(costs)
     out: list[tuple[str, int, int, float]] = []
     i = 0
     while i < len(parts):
@@ -185,24 +244,42 @@ def passages(text: str, model: dict[str, array]) -> list[tuple[str, int, int, fl
     return out
 
 
-def judge(text: str | None, model: dict[str, array]) -> list[tuple[str, int, int, float]]:
-    """The languages of a text: (language, longest passage's start, end, confidence), the largest first.
+def passages_of(texts: list[str], model: dict[str, array]) -> list[list[tuple[str, int, int, float]]]:
+    """For each text (language, start, end, confidence) of the runs of prose in one language."""
+    parts = [units(t) for t in texts]
+    data = [symbols(t[s:e]) for t, us in zip(texts, parts) for s, e, prose in us if prose]
+    counts = iter(phrase_counts(model, data).tolist())
+    sized = iter(map(len, data))
+    langs, out = list(model), []
+    for us in parts:
+        costs = [None if not prose or (c := (next(sized), next(counts)))[0] == 0 else c[1] for _, _, prose in us]
+        out.append(_runs(us, costs, langs))
+    return out
+
 
-    Languages with a passage of MIN_PASSAGE characters count; if none has one, the language with the most prose. Texts
-    under MIN_DOCUMENT characters and texts without prose have none.
+def judge_all(texts: list[str | None], model: dict[str, array]) -> list[list[tuple[str, int, int, float]]]:
+    """The languages of each text: (language, longest passage's start, end, confidence), the largest first.
+
+    Languages with a passage of MIN_PASSAGE characters count, those beside the main one with MIN_CONFIDENCE; if none has
+    one, the language with the most prose. Texts under MIN_DOCUMENT characters and texts without prose have none.
     """
-    if not text or len(text) < MIN_DOCUMENT:
-        return []
-    found = passages(text, model)
-    size, longest = Counter(), {}
-    for p in found:
-        n = len(text[p[1] : p[2]].strip())
-        size[p[0]] += n
-        if p[0] not in longest or n > longest[p[0]][0]:
-            longest[p[0]] = (n, p)
-    main = size.most_common(1)[0][0] if size else None
-    real = [g for g in size if longest[g][0] >= MIN_PASSAGE and (g == main or longest[g][1][3] >= MIN_CONFIDENCE)] or [main] * bool(size)
-    return [longest[g][1] for g in sorted(real, key=lambda g: -size[g])]
+    own = [t if t and len(t) >= MIN_DOCUMENT else "" for t in texts]
+    out = []
+    for t, found in zip(own, passages_of(own, model)):
+        size, longest = Counter(), {}
+        for p in found:
+            n = len(t[p[1] : p[2]].strip())
+            size[p[0]] += n
+            if p[0] not in longest or n > longest[p[0]][0]:
+                longest[p[0]] = (n, p)
+        main = size.most_common(1)[0][0] if size else None
+        real = [g for g in size if longest[g][0] >= MIN_PASSAGE and (g == main or longest[g][1][3] >= MIN_CONFIDENCE)] or [main] * bool(size)
+        out.append([longest[g][1] for g in sorted(real, key=lambda g: -size[g])])
+    return out
+
+
+def judge(text: str | None, model: dict[str, array]) -> list[tuple[str, int, int, float]]:
+    return judge_all([text], model)[0]
 
 
 # -- training ----------------------------------------------------------------------------------------------------------
@@ -241,14 +318,13 @@ def train(labelled: Iterable[tuple[str, str]], letters: int = SAMPLE_LETTERS) ->
         models = [_automata({g: x for g, x in h.items() if x}, letters // 4) for h in halves]
         kept = {}
         for g, all_ in texts.items():
-            good = []
-            for i, t in enumerate(all_):
-                other = models[1 - i % 2]
-                found = [t[a:b] for h, a, b, _ in passages(t, other) if h == g] if other else [t]
-                mine = "".join(found)
-                if len(mine) >= MIN_PASSAGE:
-                    good.append(mine)
-            kept[g] = good or all_
+            good = {}
+            for k in (0, 1):
+                for i, found in zip(range(k, len(all_), 2), passages_of(all_[k::2], models[1 - k])):
+                    mine = "".join(all_[i][a:b] for h, a, b, _ in found if h == g)
+                    if len(mine) >= MIN_PASSAGE:
+                        good[i] = mine
+            kept[g] = [good[i] for i in sorted(good)] or all_
         texts = kept
     return _automata(texts, letters)
 
@@ -283,8 +359,7 @@ def languages(docs: DataFrame, model: dict[str, array] | None = None, doc_id: st
             own[g].frombytes(b)
         for frame in frames:
             out = []
-            for d, t, l in zip(frame[doc_id], frame[text], frame[lang]):
-                found = judge(t, own)
+            for d, l, found in zip(frame[doc_id], frame[lang], judge_all(list(frame[text]), own)):
                 out += [(d, label_of(l), g, s, e, round(c, 6), len(found)) for g, s, e, c in found]
             yield pd.DataFrame(out, columns=names)
 
