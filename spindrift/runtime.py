@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -57,9 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over more partitions, if the scan gives fewer than two for each core; else df as it is.
 
     For work that costs far more than moving the rows: a table in a few files would keep a few cores busy only. Large
-    tables have more splits than cores and are not moved.
+    tables have more splits than cores and are not moved. Rows that a shuffle has spread already stay as they are; their
+    partitions are not counted, as that would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if re.search(r"\b(?:Repartition\w*|Rebalance\w*|Join|Aggregate|Sort|Window|Deduplicate|GlobalLimit)\b", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
