@@ -137,7 +137,7 @@ def split_documents(loads: DataFrame, specs: DataFrame, texts: bool = True) -> D
     One row per piece: load_id, spec_name, piece (from 0), pieces, start, end, repeated, n_chars and, with `texts`,
     text. Null payloads have none, empty ones one empty piece; a section without spec or limit stays whole.
     """
-    rows = with_spec(loads.select("load_id", "section", "raw", "content_type"), specs).filter("raw is not null")
+    rows = with_spec(spread(loads.select("load_id", "section", "raw", "content_type").filter("raw is not null")), specs)
     rows = rows.select("load_id", "spec_name", "max_chars", "overlap_chars", "raw", "content_type")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,4 +154,4 @@ def split_documents(loads: DataFrame, specs: DataFrame, texts: bool = True) -> D
     names = ["load_id", "spec_name", "piece", "pieces", "start", "end", "repeated", "n_chars"] + ["text"] * texts
     kind = loads.schema["load_id"].dataType.simpleString()
     schema = f"load_id {kind}, spec_name string, piece int, pieces int, start int, end int, repeated int, n_chars int" + ", text string" * texts
-    return spread(rows).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
