@@ -160,8 +160,11 @@ def phrase_counts(model: dict[str, array], data: list[bytes]) -> np.ndarray:
 
 
 _RULE = re.compile(r"[-+=|:\s]{3,}\Z")
-_CODE = re.compile(r"(?:[{}\[\]<]|\"[\w .-]+\":|[\w.]+\s?[=:(]\s?[\"{\[(\d]|\w+\(|import |def |select |[$>#]!?\s?/|[\w.-]+=)")
+_CODE = re.compile(r"(?:[{}\[\]]|<[?%!=<-]|<\w[^<>]*=\{|\"[\w .-]+\":|[\w.]+\s?[=:(]\s?[\"{\[(\d]|\w+\(|import |def |select |[$>#]!?\s?/|[\w.-]+=)")
 _ASSIGNED = re.compile(r"=\S+;?\Z")
+#: Tags and declarations, and elements whose content is no prose.
+_TAG = re.compile(r"<[!?][^<>]*>|</?[a-zA-Z][\w:-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>")
+_EMBEDDED = re.compile(r"<(script|style|pre|table)\b[^<>]*>.*?</\1\s*>", re.I | re.S)
 _ASCII_LETTERS = dict.fromkeys([*range(65, 91), *range(97, 123)])
 
 
@@ -172,14 +175,33 @@ def _no_prose(body: str) -> bool:
     return len(body.translate(_ASCII_LETTERS)) > 0.5 * len(body) and sum(map(str.isalpha, body)) < 0.5 * len(body)
 
 
+def untagged(text: str) -> str:
+    """The text with spaces for tags, so that places in it stay."""
+    return _TAG.sub(lambda m: re.sub(r"\S", " ", m.group(0)), text) if "<" in text else text
+
+
+def _lines(text: str) -> Iterator[tuple[str, bool]]:
+    """The lines of a text without tags; (element, True) for the elements whose content is no prose."""
+    at = 0
+    for m in _EMBEDDED.finditer(text) if "<" in text else ():
+        yield from ((line, False) for line in untagged(text[at : m.start()]).splitlines(keepends=True))
+        yield m.group(0), True
+        at = m.end()
+    yield from ((line, False) for line in untagged(text[at:]).splitlines(keepends=True))
+
+
 _STAMP = re.compile(r"\s*[\[(]?\d{2,4}[-/.]\d\d?[-/.]\d{2,4}[T ]?[\d:.,]*\s?(?:Z|UTC|[+-]\d\d:?\d\d)?[\])]?\s*")
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|$)[^.!?]*)*(?:[.!?]+[\"”»’')\]]*\s*|$)")
 
 
 def units(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, prose) of sentences and other lines, in order. Tables, JSON, code and lines with few letters are no prose."""
+    """(start, end, prose) of sentences and other lines, in order. Tables, JSON, code and lines with few letters are no prose; tags are nothing."""
     out, at, fenced = [], 0, False
-    for line in text.splitlines(keepends=True):
+    for line, embedded in _lines(text):
+        if embedded:
+            out.append((at, at + len(line), False))
+            at += len(line)
+            continue
         stamp = _STAMP.match(line)  # of a log line
         if stamp:
             at, line = at + stamp.end(), line[stamp.end() :]
@@ -247,7 +269,7 @@ def _runs(parts: list[tuple[int, int, bool]], costs: list[list[int] | None], lan
 def passages_of(texts: list[str], model: dict[str, array]) -> list[list[tuple[str, int, int, float]]]:
     """For each text (language, start, end, confidence) of the runs of prose in one language."""
     parts = [units(t) for t in texts]
-    data = [symbols(t[s:e]) for t, us in zip(texts, parts) for s, e, prose in us if prose]
+    data = [symbols(t[s:e]) for t, us in zip(map(untagged, texts), parts) for s, e, prose in us if prose]
     counts = iter(phrase_counts(model, data).tolist())
     sized = iter(map(len, data))
     langs, out = list(model), []
@@ -268,7 +290,7 @@ def judge_all(texts: list[str | None], model: dict[str, array]) -> list[list[tup
     for t, found in zip(own, passages_of(own, model)):
         size, longest = Counter(), {}
         for p in found:
-            n = len(t[p[1] : p[2]].strip())
+            n = len(_TAG.sub("", t[p[1] : p[2]]).strip())
             size[p[0]] += n
             if p[0] not in longest or n > longest[p[0]][0]:
                 longest[p[0]] = (n, p)
@@ -300,7 +322,8 @@ def _automata(texts: dict[str, list[str]], letters: int) -> dict[str, array]:
 
 
 def _prose(text: str) -> str:
-    return "".join(text[s:e] for s, e, prose in units(text) if prose)
+    plain = untagged(text)
+    return "".join(plain[s:e] for s, e, prose in units(text) if prose)
 
 
 def train(labelled: Iterable[tuple[str, str]], letters: int = SAMPLE_LETTERS) -> dict[str, array]:

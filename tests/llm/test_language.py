@@ -62,3 +62,18 @@ def test_operator(spark, as_rows):
     assert found.filter("confidence < 0 or confidence > 1").count() == 0
     assert L.languages(docs.limit(0), model()).count() == 0
     L.languages(docs).count()  # trained on itself, with languages lacking
+
+
+def test_prose_in_tags():
+    m, de = model(), TEXTS["de"]
+    paragraphs = "".join(f"<p>{x}.</p>\n" for x in de.rstrip(".").split(". "))
+    found = L.judge(paragraphs, m)
+    assert [x[0] for x in found] == ["de"] and paragraphs[found[0][1] : found[0][2]].strip() == paragraphs.strip()
+    assert [x[0] for x in L.judge(f'<div class="a b"><p>{de}</p><table><tr><td>{TEXTS["fr"]}</td></tr></table></div>', m)] == ["de"]
+    assert {x[0] for x in L.judge(f"<p>{TEXTS['en']}</p>\n<p>{TEXTS['fr']}</p>", m)} == {"en", "fr"}
+    assert L.judge("<p>| der | die |</p>\n<p>{\"k\": \"der die das und\"}</p>\n<?php echo der_die_das_und_noch_mehr_davon();\n" * 3, m) == []
+
+
+def test_operator_with_prose_in_tags_and_no_label(spark, as_rows):
+    docs = spark.createDataFrame([(1, f"<p>{TEXTS['de']}</p>", None), (2, f"<p>{TEXTS['fr']}</p>", "??"), (3, f"<p>{TEXTS['en']}</p>", "en")], "doc_id long, text string, lang string")
+    assert as_rows(L.mislabelled(L.languages(docs, model())), "doc_id", "lang") == [(1, "de"), (2, "fr")]
