@@ -41,35 +41,40 @@ def cache_stats(events: DataFrame) -> DataFrame:
     return keys.groupBy("session_id").agg((F.sum("n") - F.count("*")).alias("hits"), F.count("*").alias("misses"), F.count("*").alias("size"))
 
 
-def _verdict(check: str, status: Column, detail: Column) -> list[Column]:
-    return ["case_id", F.lit(check).alias("check"), status.alias("status"), F.coalesce(detail, F.lit("")).alias("detail")]
+#: What a verdict is of: a case with one run, or each of a case's runs.
+CASE, RUN = ("case_id",), ("case_id", "session_id")
 
 
-def repeated_calls(run_of: DataFrame, events: DataFrame) -> DataFrame:
+def _verdict(by: tuple[str, ...], check: str, status: Column, detail: Column) -> list[Column]:
+    return [*by, F.lit(check).alias("check"), status.alias("status"), F.coalesce(detail, F.lit("")).alias("detail")]
+
+
+def repeated_calls(run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Fails a case with an identical call made twice; names the most frequent, of equal ones the first seen."""
     calls = call_keys(events).groupBy("session_id", "name", "args_key").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     worst = calls.groupBy("session_id").agg(F.max_by(F.struct("name", "n"), F.struct("n", -F.col("first"))).alias("w")).select("session_id", "w.*")
     rows = run_of.join(worst, "session_id", "left")
     status = F.when(F.col("n").isNull(), "na").when(F.col("n") >= 2, "fail").otherwise("pass")
     detail = F.when(F.col("n").isNull(), "no tool calls").when(F.col("n") >= 2, F.format_string("'%s' called %d× with identical args", "name", "n"))
-    return rows.select(_verdict("repeated_calls", status, detail))
+    return rows.select(_verdict(by, "repeated_calls", status, detail))
 
 
-def coverage(cases: DataFrame, run_of: DataFrame, events: DataFrame) -> DataFrame:
+def coverage(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Fails a case with an expected source that no call or result names, where a path covers what lies below it and what it lies below."""
     want = cases.select("case_id", F.explode("expected_citations").alias("c")).select("case_id", F.substring_index("c", "#", 1).alias("source")).distinct()
     rows = log(events)
     asked = rows.filter("type = 'tool_call'").select("session_id", F.explode(F.array(*(F.get_json_object("args", f"$.{k}") for k in ("path", "file_path", "entity")))).alias("path"))
     got = rows.filter("type = 'tool_result'").select("session_id", F.get_json_object("result", "$.path").alias("path"))
-    seen = asked.unionByName(got).filter("path is not null and path != ''").distinct().join(run_of, "session_id").select("case_id", F.rtrim(F.col("path"), F.lit("/")).alias("path"))
+    seen = asked.unionByName(got).filter("path is not null and path != ''").distinct().join(run_of, "session_id").select(*by, F.rtrim(F.col("path"), F.lit("/")).alias("path"))
     p, s = F.col("path"), F.rtrim(F.col("source"), F.lit("/"))
     held = (p == s) | s.startswith(F.concat(p, F.lit("/"))) | p.startswith(F.concat(s, F.lit("/")))
-    covered = want.join(seen, "case_id").filter(held).select("case_id", "source").distinct()
-    open_ = want.join(covered, ["case_id", "source"], "left_anti").groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("missing"))
-    rows = run_of.join(want.select("case_id", F.lit(True).alias("wanted")).distinct(), "case_id", "left").join(open_, "case_id", "left")
+    due = want.join(run_of.select(*by), "case_id")
+    covered = due.join(seen, [*by]).filter(held).select(*by, "source").distinct()
+    open_ = due.join(covered, [*by, "source"], "left_anti").groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list("source")), ", ").alias("missing"))
+    rows = run_of.join(want.select("case_id", F.lit(True).alias("wanted")).distinct(), "case_id", "left").join(open_, [*by], "left")
     status = F.when(F.col("wanted").isNull(), "na").when(F.col("missing").isNotNull(), "fail").otherwise("pass")
     detail = F.when(F.col("wanted").isNull(), "no expected citations").when(F.col("missing").isNotNull(), F.concat(F.lit("uncovered: "), "missing"))
-    return rows.select(_verdict("coverage", status, detail))
+    return rows.select(_verdict(by, "coverage", status, detail))
 
 
 def answers(run_of: DataFrame, events: DataFrame) -> DataFrame:
@@ -78,7 +83,7 @@ def answers(run_of: DataFrame, events: DataFrame) -> DataFrame:
     return run_of.join(last, "session_id", "left")
 
 
-def faithfulness(run_of: DataFrame, events: DataFrame) -> DataFrame:
+def faithfulness(run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Fails a case whose answer states a figure that no citation of the run holds, under any of the FACTORS either way, with a relative tolerance of 1e-6. The detail counts the figures not held."""
     said = answers(run_of, events).select("case_id", "session_id", F.posexplode_outer(numeric_claims(F.coalesce("answer", F.lit("")))).alias("at", "claim"))
     cited = log(events).filter("type = 'citation'").select("session_id", F.explode(numeric_claims(F.btrim(F.coalesce("value", F.lit("")), F.lit('"')))).alias("number")).distinct()
@@ -87,47 +92,47 @@ def faithfulness(run_of: DataFrame, events: DataFrame) -> DataFrame:
     a, c, f = F.col("claim"), F.col("number"), F.col("f")
     close = lambda x, y: F.abs(x - y) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
     claims = said.filter("claim is not null")
-    held = claims.join(scaled, "session_id").filter(close(a, c * f) | close(a * f, c)).select("case_id", "at").distinct().withColumn("ok", F.lit(True))
-    sums = said.join(held, ["case_id", "at"], "left").groupBy("case_id").agg(F.count("claim").alias("claims"), F.count_if(F.col("claim").isNotNull() & F.col("ok").isNull()).alias("open"))
+    held = claims.join(scaled, "session_id").filter(close(a, c * f) | close(a * f, c)).select(*by, "at").distinct().withColumn("ok", F.lit(True))
+    sums = said.join(held, [*by, "at"], "left").groupBy(*by).agg(F.count("claim").alias("claims"), F.count_if(F.col("claim").isNotNull() & F.col("ok").isNull()).alias("open"))
     status = F.when(F.col("claims") == 0, "na").when(F.col("open") > 0, "fail").otherwise("pass")
     detail = F.when(F.col("claims") == 0, "no numeric claims").when(F.col("open") > 0, F.format_string("%d of %d claims not cited", "open", "claims"))
-    return sums.select(_verdict("faithfulness", status, detail))
+    return sums.select(_verdict(by, "faithfulness", status, detail))
 
 
-def entity_resolution(cases: DataFrame, run_of: DataFrame, events: DataFrame) -> DataFrame:
+def entity_resolution(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Of cases that expect a clarification, whether there was one."""
     asked = log(events).filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
     rows = run_of.join(cases.select("case_id", "expected_clarification"), "case_id").join(asked, "session_id", "left")
     due = F.coalesce("expected_clarification", F.lit(False))
-    return rows.select(_verdict("entity_resolution", F.when(~due, "na").when(F.col("asked"), "pass").otherwise("fail"), F.lit("")))
+    return rows.select(_verdict(by, "entity_resolution", F.when(~due, "na").when(F.col("asked"), "pass").otherwise("fail"), F.lit("")))
 
 
-def expected_clarification(cases: DataFrame, run_of: DataFrame, events: DataFrame) -> DataFrame:
+def expected_clarification(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Of cases that say whether a clarification is due, whether the run agrees."""
     asked = log(events).filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
     rows = run_of.join(cases.filter("expected_clarification is not null").select("case_id", "expected_clarification"), "case_id").join(asked, "session_id", "left")
     did = F.coalesce("asked", F.lit(False))
     detail = F.when(did & F.col("expected_clarification"), "clarified").when(F.col("expected_clarification") & ~did, "expected a clarification").when(did, "a direct answer was expected")
-    return rows.select(_verdict("expected_clarification", F.when(did == F.col("expected_clarification"), "pass").otherwise("fail"), detail))
+    return rows.select(_verdict(by, "expected_clarification", F.when(did == F.col("expected_clarification"), "pass").otherwise("fail"), detail))
 
 
-def forbidden_phrases(cases: DataFrame, run_of: DataFrame, events: DataFrame) -> DataFrame:
+def forbidden_phrases(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Of cases with forbidden phrases, whether the answer holds one, without case."""
     rows = answers(run_of, events).join(cases.filter("size(forbidden_phrases) > 0").select("case_id", "forbidden_phrases"), "case_id")
     hits = F.filter("forbidden_phrases", lambda p: F.contains(F.lower(F.coalesce("answer", F.lit(""))), F.lower(p)))
     status = F.when(F.col("answered").isNull(), "na").when(F.size(hits) > 0, "fail").otherwise("pass")
     detail = F.when(F.col("answered").isNull(), "no final answer to scan").when(F.size(hits) > 0, F.concat(F.lit("answer contains "), F.array_join(hits, ", ")))
-    return rows.select(_verdict("forbidden_phrases", status, detail))
+    return rows.select(_verdict(by, "forbidden_phrases", status, detail))
 
 
-def latency_cost(cases: DataFrame, measured: DataFrame) -> DataFrame:
-    """measured(case_id, prompt, completion, total, seconds): fails a case over its budget of tokens, then of seconds."""
+def latency_cost(cases: DataFrame, measured: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
+    """measured(`by`, prompt, completion, total, seconds): fails a case over its budget of tokens, then of seconds."""
     rows = cases.select("case_id", "max_tokens", "max_seconds").join(measured, "case_id")
     tokens = F.when(F.coalesce("total", F.lit(0)) > 0, F.col("total")).otherwise(F.coalesce("prompt", F.lit(0)) + F.coalesce("completion", F.lit(0)))
     over, late = tokens > F.col("max_tokens"), F.col("seconds") > F.col("max_seconds")
     label = F.when(tokens >= 1000, F.concat(tenths(tokens, 1000), F.lit("k tok"))).otherwise(F.format_string("%d tok", tokens))
     detail = F.when(over, F.format_string("%d tok exceeds max_tokens %d", tokens, F.col("max_tokens"))).when(late, F.format_string("%.1fs exceeds max_seconds %.1f", "seconds", "max_seconds")).otherwise(F.concat(label, F.lit(" · "), F.format_string("%.1fs", "seconds")))
-    return rows.select(_verdict("latency_cost", F.when(F.coalesce(over, F.lit(False)) | F.coalesce(late, F.lit(False)), "fail").otherwise("pass"), detail))
+    return rows.select(_verdict(by, "latency_cost", F.when(F.coalesce(over, F.lit(False)) | F.coalesce(late, F.lit(False)), "fail").otherwise("pass"), detail))
 
 
 def scorecard(results: DataFrame, checks: list[str]) -> DataFrame:

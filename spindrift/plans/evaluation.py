@@ -128,11 +128,11 @@ def forbidden_phrases(spark: SparkSession, d: str) -> DataFrame:
     return evidence.forbidden_phrases(_cases(spark, d), _runs(spark, d), _events(spark, d))
 
 
-def _measured(spark: SparkSession, d: str) -> DataFrame:
+def _measured(spark: SparkSession, d: str, runs: DataFrame | None = None, by: tuple[str, ...] = evidence.CASE) -> DataFrame:
     """Token use of each run, and a second and a half for each action of the model."""
-    rows = _runs(spark, d).join(table(spark, d, "model_actions"), "session_id")
+    rows = (_runs(spark, d) if runs is None else runs).join(table(spark, d, "model_actions"), "session_id")
     sums = (F.sum(F.coalesce(F.col(f"usage.{c}"), F.lit(0))).alias(c) for c in ("prompt", "completion", "total"))
-    return rows.groupBy("case_id").agg(*sums, F.round(F.count("*") * 1.5, 1).alias("seconds"))
+    return rows.groupBy(*by).agg(*sums, F.round(F.count("*") * 1.5, 1).alias("seconds"))
 
 
 @query(f"SELECT * FROM {_LATENCY}")
@@ -148,6 +148,23 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _all_runs(spark: SparkSession, d: str) -> DataFrame:
+    """(case_id, session_id) with every session, each paired with a case by its hash, so that a case has many runs."""
+    cases = _cases(spark, d).select("case_id", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("bigint").alias("k"))
+    k = F.conv(F.substring(F.md5("session_id"), 1, 8), 16, 10).cast("bigint") % F.lit(cases.count())
+    return sessions.log(_events(spark, d)).select("session_id").distinct().withColumn("k", k).join(cases, "k").select("case_id", "session_id")
+
+
+@query()
+def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The seven checks over every session of the log, a row per case, session and check."""
+    runs, cases, events, by = _all_runs(spark, d), _cases(spark, d), _events(spark, d), evidence.RUN
+    out = evidence.repeated_calls(runs, events, by).unionByName(evidence.faithfulness(runs, events, by))
+    for f in (evidence.coverage, evidence.entity_resolution, evidence.expected_clarification, evidence.forbidden_phrases):
+        out = out.unionByName(f(cases, runs, events, by))
+    return out.unionByName(evidence.latency_cost(cases, _measured(spark, d, runs, by), by))
+
+
 _CELLS = ", ".join(f"""coalesce(max(cell) FILTER ("check" = '{c}'), '—') AS {c}""" for c in CHECKS)
 
 
