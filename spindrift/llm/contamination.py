@@ -11,7 +11,7 @@ The cases are taken in blocks of bounded size, and each block's index is broadca
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -30,10 +30,19 @@ def words_of(text: str | None) -> list[str]:
     return WORDS.findall(text.casefold()) if text else []
 
 
-def document_frequencies(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
-    """(word, df) for the words of the vocabulary (word), over all documents; words in none are left out."""
-    each = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), 1)))
-    return docs.select(each.alias("word")).join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+def document_frequencies(docs: DataFrame, vocabulary: Iterable[str], text: str = "text") -> DataFrame:
+    """(word, df) for the words of the vocabulary, over all documents; words in none are left out. Words are those of words_of()."""
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            n = Counter()
+            for t in frame[text]:
+                n.update(held.value.intersection(words_of(t)))
+            yield pd.DataFrame(list(n.items()), columns=["word", "df"])
+
+    each = spread(docs.select(text).filter(F.col(text).isNotNull())).mapInPandas(run, "word string, df long")
+    return each.groupBy("word").agg(F.sum("df").alias("df"))
 
 
 def _blocks(cases: DataFrame, fields: tuple[str, ...], block_words: int) -> Iterator[list[tuple[str, str, list[str]]]]:
@@ -62,10 +71,10 @@ def leaks(docs: DataFrame, cases: DataFrame, words: int = 12, fields: tuple[str,
     schema = f"{doc_id} {kind}, case_id string, field string, items int, covered int, share double"
     result = spark.createDataFrame([], schema)
     for block in _blocks(cases, fields, block_words):
-        vocabulary = sorted({w for _, _, ws in block if len(ws) >= words for w in ws})
+        vocabulary = {w for _, _, ws in block if len(ws) >= words for w in ws}
         if not vocabulary:
             continue
-        seen = document_frequencies(docs, spark.createDataFrame(pd.DataFrame({"word": vocabulary})), text)
+        seen = document_frequencies(docs, vocabulary, text)
         df = {r.word: r.df for r in seen.collect()}  # at most the block's words
         index: dict[str, dict[int, dict[tuple, list]]] = defaultdict(lambda: defaultdict(dict))
         for number, (_, _, ws) in enumerate(block):

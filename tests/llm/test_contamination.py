@@ -44,3 +44,13 @@ def test_counts_and_shares(spark):
     df = spark.createDataFrame([(1, "x " + " ".join(WORDS[5:20]) + " y"), (2, " ".join(WORDS[:11]))], "doc_id long, text string")
     r = L.leaks(df, spark.createDataFrame([("c", case, "")], "case_id string, passage string, query string")).collect()
     assert [(x.doc_id, x.field, x.items, x.covered, x.share) for x in r] == [(1, "passage", 4, 15, 0.5)]
+
+
+def test_words_whose_folding_is_not_lower_case(spark, as_rows):
+    passage = "Die Straße zum Hafen wird im Herbst wieder gesperrt und dann erneuert"
+    ligature = "The ofﬁce closed its counters in the year before the new terminal opened"
+    docs = [(1, f"Bericht: {passage}."), (2, passage.upper()), (3, passage.replace("Hafen", "Bahnhof")), (4, ligature), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cs = spark.createDataFrame([("street", passage, None), ("office", None, ligature)], "case_id string, passage string, query string")
+    assert as_rows(L.leaks(df, cs).select("doc_id", "case_id")) == [(1, "street"), (2, "street"), (4, "office")]
+    assert {r.word: r.df for r in L.document_frequencies(df, ["strasse", "office", "nowhere"]).collect()} == {"strasse": 3, "office": 1}
