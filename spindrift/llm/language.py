@@ -194,29 +194,55 @@ _STAMP = re.compile(r"\s*[\[(]?\d{2,4}[-/.]\d\d?[-/.]\d{2,4}[T ]?[\d:.,]*\s?(?:Z
 _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|$)[^.!?]*)*(?:[.!?]+[\"”»’')\]]*\s*|$)")
 
 
-def units(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, prose) of sentences and other lines, in order. Tables, JSON, code and lines with few letters are no prose; tags are nothing."""
-    out, at, fenced = [], 0, False
+#: Marks of a fence at the start of a line, with nothing but a language's name behind them or before the line's text.
+_MARK = re.compile(r"\s*`{3,}(?:\s*[\w.+#-]+\s*\Z|\s*)")
+
+
+def _parts(text: str) -> Iterator[tuple[int, str, str]]:
+    """(start, piece, kind) in order; kinds are text (a line or what is left of it), mark (of a fence, at either end of a line) and other."""
+    at, marked = 0, "```" in text
     for line, embedded in _lines(text):
         if embedded:
-            out.append((at, at + len(line), False))
+            yield at, line, "other"
             at += len(line)
             continue
         stamp = _STAMP.match(line)  # of a log line
         if stamp:
             at, line = at + stamp.end(), line[stamp.end() :]
-        body = line.strip()
-        if body.startswith("```"):
-            fenced = not fenced
-            out.append((at, at + len(line), False))
+        a, b = 0, len(line)
+        if marked and "```" in line:
+            lead, body = _MARK.match(line), line.rstrip()
+            a = lead.end() if lead else 0
+            b = max(a, len(body.rstrip("`"))) if body.endswith("```") else b
+        for s, e, kind in ((0, a, "mark"), (a, b, "text"), (b, len(line), "mark")):
+            if s < e:
+                yield at + s, line[s:e], kind
+        at += len(line)
+
+
+def units(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, prose) of sentences and other lines, in order. Tables, JSON, code and lines with few letters are no prose; tags are nothing.
+
+    Marks of fences open and close in turn, also when glued to a line of text. Where one is missing, which is open cannot
+    be told: then they mean nothing, and all lines are judged by themselves.
+    """
+    parts = list(_parts(text))
+    paired, out, fenced = sum(kind == "mark" for _, _, kind in parts) % 2 == 0, [], False
+    for at, piece, kind in parts:
+        body = piece.strip()
+        if kind == "mark":
+            if paired:
+                fenced = not fenced
+                out.append((at, at + len(piece), False))
+        elif kind == "other":
+            out.append((at, at + len(piece), False))
         elif body:
             if fenced or _no_prose(body):
-                out.append((at, at + len(line), False))
+                out.append((at, at + len(piece), False))
             else:
-                for m in _SENTENCE.finditer(line):
+                for m in _SENTENCE.finditer(piece):
                     if m.group(0).strip():
                         out.append((at + m.start(), at + m.end(), True))
-        at += len(line)
     return out
 
 

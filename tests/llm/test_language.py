@@ -77,3 +77,14 @@ def test_prose_in_tags():
 def test_operator_with_prose_in_tags_and_no_label(spark, as_rows):
     docs = spark.createDataFrame([(1, f"<p>{TEXTS['de']}</p>", None), (2, f"<p>{TEXTS['fr']}</p>", "??"), (3, f"<p>{TEXTS['en']}</p>", "en")], "doc_id long, text string, lang string")
     assert as_rows(L.mislabelled(L.languages(docs, model())), "doc_id", "lang") == [(1, "de"), (2, "fr")]
+
+
+def test_prose_behind_marks_of_fences():
+    m, en, de, code = model(), TEXTS["en"], TEXTS["de"], "Wir = der_die_das\nund noch eine Zeile aus dem Quelltext, die niemand liest\n"
+    assert [x[0] for x in L.judge(f"```\n{de}\n", m)] == ["de"]  # never closed
+    assert [x[0] for x in L.judge(f"``` {de}\n", m)] == ["de"]
+    assert {x[0] for x in L.judge(f"{en} ```\n{code}``` {de}\n", m)} == {"en", "de"}  # both marks glued to prose
+    assert {x[0] for x in L.judge(f"{en}\n```python\n{code}``` {de}\n\n```\n{code}```\n", m)} == {"en", "de"}
+    assert [x[0] for x in L.judge(f"{en}\n```python\n{TEXTS['fr']}\n```\n", m)] == ["en"]  # fenced
+    text = f"{en} ```\n{code}``` {de}\n"
+    assert [text[s:e].strip() for s, e, prose in L.units(text) if prose and s > len(en)] == [x + "." for x in de.rstrip(".").split(". ")]
