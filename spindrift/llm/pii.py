@@ -113,6 +113,10 @@ INTRO = re.compile(
     r"|\b[Cc]hamo-me|\bO meu nome é|\b[Ss]ou|\b[Ee]laborado por|\bÀ atenção de|\bAo cuidado de|\bfoi conduzida por|\bA/C)[  ]"
     rf"(?:{_TITLES}\.?[ ])?(?P<a>{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*)(?P<comma>,?)[  ](?:{_UP}\.[ ])?(?P<b>{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*)(?![\w'’-])"
 )
+#: Introductions that name the speaker beyond doubt.
+_SELF = re.compile(r"(?i)(?:my name is|mein name ist|je m['’]appelle|me llamo|mi nombre es|mi chiamo|chamo-me|o meu nome é)")
+# Fixed value: words of mailboxes that are no person's.
+_ROLES = set("info support sales press office investor investors relations customer customers service services help desk team contact media legal accounts billing human resources board data privacy news mail no reply noreply admin".split())
 _MAIL_NAME = re.compile(r"([a-z]{3,})[.-]([a-z](?:[a-z'-]*[a-z]){1,})\Z")
 
 
@@ -320,6 +324,20 @@ def _known_words(text: str, given: set, family: set) -> list[tuple[int, int, str
     return out
 
 
+def own_names(text: str, at: dict) -> set[tuple[str, str]]:
+    """(given, family) keys of persons the text itself shows to be ones, whatever other texts hold: by self-introductions and mailboxes."""
+    out = set()
+    for _, _, local in emails(text, at):
+        m = _MAIL_NAME.match(re.sub(r"\+.*", "", local.lower()))
+        if m and not _ROLES & {*m.groups()}:
+            out.add((folded(m.group(1)), folded(m.group(2))))
+    for m in _around(INTRO, text, at["intro"]):
+        a, b = _key(m.group("a")), _key(m.group("b"))
+        if _SELF.match(m.group(0)) and a not in _TITLE_KEYS and b not in _TITLE_KEYS:
+            out.add((b, a) if m.group("comma") else (a, b))
+    return out
+
+
 def names(text: str, given: set, family: set, taken: list[tuple[int, int]], at: dict) -> Iterator[tuple[int, int]]:
     """Spans of names outside `taken` spans: two adjacent words of the lexicon in any order and case, with or without a comma or an initial between them and a further family name after them; titles with a family name; self-introductions."""
     words = _known_words(text, given, family)
@@ -329,9 +347,10 @@ def names(text: str, given: set, family: set, taken: list[tuple[int, int]], at:
         s2, e2, k2 = words[i + 1]
         gap = text[e:s2]
         plain = len(gap) < 8 and _GAP.match(gap)
-        if (plain and (k in given and k2 in family or k in family and k2 in given)) or (len(gap) < 4 and _COMMA_GAP.match(gap) and k in family and k2 in given):
+        sure = min(len(k), len(k2)) >= 3 or (text[s].isupper() and text[s2].isupper())  # short names are usual words too
+        if sure and ((plain and (k in given and k2 in family or k in family and k2 in given)) or (len(gap) < 4 and _COMMA_GAP.match(gap) and k in family and k2 in given)):
             end, j = e2, i + 2
-            if j < len(words) and plain and words[j][2] in family and _GAP.match(text[e2 : words[j][0]]):
+            if j < len(words) and plain and words[j][2] in family and len(words[j][2]) >= 3 and _GAP.match(text[e2 : words[j][0]]):
                 end, j = words[j][1], j + 1
             if not _of_firm(text, end) and not any(a < end and s < b for a, b in taken):
                 yield s, end
@@ -340,13 +359,22 @@ def names(text: str, given: set, family: set, taken: list[tuple[int, int]], at:
             i += 1
     for m in _around(TITLED, text, at["title"]):
         k, title = _key(m.group("family")), m.group(0).split()[0].rstrip(".").lower()
-        if k in family or title in _SURE:
+        if (k in family and len(k) >= 3) or title in _SURE:
             if not _of_firm(text, m.end()):
                 yield m.start(), m.end()
     for m in _around(INTRO, text, at["intro"]):
         a, b = _key(m.group("a")), _key(m.group("b"))
         if (a in family or a in given or b in family or b in given) and not _of_firm(text, m.end()):
             yield m.start("a"), m.end("b")
+    own = {p for p in own_names(text, at) if p[0] not in given or p[1] not in family}
+    if own:
+        parts = {k for p in own for k in p}
+        places = [(m.start(), m.end(), k) for m in WORD.finditer(text) if (k := _key(m.group(0))) in parts and m.group(0)[0].isupper()]
+        for (s, e, k), (s2, e2, k2) in zip(places, places[1:]):
+            gap = text[e:s2]
+            plain = len(gap) < 8 and _GAP.match(gap) and ((k, k2) in own or (k2, k) in own)
+            if (plain or (len(gap) < 4 and _COMMA_GAP.match(gap) and (k2, k) in own)) and not _of_firm(text, e2) and not any(a < e2 and s < b for a, b in taken):
+                yield s, e2
 
 
 def _of_firm(text: str, end: int) -> bool:
@@ -452,7 +480,7 @@ def name_lexicon(records: DataFrame, text: str = "text", min_support: int = MIN_
 
     parts = spread(records.select(text)).mapInPandas(scan, "key string, g long, f long, caps long, n long")
     sums = parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("g", "f", "caps", "n")))
-    sums = sums.filter((F.col("n") > 0) & (F.length("key") >= 3) & (F.greatest("g", "f") >= min_support) & (F.col("caps") >= min_capital * F.col("n")))
+    sums = sums.filter((F.col("n") > 0) & (F.length("key") >= 2) & (F.greatest("g", "f") >= min_support) & (F.col("caps") >= min_capital * F.col("n")))
     return sums.select("key", (F.col("g") >= min_support).alias("is_given"), (F.col("f") >= min_support).alias("is_family"))
 
 

@@ -97,3 +97,15 @@ def test_anchors_without_the_automaton(monkeypatch):
     monkeypatch.setattr(pii, "_iter_anchors", None)
     assert kinds(text) == fast
     monkeypatch.setattr(pii, "_iter_anchors", None)
+
+
+def test_names_of_one_record_and_short_names(spark, as_rows):
+    rows = [
+        ("raw", 1, "My name is Ada Quill. I wrote twice; Quill, Ada is on the list."), ("raw", 2, "Ask Tova Merrin or write to tova.merrin@mail.example"), ("raw", 3, "Investor Relations: investor.relations@mail.example"),
+        ("raw", 4, "Mein Name ist Jun Li."), ("raw", 5, "Prepared by Jun Li"), ("raw", 6, "We met Jun Li there"), ("raw", 7, "a list of jun li and others"),
+    ]
+    df = spark.createDataFrame(rows, "origin string, rec_id long, text string")
+    want = [("raw", 1, "name"), ("raw", 2, "email"), ("raw", 2, "name"), ("raw", 3, "email"), ("raw", 4, "name"), ("raw", 5, "name"), ("raw", 6, "name")]
+    assert as_rows(pii.mentions(df), "origin", "rec_id", "kind") == want
+    assert as_rows(pii.mentions(df, broadcast_names=0), "origin", "rec_id", "kind") == want
+    assert [r.mentions for r in pii.redacted(df.filter("rec_id = 1")).collect()] == [2]
