@@ -127,6 +127,11 @@ def scrubbed(text: Column, patterns: list[str], token: str = "[REDACTED]") -> Co
     return text
 
 
+def canonical_json(payload: Column) -> Column:
+    """JSON text in one form for equal values: no spaces, the keys of all objects sorted at every depth, numbers without trailing zeros. Text that is no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(payload)), payload)
+
+
 def tenths(n: Column, unit: int) -> Column:
     """A whole number in units with one decimal, half a tenth rounded up; in whole numbers throughout, so that no binary fraction decides."""
     t = F.floor((n.cast("long") * 10 + unit // 2) / unit)

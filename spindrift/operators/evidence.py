@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.text import numeric_claims, tenths
+from spindrift.functions.text import canonical_json, numeric_claims, tenths
 from spindrift.operators.sessions import log
 
 #: Factors under which a stated figure may differ from a cited one.
@@ -13,11 +13,16 @@ FACTORS = (1.0, 1e3, 1e6, 1e9, 1e12)
 
 
 def canonical(payload: Column) -> Column:
-    """A flat JSON object as `k=v` joined by `&`, keys sorted; nested values as compact JSON; null and empty objects give an empty text."""
-    keys = F.array_sort(F.json_object_keys(payload))
-    pairs = F.transform(F.map_entries(F.from_json(payload, "map<string,string>")), lambda e: F.struct(e["key"].alias("k"), F.coalesce(e["value"], F.lit("None")).alias("v")))
-    text = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    return F.when(F.coalesce(F.size(keys), F.lit(0)) > 0, text).otherwise("")
+    """A JSON object as `k=v` joined by `&`, keys sorted; true, false and null as True, False and None, nested values as canonical JSON. Null, empty objects and what is no object give an empty text."""
+    held = F.map_entries(F.from_json(canonical_json(payload), "map<string,variant>"))
+
+    def shown(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        plain = F.when(kind == "BOOLEAN", F.initcap(F.to_json(v))).when(kind == "STRING", F.variant_get(v, "$", "string"))
+        return F.when(v.isNull() | (kind == "VOID"), "None").otherwise(plain.otherwise(F.to_json(v)))
+
+    pairs = F.array_sort(F.transform(held, lambda e: F.struct(e["key"].alias("k"), shown(e["value"]).alias("v"))))
+    return F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&"), F.lit(""))
 
 
 def citation_id(source: Column, locator: Column) -> Column:
@@ -27,12 +32,13 @@ def citation_id(source: Column, locator: Column) -> Column:
 
 def citations(events: DataFrame) -> DataFrame:
     """Each session's citations, of equal ones (source, locator, value) the first."""
-    rows = log(events).filter("type = 'citation'").withColumn("cite", citation_id(F.col("source"), F.col("locator")))
+    rows = log(events, "type", "source", "locator", "value").filter("type = 'citation'").withColumn("cite", citation_id(F.col("source"), F.col("locator")))
     return rows.groupBy("session_id", "cite", "value").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
 
 
 def call_keys(events: DataFrame) -> DataFrame:
-    return log(events).filter("type = 'tool_call'").select("session_id", "seq", "name", canonical(F.col("args")).alias("args_key"))
+    """Each tool call with the canonical JSON of its arguments: calls with equal name and arguments have equal keys."""
+    return log(events, "type", "name", "args").filter("type = 'tool_call'").select("session_id", "seq", "name", canonical_json(F.col("args")).alias("args_key"))
 
 
 def cache_stats(events: DataFrame) -> DataFrame:
@@ -41,6 +47,16 @@ def cache_stats(events: DataFrame) -> DataFrame:
     return keys.groupBy("session_id").agg((F.sum("n") - F.count("*")).alias("hits"), F.count("*").alias("misses"), F.count("*").alias("size"))
 
 
+def six_digits(x: Column) -> Column:
+    """A number with six significant digits and no trailing zeros, with an exponent below 1e-4 and from 1e6."""
+    size = F.floor(F.log10(F.abs(x)))
+    size = F.when(F.round(F.abs(x) / F.pow(F.lit(10.0), size), 5) >= 10, size + 1).otherwise(size)
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.coalesce(*(F.when(size == k, bare(F.format_string(f"%.{5 - k}f", x))) for k in range(-4, 6)))
+    scaled = F.concat(bare(F.format_string("%.5f", x / F.pow(F.lit(10.0), size))), F.lit("e"), F.when(size < 0, "-").otherwise("+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").otherwise(F.coalesce(plain, scaled))
+
+
 #: What a verdict is of: a case with one run, or each of a case's runs.
 CASE, RUN = ("case_id",), ("case_id", "session_id")
 
@@ -62,7 +78,7 @@ def repeated_calls(run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = C
 def coverage(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Fails a case with an expected source that no call or result names, where a path covers what lies below it and what it lies below."""
     want = cases.select("case_id", F.explode("expected_citations").alias("c")).select("case_id", F.substring_index("c", "#", 1).alias("source")).distinct()
-    rows = log(events)
+    rows = log(events, "type", "args", "result")
     asked = rows.filter("type = 'tool_call'").select("session_id", F.explode(F.array(*(F.get_json_object("args", f"$.{k}") for k in ("path", "file_path", "entity")))).alias("path"))
     got = rows.filter("type = 'tool_result'").select("session_id", F.get_json_object("result", "$.path").alias("path"))
     seen = asked.unionByName(got).filter("path is not null and path != ''").distinct().join(run_of, "session_id").select(*by, F.rtrim(F.col("path"), F.lit("/")).alias("path"))
@@ -79,29 +95,31 @@ def coverage(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[s
 
 def answers(run_of: DataFrame, events: DataFrame) -> DataFrame:
     """(case_id, session_id, answer): the last final answer of each run, or null."""
-    last = log(events).filter("type = 'final_answer'").groupBy("session_id").agg(F.max_by("text", "seq").alias("answer"), F.lit(True).alias("answered"))
+    last = log(events, "type", "text").filter("type = 'final_answer'").groupBy("session_id").agg(F.max_by("text", "seq").alias("answer"), F.lit(True).alias("answered"))
     return run_of.join(last, "session_id", "left")
 
 
 def faithfulness(run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
-    """Fails a case whose answer states a figure that no citation of the run holds, under any of the FACTORS either way, with a relative tolerance of 1e-6. The detail counts the figures not held."""
+    """Fails a case whose answer states a figure that no citation of the run holds, under any of the FACTORS either way, with a relative tolerance of 1e-6. The detail names the first figure not held."""
     said = answers(run_of, events).select("case_id", "session_id", F.posexplode_outer(numeric_claims(F.coalesce("answer", F.lit("")))).alias("at", "claim"))
-    cited = log(events).filter("type = 'citation'").select("session_id", F.explode(numeric_claims(F.btrim(F.coalesce("value", F.lit("")), F.lit('"')))).alias("number")).distinct()
+    cited = log(events, "type", "value").filter("type = 'citation'").select("session_id", F.explode(numeric_claims(F.btrim(F.coalesce("value", F.lit("")), F.lit('"')))).alias("number")).distinct()
     factor = F.explode(F.array(*(F.lit(f) for f in FACTORS)))
     scaled = cited.withColumn("f", factor)
     a, c, f = F.col("claim"), F.col("number"), F.col("f")
     close = lambda x, y: F.abs(x - y) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
     claims = said.filter("claim is not null")
     held = claims.join(scaled, "session_id").filter(close(a, c * f) | close(a * f, c)).select(*by, "at").distinct().withColumn("ok", F.lit(True))
-    sums = said.join(held, [*by, "at"], "left").groupBy(*by).agg(F.count("claim").alias("claims"), F.count_if(F.col("claim").isNotNull() & F.col("ok").isNull()).alias("open"))
-    status = F.when(F.col("claims") == 0, "na").when(F.col("open") > 0, "fail").otherwise("pass")
-    detail = F.when(F.col("claims") == 0, "no numeric claims").when(F.col("open") > 0, F.format_string("%d of %d claims not cited", "open", "claims"))
+    open_ = F.col("claim").isNotNull() & F.col("ok").isNull()
+    sums = said.join(held, [*by, "at"], "left").groupBy(*by).agg(F.count("claim").alias("claims"), F.min_by("claim", F.when(open_, F.col("at"))).alias("open"))
+    status = F.when(F.col("claims") == 0, "na").when(F.col("open").isNotNull(), "fail").otherwise("pass")
+    shown = F.when(F.col("open") == F.floor("open"), F.format_string("%.0f", "open")).otherwise(six_digits(F.col("open")))
+    detail = F.when(F.col("claims") == 0, "no numeric claims").when(F.col("open").isNotNull(), F.format_string("claim %s not cited", shown))
     return sums.select(_verdict(by, "faithfulness", status, detail))
 
 
 def entity_resolution(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Of cases that expect a clarification, whether there was one."""
-    asked = log(events).filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
+    asked = log(events, "type").filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
     rows = run_of.join(cases.select("case_id", "expected_clarification"), "case_id").join(asked, "session_id", "left")
     due = F.coalesce("expected_clarification", F.lit(False))
     return rows.select(_verdict(by, "entity_resolution", F.when(~due, "na").when(F.col("asked"), "pass").otherwise("fail"), F.lit("")))
@@ -109,7 +127,7 @@ def entity_resolution(cases: DataFrame, run_of: DataFrame, events: DataFrame, by
 
 def expected_clarification(cases: DataFrame, run_of: DataFrame, events: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
     """Of cases that say whether a clarification is due, whether the run agrees."""
-    asked = log(events).filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
+    asked = log(events, "type").filter("type = 'clarification'").select("session_id", F.lit(True).alias("asked")).distinct()
     rows = run_of.join(cases.filter("expected_clarification is not null").select("case_id", "expected_clarification"), "case_id").join(asked, "session_id", "left")
     did = F.coalesce("asked", F.lit(False))
     detail = F.when(did & F.col("expected_clarification"), "clarified").when(F.col("expected_clarification") & ~did, "expected a clarification").when(did, "a direct answer was expected")
@@ -135,17 +153,35 @@ def latency_cost(cases: DataFrame, measured: DataFrame, by: tuple[str, ...] = CA
     return rows.select(_verdict(by, "latency_cost", F.when(F.coalesce(over, F.lit(False)) | F.coalesce(late, F.lit(False)), "fail").otherwise("pass"), detail))
 
 
-def scorecard(results: DataFrame, checks: list[str]) -> DataFrame:
-    """A row per case with a cell for each check, and whether the case passes: no check fails."""
+def columns_of(results: DataFrame, order: str | None = None) -> list[str]:
+    """The names of the checks as columns of a scorecard, in the order first seen by a numbered column, else by name."""
+    first = F.min(order) if order else F.min("check")
+    return [r.check for r in results.groupBy("check").agg(first.alias("first")).orderBy("first", "check").collect()]
+
+
+def scorecard(results: DataFrame, checks: list[str] | None = None, by: tuple[str, ...] = CASE) -> DataFrame:
+    """A row per case (or run) with a cell for each check, and whether it passes: no check fails. Without `checks`, the ones there are."""
+    checks = columns_of(results) if checks is None else list(dict.fromkeys(checks))
     cell = F.when(F.col("status") == "pass", F.concat(F.lit("✓"), F.when(F.col("detail") != "", F.concat(F.lit(" ("), "detail", F.lit(")"))).otherwise("")))
     cell = cell.when(F.col("status") == "na", "n/a").otherwise(F.concat(F.lit("✗"), F.when(F.col("detail") != "", F.concat(F.lit(" — "), "detail")).otherwise("")))
     cells = (F.coalesce(F.max(F.when(F.col("check") == c, cell)), F.lit("—")).alias(c) for c in checks)
-    return results.groupBy("case_id").agg(*cells, F.bool_and(F.col("status") != "fail").alias("passed"))
+    return results.groupBy(*by).agg(*cells, F.bool_and(F.col("status") != "fail").alias("passed"))
+
+
+def suite_counts(results: DataFrame, by: tuple[str, ...] = CASE) -> DataFrame:
+    own = results.groupBy(*by).agg(F.bool_and(F.col("status") != "fail").alias("passed"))
+    return own.agg(F.count("*").alias("runs"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
 
 
-def suite_counts(results: DataFrame) -> DataFrame:
-    own = results.groupBy("case_id").agg(F.bool_and(F.col("status") != "fail").alias("passed"))
-    return own.agg(F.count("*").alias("cases"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
+def chosen_cases(cases: DataFrame, only: list[str] | None) -> DataFrame:
+    """The cases with these ids; none chosen gives all, an id that no case has is an error."""
+    if not only:
+        return cases
+    rows = cases.filter(F.col("case_id").isin(only))
+    unknown = set(only) - {r.case_id for r in rows.select("case_id").distinct().collect()}  # at most as many as were asked for
+    if unknown:
+        raise ValueError(f"unknown cases: {', '.join(sorted(unknown))}")
+    return rows
 
 
 def usage_totals(actions: DataFrame, *by: str) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindrift.functions.text import canonical_json
+
 #: Sequence numbers in a block.
 BLOCK = 1024
 
@@ -16,12 +18,22 @@ BLOCK = 1024
 TYPES = "user_query status tool_call tool_result citation clarification final_answer error compaction oracle steering".split()
 #: Tools that the loop takes for itself, which have no result of their own.
 INTERCEPTED = "save_note register_citation request_clarification stop escalate_to_oracle".split()
+#: Versions of sidecars that can be read.
+VERSIONS = (1, 2)
+
 
+def log(events: DataFrame, *columns: str) -> DataFrame:
+    """The events of each session, one per sequence number: of rows delivered more than once the first. Rows without session or sequence number are left out.
 
-def log(events: DataFrame) -> DataFrame:
-    """The events of each session in order, one per sequence number: of rows delivered more than once the first. Rows without session or sequence number are left out."""
+    With `columns` only these are carried beside session_id and seq, and only these are shuffled. Events without a
+    row_id, the order of arrival, are a log already and stay as they are.
+    """
     rows = events.filter("session_id is not null and seq is not null")
-    return rows.groupBy("session_id", "seq").agg(F.min_by(F.struct(*(c for c in events.columns if c not in ("session_id", "seq"))), "row_id").alias("e")).select("session_id", "seq", "e.*")
+    if "row_id" not in events.columns:
+        return rows.select("session_id", "seq", *columns) if columns else rows
+    held = [c for c in (columns or events.columns) if c not in ("session_id", "seq")]
+    first = rows.groupBy("session_id", "seq").agg(F.min_by(F.struct(*held), "row_id").alias("e"))
+    return first.select("session_id", "seq", "e.*")
 
 
 def running(rows: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
@@ -37,15 +49,15 @@ def running(rows: DataFrame, key: str, order: str, values: dict[str, Column]) ->
     return full.drop("_block", *(f"{p}{n}" for n in values for p in ("_v_", "_in_", "_b_")))
 
 
-def with_rounds(events: DataFrame) -> DataFrame:
-    """The log with `round`: how many user queries there are up to the event; 0 before the first."""
-    return running(log(events), "session_id", "seq", {"round": (F.col("type") == "user_query").cast("int")})
+def with_rounds(events: DataFrame, *columns: str) -> DataFrame:
+    """The log, or these columns of it, with `round`: how many user queries there are up to the event; 0 before the first."""
+    return running(log(events, *columns), "session_id", "seq", {"round": (F.col("type") == "user_query").cast("int")})
 
 
 def session_summary(events: DataFrame) -> DataFrame:
     """Rounds, events, first and last time of each session, and how often it errs, compacts, escalates and truncates."""
     count = lambda t: F.count_if(F.coalesce(F.col("type") == t, F.lit(False)))
-    return log(events).groupBy("session_id").agg(
+    return log(events, "type", "ts", "truncated", "cached").groupBy("session_id").agg(
         count("user_query").alias("rounds"), F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         count("error").alias("errors"), count("compaction").alias("compactions"), count("oracle").alias("escalations"),
         F.count_if(F.coalesce("truncated", F.lit(False))).alias("truncated_results"), F.count_if(F.coalesce("cached", F.lit(False))).alias("cached_results"),
@@ -53,16 +65,30 @@ def session_summary(events: DataFrame) -> DataFrame:
 
 
 def rebuilt_meta(meta: DataFrame, events: DataFrame) -> DataFrame:
-    """Every session of the log with its sidecar, or with one made from the log: count, first and last time, no parent or title. Sidecars of versions other than 1 and 2 are left out, as are ones of sessions without events."""
-    own = log(events).groupBy("session_id").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    side = meta.filter("schema_version in (1, 2)").groupBy("session_id").agg(F.max_by("parent_id", F.struct("schema_version", "last_updated")).alias("parent_id"), F.max("event_count").alias("event_count"))
+    """Every session of the log with its sidecar, or with one made from the log: count, first and last time, no parent or title.
+
+    Of several saves of a sidecar the one with the latest last_updated instant holds, whole; of equal ones the one with
+    the greatest version, count and parent. A listing skips sidecars of unknown versions, as it does ones of sessions
+    without events; versions_checked() raises for them instead.
+    """
+    own = log(events, "ts").groupBy("session_id").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    at = F.coalesce(F.expr("try_cast(last_updated as timestamp)"), F.lit("0001-01-01").cast("timestamp"))
+    rank = F.struct(at, "schema_version", F.coalesce("event_count", F.lit(-1)), F.coalesce("parent_id", F.lit("")))
+    side = meta.filter(F.col("schema_version").isin(*VERSIONS)).groupBy("session_id").agg(F.max_by(F.struct("parent_id", "event_count", F.lit(True).alias("there")), rank).alias("m"))
     rows = own.join(side, "session_id", "left")
-    return rows.select("session_id", "parent_id", F.coalesce(F.col("event_count").cast("long"), "n").alias("event_count"), F.col("event_count").isNull().alias("rebuilt"), F.col("lo").alias("created"), F.col("hi").alias("last_updated"))
+    return rows.select("session_id", F.col("m.parent_id").alias("parent_id"), F.coalesce(F.col("m.event_count").cast("long"), "n").alias("event_count"), F.col("m.there").isNull().alias("rebuilt"), F.col("lo").alias("created"), F.col("hi").alias("last_updated"))
+
+
+def versions_checked(meta: DataFrame) -> DataFrame:
+    """The sidecars; a row of an unknown version is an error when it is read."""
+    known = F.coalesce(F.col("schema_version").isin(*VERSIONS), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("sidecar of "), F.coalesce("session_id", F.lit("no session")), F.lit(": unknown schema_version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("null"))))
+    return meta.withColumn("schema_version", F.when(known, F.col("schema_version")).otherwise(wrong.cast("int")))
 
 
 def paired_calls(events: DataFrame) -> DataFrame:
     """Every tool call that is not intercepted with its first later result of the same call id, or nulls."""
-    rows = log(events)
+    rows = log(events, "type", "call_id", "name", "args", "truncated", "cached")
     calls = rows.filter(F.col("type") == "tool_call").filter(~F.coalesce(F.col("name").isin(*INTERCEPTED), F.lit(False))).select("session_id", "call_id", "seq", "name", "args")
     results = rows.filter("type = 'tool_result'").select("session_id", "call_id", F.col("seq").alias("rseq"), "truncated", "cached")
     both = calls.join(results, ["session_id", "call_id"], "left").filter("rseq is null or rseq > seq")
@@ -71,9 +97,9 @@ def paired_calls(events: DataFrame) -> DataFrame:
 
 
 def call_ordinals(events: DataFrame) -> DataFrame:
-    """How many identical calls (name, arguments) of the session each call comes after: the recorded result it takes."""
-    key = F.sha2(F.to_json(F.struct("session_id", "name", "args")), 256)
-    calls = log(events).filter("type = 'tool_call'").select("session_id", "seq", "name", key.alias("_call"))
+    """Which of the identical calls (name and canonical arguments, so that the order of keys is nothing) of its session each call is, from 1: the recorded result it takes."""
+    key = F.sha2(F.to_json(F.struct("session_id", "name", canonical_json(F.col("args")).alias("args"))), 256)
+    calls = log(events, "type", "name", "args").filter("type = 'tool_call'").select("session_id", "seq", "name", key.alias("_call"))
     return running(calls, "_call", "seq", {"ordinal": F.lit(1)}).select("session_id", "seq", "name", "ordinal")
 
 
@@ -84,9 +110,15 @@ def last_rows(rows: DataFrame, n: int, key: str = "session_id", order: str = "se
     return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank").join(total, key).withColumn("truncated", F.col("total") > n)
 
 
+def recent_notes(events: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n notes of each session: the texts its agent gave to save_note, which is a call without a result."""
+    calls = log(events, "type", "name", "args").filter("type = 'tool_call' and name = 'save_note'")
+    return last_rows(calls.select("session_id", "seq", F.get_json_object("args", "$.text").alias("note")), n).select("session_id", "seq", "note")
+
+
 def error_streaks(events: DataFrame, limit: int = 3) -> DataFrame:
     """Runs of tool errors without a success between: session, first event, length, and whether the limit (a nudge) and the step after it (an abort) were reached. Other events neither add to a run nor end it."""
-    steps = log(events).filter("type in ('error', 'tool_result')")
+    steps = log(events, "type").filter("type in ('error', 'tool_result')")
     marked = running(steps, "session_id", "seq", {"island": (F.col("type") == "tool_result").cast("int")})
     runs = marked.filter("type = 'error'").groupBy("session_id", "island").agg(F.min("seq").alias("first_seq"), F.count("*").alias("length"))
     return runs.select("session_id", "first_seq", "length", (F.col("length") >= limit).alias("nudged"), (F.col("length") > limit).alias("aborted"))
@@ -94,14 +126,14 @@ def error_streaks(events: DataFrame, limit: int = 3) -> DataFrame:
 
 def iteration_nudges(events: DataFrame, every: int = 3) -> DataFrame:
     """The turns at which an iteration nudge is due: every k-th, not the first."""
-    return log(events).filter((F.col("turn") > 0) & (F.col("turn") % every == 0)).select("session_id", "turn").distinct()
+    return log(events, "turn").filter((F.col("turn") > 0) & (F.col("turn") % every == 0)).select("session_id", "turn").distinct()
 
 
 def turns(events: DataFrame) -> DataFrame:
     """The log as turns of a history: role and content of what users, assistants and tools said."""
     role = F.when(F.col("type") == "user_query", "user").when(F.col("type") == "tool_result", "tool").when(F.col("type").isin("final_answer", "clarification", "tool_call"), "assistant")
     content = F.coalesce("query", "text", "question", "result", "args", F.lit(""))
-    return log(events).select("session_id", "seq", role.alias("role"), content.alias("content"), "name").filter("role is not null")
+    return log(events, "type", "query", "text", "question", "result", "args", "name").select("session_id", "seq", role.alias("role"), content.alias("content"), "name").filter("role is not null")
 
 
 def history_digest(events: DataFrame, keep: int = 3) -> DataFrame:
@@ -130,7 +162,7 @@ def context_pressure(events: DataFrame, budget: int, tiers: tuple[float, float,
 
 def fork(events: DataFrame, at_round: int, suffix: str) -> DataFrame:
     """The events a fork of each session before its round takes over, under the new session's id; -1 takes all, and sessions without that round have none."""
-    rows = with_rounds(events)
+    rows = with_rounds(events, "type")
     if at_round >= 0:
         have = rows.groupBy("session_id").agg(F.max("round").alias("rounds")).filter(F.col("rounds") >= at_round).select("session_id")
         rows = rows.join(have, "session_id", "left_semi").filter(F.col("round") < at_round)
@@ -139,14 +171,14 @@ def fork(events: DataFrame, at_round: int, suffix: str) -> DataFrame:
 
 def action_batches(events: DataFrame) -> DataFrame:
     """What the model did at each turn of each round: a batch of calls, else a final answer."""
-    rows = with_rounds(events).filter("round > 0")
+    rows = with_rounds(events, "type", "turn").filter("round > 0")
     groups = rows.groupBy("session_id", "round", "turn").agg(F.count_if(F.col("type") == "tool_call").alias("calls"), F.count_if(F.col("type") == "final_answer").alias("finals"))
     return groups.filter("calls > 0 or finals > 0").select("session_id", "round", "turn", F.when(F.col("calls") > 0, "calls").otherwise("final").alias("action"), "calls")
 
 
 def final_answers(events: DataFrame) -> DataFrame:
     """The last final answer of each round."""
-    rows = with_rounds(events).filter("type = 'final_answer' and round > 0")
+    rows = with_rounds(events, "type", "text").filter("type = 'final_answer' and round > 0")
     return rows.groupBy("session_id", "round").agg(F.max("seq").alias("seq"), F.max_by("text", "seq").alias("text"))
 
 

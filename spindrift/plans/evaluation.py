@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from spindrift.operators import catalog, evidence, sessions
 from spindrift.plans.events import LOG
-from spindrift.runtime import table
+from spindrift.runtime import Workspace, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
+# The canonical forms in SQL: of a locator by its keys, of arguments as JSON with sorted keys (the tables nest no values).
 _CANON = "array_to_string(list_transform(list_sort(json_keys({0})), lambda k: k || '=' || coalesce(json_extract_string({0}, '$.\"' || k || '\"'), 'None')), '&')"
+_SORTED = "'{{' || array_to_string(list_transform(list_sort(json_keys({0})), lambda k: '\"' || k || '\":' || json_extract({0}, '$.\"' || k || '\"')), ',') || '}}'"
 RUNS = f"""{LOG},
-runs AS (SELECT case_id, session_id FROM (SELECT case_id, row_number() OVER (ORDER BY case_id) AS k FROM eval_cases) JOIN (SELECT session_id, row_number() OVER (ORDER BY session_id) AS k FROM (SELECT DISTINCT session_id FROM log)) USING (k)),
-calls AS (SELECT session_id, seq, name, {_CANON.format('args')} AS args_key FROM log WHERE type = 'tool_call'),
+runs AS (SELECT case_id, session_id FROM (SELECT DISTINCT session_id FROM log) JOIN (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS k FROM eval_cases) ON k = ('0x' || md5(session_id)[1:8])::BIGINT % (SELECT count(*) FROM eval_cases)),
+calls AS (SELECT session_id, seq, name, {_SORTED.format('args')} AS args_key FROM log WHERE type = 'tool_call'),
 answers AS (SELECT runs.case_id, runs.session_id, f.answer, f.session_id IS NOT NULL AS answered FROM runs LEFT JOIN (SELECT session_id, (list(text ORDER BY seq DESC))[1] AS answer FROM log WHERE type = 'final_answer' GROUP BY 1) f ON f.session_id = runs.session_id)
 """
 
@@ -40,12 +42,12 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_cases")
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, session_id): the tables hold no runs of the cases, so the k-th case is paired with the k-th session."""
-    cases = _cases(spark, d).select("case_id")
-    first = sessions.log(_events(spark, d)).select("session_id").distinct().orderBy("session_id").limit(cases.count())
-    k = lambda c: F.row_number().over(Window.orderBy(c)).alias("k")  # noqa: E731  # of no more rows than cases
-    return cases.select("case_id", k("case_id")).join(first.select("session_id", k("session_id")), "k").select("case_id", "session_id")
+def _runs(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
+    """(case_id, session_id): the tables hold no runs of the cases, so every session is taken for a run of the case that its hash picks."""
+    cases = _cases(spark, d).select("case_id", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("bigint").alias("k"))  # a suite is a file written by hand
+    k = F.conv(F.substring(F.md5("session_id"), 1, 8), 16, 10).cast("bigint") % F.lit(cases.count())
+    log = sessions.log(_events(spark, d) if events is None else events, "type")
+    return log.select("session_id").distinct().withColumn("k", k).join(F.broadcast(cases), "k").select("case_id", "session_id")
 
 
 @query(f"SELECT session_id, seq, CASE WHEN {_CANON.format('locator')} = '' THEN source ELSE source || '#' || {_CANON.format('locator')} END AS cite FROM log WHERE type = 'citation'")
@@ -70,11 +72,11 @@ def cache_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REPEATED = """(WITH g AS (SELECT session_id, name, args_key, count(*) AS n, min(seq) AS first FROM calls GROUP BY 1, 2, 3), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) AS k FROM g) WHERE k = 1)
-SELECT case_id, 'repeated_calls' AS "check", CASE WHEN n IS NULL THEN 'na' WHEN n >= 2 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN n IS NULL THEN 'no tool calls' WHEN n >= 2 THEN '''' || name || ''' called ' || n || '× with identical args' ELSE '' END AS detail FROM runs LEFT JOIN w USING (session_id))"""
+SELECT case_id, session_id, 'repeated_calls' AS "check", CASE WHEN n IS NULL THEN 'na' WHEN n >= 2 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN n IS NULL THEN 'no tool calls' WHEN n >= 2 THEN '''' || name || ''' called ' || n || '× with identical args' ELSE '' END AS detail FROM runs LEFT JOIN w USING (session_id))"""
 _COVERAGE = """(WITH want AS (SELECT DISTINCT case_id, split_part(c, '#', 1) AS source FROM (SELECT case_id, unnest(expected_citations) AS c FROM eval_cases)),
-p AS (SELECT DISTINCT case_id, rtrim(path, '/') AS path FROM (SELECT session_id, unnest([json_extract_string(args, '$.path'), json_extract_string(args, '$.file_path'), json_extract_string(args, '$.entity')]) AS path FROM log WHERE type = 'tool_call' UNION ALL SELECT session_id, json_extract_string(result, '$.path') FROM log WHERE type = 'tool_result') JOIN runs USING (session_id) WHERE path IS NOT NULL AND path <> ''),
-o AS (SELECT case_id, string_agg(source, ', ' ORDER BY source) AS missing FROM want WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.case_id = want.case_id AND (path = rtrim(source, '/') OR starts_with(rtrim(source, '/'), path || '/') OR starts_with(path, rtrim(source, '/') || '/'))) GROUP BY 1)
-SELECT case_id, 'coverage' AS "check", CASE WHEN case_id NOT IN (SELECT case_id FROM want) THEN 'na' WHEN missing IS NOT NULL THEN 'fail' ELSE 'pass' END AS status, CASE WHEN case_id NOT IN (SELECT case_id FROM want) THEN 'no expected citations' WHEN missing IS NOT NULL THEN 'uncovered: ' || missing ELSE '' END AS detail FROM runs LEFT JOIN o USING (case_id))"""
+p AS (SELECT DISTINCT case_id, session_id, rtrim(path, '/') AS path FROM (SELECT session_id, unnest([json_extract_string(args, '$.path'), json_extract_string(args, '$.file_path'), json_extract_string(args, '$.entity')]) AS path FROM log WHERE type = 'tool_call' UNION ALL SELECT session_id, json_extract_string(result, '$.path') FROM log WHERE type = 'tool_result') JOIN runs USING (session_id) WHERE path IS NOT NULL AND path <> ''),
+o AS (SELECT case_id, session_id, string_agg(source, ', ' ORDER BY source) AS missing FROM want JOIN runs USING (case_id) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.case_id = want.case_id AND p.session_id = runs.session_id AND (path = rtrim(source, '/') OR starts_with(rtrim(source, '/'), path || '/') OR starts_with(path, rtrim(source, '/') || '/'))) GROUP BY 1, 2)
+SELECT case_id, session_id, 'coverage' AS "check", CASE WHEN case_id NOT IN (SELECT case_id FROM want) THEN 'na' WHEN missing IS NOT NULL THEN 'fail' ELSE 'pass' END AS status, CASE WHEN case_id NOT IN (SELECT case_id FROM want) THEN 'no expected citations' WHEN missing IS NOT NULL THEN 'uncovered: ' || missing ELSE '' END AS detail FROM runs LEFT JOIN o USING (case_id, session_id))"""
 _NUM = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '(?:19|20)\d{{2}}\s*[-/‒-―]\s*\d{{2,4}}', ' ', 'g'), '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+'), lambda x: trim(x, '()[]{{}}"''.,;:!?–—-*_`#~')), lambda w: regexp_full_match(w, '[$₹€£]?(-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+(?:\.\d+)?)((?i)trillion|billion|million|thousand|bn|mn|[kmbt])?%?'))"""
 _NUMBERS = r"""(SELECT {0}, pos, replace(num, ',', '')::DOUBLE * CASE WHEN scale IN ('k', 'thousand') THEN 1e3 WHEN scale IN ('m', 'mn', 'million') THEN 1e6 WHEN scale IN ('b', 'bn', 'billion') THEN 1e9 WHEN scale IN ('t', 'trillion') THEN 1e12 ELSE 1 END AS v
 FROM (SELECT {0}, pos, regexp_extract(w, '^[$₹€£]?(-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+(?:\.\d+)?)((?i)trillion|billion|million|thousand|bn|mn|[kmbt])?%?$', 1) AS num, lower(regexp_extract(w, '^[$₹€£]?(-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|-?\d+(?:\.\d+)?)((?i)trillion|billion|million|thousand|bn|mn|[kmbt])?%?$', 2)) AS scale
@@ -82,107 +84,103 @@ FROM (SELECT {0}, pos, regexp_extract(w, '^[$₹€£]?(-?\d{{1,3}}(?:,\d{{3}})+
 WHERE NOT (scale = '' AND NOT contains(num, '.') AND replace(num, ',', '')::DOUBLE BETWEEN 1900 AND 2099))"""
 _FAITHFUL = f"""(WITH claim AS {_NUMBERS.format('case_id, session_id', _NUM.format("coalesce(answer, '')"), 'answers')},
 num AS (SELECT DISTINCT session_id, v FROM {_NUMBERS.format('session_id', _NUM.format("trim(coalesce(value, ''), chr(34))"), "(SELECT * FROM log WHERE type = 'citation')")}),
-j AS (SELECT case_id, pos, EXISTS (SELECT 1 FROM num, (SELECT unnest([1.0, 1e3, 1e6, 1e9, 1e12]) AS f) WHERE num.session_id = claim.session_id AND (abs(claim.v - num.v * f) <= 1e-6 * greatest(1.0, abs(claim.v), abs(num.v * f)) OR abs(claim.v * f - num.v) <= 1e-6 * greatest(1.0, abs(claim.v * f), abs(num.v)))) AS held FROM claim),
-s AS (SELECT runs.case_id, count(pos) AS claims, count(*) FILTER (NOT held) AS open FROM runs LEFT JOIN j ON j.case_id = runs.case_id GROUP BY 1)
-SELECT case_id, 'faithfulness' AS "check", CASE WHEN claims = 0 THEN 'na' WHEN open > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN claims = 0 THEN 'no numeric claims' WHEN open > 0 THEN open || ' of ' || claims || ' claims not cited' ELSE '' END AS detail FROM s)"""
-_ENTITY = """(SELECT case_id, 'entity_resolution' AS "check", CASE WHEN NOT coalesce(expected_clarification, false) THEN 'na' WHEN session_id IN (SELECT session_id FROM log WHERE type = 'clarification') THEN 'pass' ELSE 'fail' END AS status, '' AS detail FROM runs JOIN eval_cases USING (case_id))"""
-_EXPECTED = """(SELECT case_id, 'expected_clarification' AS "check", CASE WHEN did = expected_clarification THEN 'pass' ELSE 'fail' END AS status, CASE WHEN did AND expected_clarification THEN 'clarified' WHEN expected_clarification THEN 'expected a clarification' WHEN did THEN 'a direct answer was expected' ELSE '' END AS detail
-FROM (SELECT case_id, expected_clarification, session_id IN (SELECT session_id FROM log WHERE type = 'clarification') AS did FROM runs JOIN eval_cases USING (case_id) WHERE expected_clarification IS NOT NULL))"""
-_FORBIDDEN = """(SELECT case_id, 'forbidden_phrases' AS "check", CASE WHEN NOT answered THEN 'na' WHEN len(hits) > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN NOT answered THEN 'no final answer to scan' WHEN len(hits) > 0 THEN 'answer contains ' || array_to_string(hits, ', ') ELSE '' END AS detail
-FROM (SELECT case_id, answered, list_filter(forbidden_phrases, lambda p: contains(lower(coalesce(answer, '')), lower(p))) AS hits FROM answers JOIN eval_cases USING (case_id) WHERE len(forbidden_phrases) > 0))"""
-_MEASURED = "(SELECT case_id, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(total)::BIGINT AS total, round(count(*) * 1.5::DOUBLE, 1) AS seconds FROM (SELECT runs.case_id, coalesce(usage.prompt, 0) AS prompt, coalesce(usage.completion, 0) AS completion, coalesce(usage.total, 0) AS total FROM runs JOIN model_actions a ON a.session_id = runs.session_id) GROUP BY 1)"
-_LATENCY = f"""(SELECT case_id, 'latency_cost' AS "check", CASE WHEN coalesce(t > max_tokens, false) OR coalesce(seconds > max_seconds, false) THEN 'fail' ELSE 'pass' END AS status,
+j AS (SELECT case_id, session_id, pos, v, EXISTS (SELECT 1 FROM num, (SELECT unnest([1.0, 1e3, 1e6, 1e9, 1e12]) AS f) WHERE num.session_id = claim.session_id AND (abs(claim.v - num.v * f) <= 1e-6 * greatest(1.0, abs(claim.v), abs(num.v * f)) OR abs(claim.v * f - num.v) <= 1e-6 * greatest(1.0, abs(claim.v * f), abs(num.v)))) AS held FROM claim),
+s AS (SELECT runs.case_id, runs.session_id, count(pos) AS claims, arg_min(v, pos) FILTER (NOT held) AS open FROM runs LEFT JOIN j ON j.case_id = runs.case_id AND j.session_id = runs.session_id GROUP BY 1, 2)
+SELECT case_id, session_id, 'faithfulness' AS "check", CASE WHEN claims = 0 THEN 'na' WHEN open IS NOT NULL THEN 'fail' ELSE 'pass' END AS status, CASE WHEN claims = 0 THEN 'no numeric claims' WHEN open IS NOT NULL THEN 'claim ' || CASE WHEN open = floor(open) THEN printf('%.0f', open) ELSE printf('%g', open) END || ' not cited' ELSE '' END AS detail FROM s)"""
+_ENTITY = """(SELECT case_id, session_id, 'entity_resolution' AS "check", CASE WHEN NOT coalesce(expected_clarification, false) THEN 'na' WHEN session_id IN (SELECT session_id FROM log WHERE type = 'clarification') THEN 'pass' ELSE 'fail' END AS status, '' AS detail FROM runs JOIN eval_cases USING (case_id))"""
+_EXPECTED = """(SELECT case_id, session_id, 'expected_clarification' AS "check", CASE WHEN did = expected_clarification THEN 'pass' ELSE 'fail' END AS status, CASE WHEN did AND expected_clarification THEN 'clarified' WHEN expected_clarification THEN 'expected a clarification' WHEN did THEN 'a direct answer was expected' ELSE '' END AS detail
+FROM (SELECT case_id, session_id, expected_clarification, session_id IN (SELECT session_id FROM log WHERE type = 'clarification') AS did FROM runs JOIN eval_cases USING (case_id) WHERE expected_clarification IS NOT NULL))"""
+_FORBIDDEN = """(SELECT case_id, session_id, 'forbidden_phrases' AS "check", CASE WHEN NOT answered THEN 'na' WHEN len(hits) > 0 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN NOT answered THEN 'no final answer to scan' WHEN len(hits) > 0 THEN 'answer contains ' || array_to_string(hits, ', ') ELSE '' END AS detail
+FROM (SELECT case_id, session_id, answered, list_filter(forbidden_phrases, lambda p: contains(lower(coalesce(answer, '')), lower(p))) AS hits FROM answers JOIN eval_cases USING (case_id) WHERE len(forbidden_phrases) > 0))"""
+_MEASURED = "(SELECT case_id, session_id, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(total)::BIGINT AS total, round(count(*) * 1.5::DOUBLE, 1) AS seconds FROM (SELECT runs.case_id, runs.session_id, coalesce(usage.prompt, 0) AS prompt, coalesce(usage.completion, 0) AS completion, coalesce(usage.total, 0) AS total FROM runs JOIN model_actions a ON a.session_id = runs.session_id) GROUP BY 1, 2)"
+_LATENCY = f"""(SELECT case_id, session_id, 'latency_cost' AS "check", CASE WHEN coalesce(t > max_tokens, false) OR coalesce(seconds > max_seconds, false) THEN 'fail' ELSE 'pass' END AS status,
 CASE WHEN t > max_tokens THEN t || ' tok exceeds max_tokens ' || max_tokens WHEN seconds > max_seconds THEN printf('%.1fs exceeds max_seconds %.1f', seconds, max_seconds) ELSE CASE WHEN t >= 1000 THEN ((t * 10 + 500) // 1000) // 10 || '.' || ((t * 10 + 500) // 1000) % 10 || 'k tok' ELSE t || ' tok' END || ' · ' || printf('%.1fs', seconds) END AS detail
-FROM (SELECT case_id, max_tokens, max_seconds, seconds, CASE WHEN total > 0 THEN total ELSE prompt + completion END AS t FROM eval_cases JOIN {_MEASURED} USING (case_id)))"""
+FROM (SELECT case_id, session_id, max_tokens, max_seconds, seconds, CASE WHEN total > 0 THEN total ELSE prompt + completion END AS t FROM eval_cases JOIN {_MEASURED} USING (case_id)))"""
 _ALL = " UNION ALL ".join(f"SELECT * FROM {x}" for x in (_FORBIDDEN, _EXPECTED, _FAITHFUL, _COVERAGE, _REPEATED, _ENTITY, _LATENCY))
 CHECKS = ["forbidden_phrases", "expected_clarification", "faithfulness", "coverage", "repeated_calls", "entity_resolution", "latency_cost"]
 
 
 @query(f"SELECT * FROM {_REPEATED}")
 def repeated_calls(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.repeated_calls(_runs(spark, d), _events(spark, d))
+    return evidence.repeated_calls(_runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 @query(f"SELECT * FROM {_COVERAGE}")
 def coverage_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.coverage(_cases(spark, d), _runs(spark, d), _events(spark, d))
+    return evidence.coverage(_cases(spark, d), _runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 @query(f"SELECT * FROM {_FAITHFUL}")
 def faithfulness_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.faithfulness(_runs(spark, d), _events(spark, d))
+    return evidence.faithfulness(_runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 @query(f"SELECT * FROM {_ENTITY}")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.entity_resolution(_cases(spark, d), _runs(spark, d), _events(spark, d))
+    return evidence.entity_resolution(_cases(spark, d), _runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 @query(f"SELECT * FROM {_EXPECTED}")
 def expected_clarification(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.expected_clarification(_cases(spark, d), _runs(spark, d), _events(spark, d))
+    return evidence.expected_clarification(_cases(spark, d), _runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 @query(f"SELECT * FROM {_FORBIDDEN}")
 def forbidden_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.forbidden_phrases(_cases(spark, d), _runs(spark, d), _events(spark, d))
+    return evidence.forbidden_phrases(_cases(spark, d), _runs(spark, d), _events(spark, d), evidence.RUN)
 
 
 def _measured(spark: SparkSession, d: str, runs: DataFrame | None = None, by: tuple[str, ...] = evidence.CASE) -> DataFrame:
-    """Token use of each run, and a second and a half for each action of the model."""
-    rows = (_runs(spark, d) if runs is None else runs).join(table(spark, d, "model_actions"), "session_id")
+    """Token use of each run, and a second and a half for each action of the model. Actions are summed by session before they meet the runs."""
     sums = (F.sum(F.coalesce(F.col(f"usage.{c}"), F.lit(0))).alias(c) for c in ("prompt", "completion", "total"))
-    return rows.groupBy(*by).agg(*sums, F.round(F.count("*") * 1.5, 1).alias("seconds"))
+    used = table(spark, d, "model_actions").groupBy("session_id").agg(*sums, F.count("*").alias("n"))
+    rows = (_runs(spark, d) if runs is None else runs).join(used, "session_id")
+    return rows.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("prompt", "completion", "total")), F.round(F.sum("n") * 1.5, 1).alias("seconds"))
 
 
 @query(f"SELECT * FROM {_LATENCY}")
 def latency_cost_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.latency_cost(_cases(spark, d), _measured(spark, d))
-
-
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    parts = [f(spark, d) for f in (forbidden_phrases, expected_clarification, faithfulness_verdicts, coverage_verdicts, repeated_calls, entity_resolution, latency_cost_verdicts)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _all_runs(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, session_id) with every session, each paired with a case by its hash, so that a case has many runs."""
-    cases = _cases(spark, d).select("case_id", (F.row_number().over(Window.orderBy("case_id")) - 1).cast("bigint").alias("k"))
-    k = F.conv(F.substring(F.md5("session_id"), 1, 8), 16, 10).cast("bigint") % F.lit(cases.count())
-    return sessions.log(_events(spark, d)).select("session_id").distinct().withColumn("k", k).join(cases, "k").select("case_id", "session_id")
+    return evidence.latency_cost(_cases(spark, d), _measured(spark, d, by=evidence.RUN), evidence.RUN)
 
 
-@query()
-def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """The seven checks over every session of the log, a row per case, session and check."""
-    runs, cases, events, by = _all_runs(spark, d), _cases(spark, d), _events(spark, d), evidence.RUN
+def judged(events: DataFrame, cases: DataFrame, runs: DataFrame, measured: DataFrame, by: tuple[str, ...] = evidence.RUN) -> DataFrame:
+    """All seven checks over a log, a row per run and check."""
     out = evidence.repeated_calls(runs, events, by).unionByName(evidence.faithfulness(runs, events, by))
     for f in (evidence.coverage, evidence.entity_resolution, evidence.expected_clarification, evidence.forbidden_phrases):
         out = out.unionByName(f(cases, runs, events, by))
-    return out.unionByName(evidence.latency_cost(cases, _measured(spark, d, runs, by), by))
+    return out.unionByName(evidence.latency_cost(cases, measured, by))
+
+
+@query(f"SELECT * FROM ({_ALL})")
+def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The seven checks over every session of the log, a row per case, session and check. The log is put in order once, with what the checks need of it."""
+    ws = Workspace(spark, "verdicts")
+    needed = ("type", "name", "args", "source", "locator", "value", "text", F.get_json_object("result", "$.path").alias("path"))
+    held, _ = ws.keep(sessions.log(_events(spark, d).select("row_id", "session_id", "seq", *needed)).withColumn("result", F.when(F.col("path").isNotNull(), F.to_json(F.struct("path")))).drop("path"))
+    runs, _ = ws.keep(_runs(spark, d, held))
+    return judged(held, _cases(spark, d), runs, _measured(spark, d, runs, evidence.RUN))
 
 
 _CELLS = ", ".join(f"""coalesce(max(cell) FILTER ("check" = '{c}'), '—') AS {c}""" for c in CHECKS)
 
 
 @query(f"""WITH results AS ({_ALL}), cells AS (SELECT *, CASE status WHEN 'pass' THEN '✓' || CASE WHEN detail <> '' THEN ' (' || detail || ')' ELSE '' END WHEN 'na' THEN 'n/a' ELSE '✗' || CASE WHEN detail <> '' THEN ' — ' || detail ELSE '' END END AS cell FROM results)
-SELECT case_id, {_CELLS}, bool_and(status <> 'fail') AS passed FROM cells GROUP BY case_id""")
+SELECT case_id, session_id, {_CELLS}, bool_and(status <> 'fail') AS passed FROM cells GROUP BY case_id, session_id""")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.scorecard(_results(spark, d), CHECKS)
+    return evidence.scorecard(session_verdicts(spark, d), CHECKS, evidence.RUN)
 
 
-@query(f"WITH results AS ({_ALL}) SELECT count(*) AS cases, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed) AS n_failed FROM (SELECT case_id, bool_and(status <> 'fail') AS passed FROM results GROUP BY 1)")
+@query(f"WITH results AS ({_ALL}) SELECT count(*) AS runs, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed) AS n_failed FROM (SELECT case_id, session_id, bool_and(status <> 'fail') AS passed FROM results GROUP BY 1, 2)")
 def suite_counts(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.suite_counts(_results(spark, d))
+    return evidence.suite_counts(session_verdicts(spark, d), evidence.RUN)
 
 
-@query('SELECT case_id FROM eval_cases WHERE case_id LIKE \'n%\'', raw=True)
+@query("SELECT case_id FROM eval_cases WHERE case_id IN (SELECT min(case_id) FROM eval_cases UNION SELECT max(case_id) FROM eval_cases)", raw=True)
 def case_filter(spark: SparkSession, d: str) -> DataFrame:
-    """The chosen cases of a suite."""
-    return _cases(spark, d).filter(F.col("case_id").startswith("n")).select("case_id")
+    """The chosen cases of a suite, here its first and last."""
+    cases = _cases(spark, d)
+    ends = cases.agg(F.min("case_id").alias("a"), F.max("case_id").alias("b")).first()
+    return evidence.chosen_cases(cases, [x for x in ends if x is not None]).select("case_id")
 
 
 _SUM = ", ".join(f"sum(coalesce(usage.{f}, 0))::BIGINT AS {f}" for f in ("prompt", "completion", "cached", "cache_read", "cache_write", "total"))

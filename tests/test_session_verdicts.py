@@ -19,7 +19,7 @@ def rows_of(df):
 def test_every_session_is_judged(spark):
     mine = rows_of(evaluation.session_verdicts(spark, DATA))
     events, cases = table(spark, DATA, "agent_events"), table(spark, DATA, "eval_cases")
-    pairs = evaluation._all_runs(spark, DATA).collect()
+    pairs = evaluation._runs(spark, DATA).collect()
     assert {r.session_id for r in pairs} == {r.session_id for r in sessions.log(events).select("session_id").distinct().collect()}
     turns = []  # each with one run a case at most
     for r in sorted(pairs):
