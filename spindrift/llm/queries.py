@@ -111,4 +111,12 @@ runs AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 11], ' ') AS run FROM
 texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 held AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM texts))
 SELECT DISTINCT doc_id, case_id FROM held JOIN runs USING (run)""",
+    "p7_leaks": r"""
+WITH items AS (SELECT case_id, unnest(['passage', 'query']) AS field, unnest([regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'), regexp_extract_all(lower(query), '[\p{L}\p{N}]+')]) AS w FROM eval_cases),
+runs AS (SELECT case_id, field, len(w) AS size, i AS place, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM items)),
+texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+held AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM texts)),
+hits AS (SELECT doc_id, case_id, field, size, place FROM held JOIN runs USING (run)),
+places AS (SELECT doc_id, case_id, field, count(DISTINCT p) AS covered FROM (SELECT *, unnest(range(place, place + 12)) AS p FROM hits) GROUP BY 1, 2, 3)
+SELECT doc_id, case_id, field, count(*)::INT AS items, any_value(covered)::INT AS covered, any_value(covered) / any_value(size) AS share FROM hits JOIN places USING (doc_id, case_id, field) GROUP BY 1, 2, 3""",
 }

@@ -35,7 +35,9 @@ def test_against_brute_force(spark, as_rows):
     cs = spark.createDataFrame(cases, "case_id string, passage string, query string")
     want = brute(docs, cases, 12)
     assert want and as_rows(L.leaks(df, cs).select("doc_id", "case_id").distinct()) == want
-    assert as_rows(L.leaks(df, cs, block_words=60).select("doc_id", "case_id").distinct()) == want  # many blocks
+    full = as_rows(L.leaks(df, cs))
+    assert as_rows(L.leaks(df, cs, block_items=60)) == full  # many blocks
+    assert as_rows(L.leaks(df, cs, broadcast_rows=0)) == full  # salted join with the cases
     assert L.leaks(df.limit(0), cs).count() == 0 and L.leaks(df, cs.limit(0)).count() == 0
 
 
@@ -49,8 +51,10 @@ def test_counts_and_shares(spark):
 def test_words_whose_folding_is_not_lower_case(spark, as_rows):
     passage = "Die Straße zum Hafen wird im Herbst wieder gesperrt und dann erneuert"
     ligature = "The ofﬁce closed its counters in the year before the new terminal opened"
-    docs = [(1, f"Bericht: {passage}."), (2, passage.upper()), (3, passage.replace("Hafen", "Bahnhof")), (4, ligature), (5, None)]
+    greek = "ο λόγος του πρώτου έτους ήταν μεγάλος και ο δεύτερος στόχος της εταιρείας"
+    turkish = "İstanbul limanı bu yıl da çok büyük bir artış gösterdi ve yeni hat açıldı"
+    docs = [(1, f"Bericht: {passage}."), (2, passage.upper()), (3, passage.replace("Hafen", "Bahnhof")), (4, ligature), (5, None), (6, f"x {greek.upper()} y"), (7, f"{turkish}; und mehr")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    cs = spark.createDataFrame([("street", passage, None), ("office", None, ligature)], "case_id string, passage string, query string")
-    assert as_rows(L.leaks(df, cs).select("doc_id", "case_id")) == [(1, "street"), (2, "street"), (4, "office")]
+    cs = spark.createDataFrame([("street", passage, None), ("office", None, ligature), ("greek", greek, None), ("turkish", turkish, None)], "case_id string, passage string, query string")
+    assert as_rows(L.leaks(df, cs).select("doc_id", "case_id")) == [(1, "street"), (2, "street"), (4, "office"), (6, "greek"), (7, "turkish")]
     assert {r.word: r.df for r in L.document_frequencies(df, ["strasse", "office", "nowhere"]).collect()} == {"strasse": 3, "office": 1}
