@@ -34,7 +34,7 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split_documents(table(spark, d, "loaded_documents"), table(spark, d, "section_specs"), texts=False)
+    pieces = splitting.split_documents(table(spark, d, "loaded_documents"), table(spark, d, "section_specs"))
     return pieces.filter("pieces > 1 and piece = 0").select("load_id", "spec_name")
 
 

@@ -14,11 +14,11 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.functions.decoding import decode_bytes
-from spindrift.runtime import spread
+from spindrift.runtime import Workspace, spread
 
 # Boundaries from strong to weak; a match ends where the cut may be made.
 BOUNDARIES = (
@@ -32,6 +32,8 @@ BOUNDARIES = (
 )
 #: The first level that is used to form segments in any case; weaker ones only inside segments that are too large.
 SENTENCE = 3
+#: Distinct sections up to which their specs are broadcast, and the parts a section's rows are dealt to beyond.
+BROADCAST_SECTIONS, SALTS = 100_000, 64
 
 
 def _inside(text: str, start: int, end: int, room: int, levels: tuple) -> list[tuple[int, int]]:
@@ -79,13 +81,17 @@ def split_text(text: str, max_chars: int | None, overlap: int = 0) -> list[tuple
     """Pieces (from, start, end): text[from:end] is the piece, text[from:start] what it repeats of the piece before.
 
     Pieces have max_chars characters (code points) or fewer and together, without what they repeat, are the text. Each
-    but the first repeats `overlap` characters, or all there are before it if fewer. An overlap that would leave less
-    than half of the limit for new text is reduced to half of it. No limit, or an empty text, gives one piece.
+    but the first repeats `overlap` characters, or all there are before it if fewer. An overlap that leaves no room for
+    new text is an error. No limit, or an empty text, gives one piece.
     """
     n = len(text)
-    if not max_chars or max_chars < 1 or n <= max_chars:
+    if not max_chars or max_chars < 1:
+        return [(0, 0, n)]
+    overlap = max(0, overlap or 0)
+    if overlap >= max_chars:
+        raise ValueError(f"an overlap of {overlap} characters does not fit into pieces of {max_chars}")
+    if n <= max_chars:
         return [(0, 0, n)]
-    overlap = max(0, min(overlap or 0, max_chars // 2))
     cuts = segment(text, max_chars - overlap)
     edges = [0, *(c for c, _ in cuts), n]
     strength = [9, *(s for _, s in cuts), 9]  # of the edge with this number
@@ -115,29 +121,44 @@ def split_text(text: str, max_chars: int | None, overlap: int = 0) -> list[tuple
     return [(max(0, s - overlap) if s else 0, s, e) for s, e in zip(kept, kept[1:])]
 
 
-def with_spec(rows: DataFrame, specs: DataFrame, section: str = "section") -> DataFrame:
-    """rows with spec_name, max_chars and overlap_chars of the spec for their section: the one with that name, else the one with the longest prefix before its `*`; rows without a spec have nulls.
+def specs_of(sections: DataFrame, specs: DataFrame) -> DataFrame:
+    """(section, spec_name, max_chars, overlap_chars): for each distinct section the spec with its name, else the one with the longest prefix before its `*`. Specs are found by equality of prefixes."""
+    glob = F.col("name").endswith("*")
+    keyed = specs.select(F.when(glob, F.expr("substring(name, 1, length(name) - 1)")).otherwise(F.col("name")).alias("_key"), (~glob).alias("_exact"), F.col("name").alias("spec_name"), "max_chars", "overlap_chars")
+    names = sections.select("section").filter("section is not null").distinct()
+    prefixes = names.select("section", F.explode(F.transform(F.sequence(F.lit(0), F.length("section")), lambda i: F.substring("section", F.lit(1), i))).alias("_key"))
+    hits = prefixes.join(keyed, "_key").filter("not _exact or _key = section")
+    best = hits.groupBy("section").agg(F.max(F.struct("_exact", F.length("_key").alias("n"), "spec_name", "max_chars", "overlap_chars")).alias("b"))
+    return best.select("section", "b.spec_name", "b.max_chars", "b.overlap_chars")
+
 
-    Specs are found by equality of prefixes, per distinct section. Columns of rows with these names are replaced.
+def with_spec(rows: DataFrame, specs: DataFrame, key: str, section: str = "section", broadcast_sections: int = BROADCAST_SECTIONS) -> DataFrame:
+    """rows with spec_name, max_chars and overlap_chars of the spec for their section; rows without a spec have nulls.
+
+    The rows, which may hold large payloads, are not moved: only their distinct sections meet the specs, and what comes
+    of it is broadcast. Where there are more sections than that allows, each section's rows are dealt to SALTS parts by
+    their key. Columns of rows with these names are replaced. A spec whose overlap fills its limit is an error.
     """
+    bad = specs.filter("max_chars > 0 and overlap_chars >= max_chars").select("name").limit(5).collect()
+    if bad:
+        raise ValueError(f"specs whose overlap leaves no room for new text: {', '.join(str(r.name) for r in bad)}")
     rows = rows.drop("spec_name", "max_chars", "overlap_chars")
-    glob = F.col("name").endswith("*")
-    keyed = specs.select(F.when(glob, F.expr("substring(name, 1, length(name) - 1)")).otherwise(F.col("name")).alias("_key"), (~glob).alias("_exact"), F.col("name").alias("spec_name"), "max_chars", "overlap_chars")
-    names = rows.select(F.col(section).alias("_section")).filter("_section is not null").distinct()
-    prefixes = names.select("_section", F.explode(F.transform(F.sequence(F.lit(0), F.length("_section")), lambda i: F.substring("_section", F.lit(1), i))).alias("_key"))
-    hits = prefixes.join(keyed, "_key").filter("not _exact or _key = _section")
-    best = hits.withColumn("_rank", F.row_number().over(Window.partitionBy("_section").orderBy(F.desc("_exact"), F.desc(F.length("_key")), "spec_name")))
-    best = best.filter("_rank = 1").select("_section", "spec_name", "max_chars", "overlap_chars")
-    return rows.join(best, rows[section] == best["_section"], "left").drop("_section")
+    best, _ = Workspace(rows.sparkSession, "specs").keep(specs_of(rows.select(F.col(section).alias("section")), specs).withColumnRenamed("section", "_section"))
+    if best.count() <= broadcast_sections:
+        return rows.join(F.broadcast(best), rows[section] == best["_section"], "left").drop("_section")
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    many = best.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(many, (dealt[section] == many["_section"]) & (dealt["_salt"] == many["_s"]), "left").drop("_section", "_s", "_salt")
 
 
-def split_documents(loads: DataFrame, specs: DataFrame, texts: bool = True) -> DataFrame:
+def split_documents(loads: DataFrame, specs: DataFrame, broadcast_sections: int = BROADCAST_SECTIONS) -> DataFrame:
     """loads(load_id, section, raw, content_type): the pieces of each payload under the spec of its section.
 
-    One row per piece: load_id, spec_name, piece (from 0), pieces, start, end, repeated, n_chars and, with `texts`,
-    text. Null payloads have none, empty ones one empty piece; a section without spec or limit stays whole.
+    One row per piece: load_id, spec_name, piece (from 0), pieces, start, end, repeated, n_chars and text. Null payloads
+    have none, empty ones one empty piece; a section without spec or limit stays whole.
     """
-    rows = with_spec(spread(loads.select("load_id", "section", "raw", "content_type").filter("raw is not null")), specs)
+    held = loads.select("load_id", "section", "raw", "content_type").filter("raw is not null")
+    rows = with_spec(spread(held), specs, "load_id", broadcast_sections=broadcast_sections)
     rows = rows.select("load_id", "spec_name", "max_chars", "overlap_chars", "raw", "content_type")
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,11 +168,10 @@ def split_documents(loads: DataFrame, specs: DataFrame, texts: bool = True) -> D
                 text = decode_bytes(raw, kind)
                 parts = split_text(text, None if pd.isna(limit) else int(limit), 0 if pd.isna(overlap) else int(overlap))
                 for k, (f, s, e) in enumerate(parts):
-                    row = (load_id, spec if isinstance(spec, str) else None, k, len(parts), s, e, s - f, e - f)
-                    out.append((*row, text[f:e]) if texts else row)
+                    out.append((load_id, spec if isinstance(spec, str) else None, k, len(parts), s, e, s - f, e - f, text[f:e]))
             yield pd.DataFrame(out, columns=names)
 
-    names = ["load_id", "spec_name", "piece", "pieces", "start", "end", "repeated", "n_chars"] + ["text"] * texts
+    names = ["load_id", "spec_name", "piece", "pieces", "start", "end", "repeated", "n_chars", "text"]
     kind = loads.schema["load_id"].dataType.simpleString()
-    schema = f"load_id {kind}, spec_name string, piece int, pieces int, start int, end int, repeated int, n_chars int" + ", text string" * texts
+    schema = f"load_id {kind}, spec_name string, piece int, pieces int, start int, end int, repeated int, n_chars int, text string"
     return rows.mapInPandas(run, schema)

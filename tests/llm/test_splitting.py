@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -9,7 +10,7 @@ from spindrift.llm import splitting as S
 def check(text, limit, overlap):
     parts = S.split_text(text, limit, overlap)
     assert "".join(text[s:e] for _, s, e in parts) == text
-    ov = min(overlap, limit // 2)
+    ov = overlap
     for k, (f, s, e) in enumerate(parts):
         assert e - f <= limit or len(text) <= limit
         assert s - f == (min(ov, s) if k else 0)
@@ -19,7 +20,11 @@ def check(text, limit, overlap):
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab .\n,;\f#!éñ😀", max_size=400), st.integers(1, 60), st.integers(0, 50))
 def test_pieces_fit_and_join_to_the_text(text, limit, overlap):
-    check(text, limit, overlap)
+    if overlap < limit:
+        check(text, limit, overlap)
+    else:
+        with pytest.raises(ValueError):
+            S.split_text(text, limit, overlap)
 
 
 def test_cuts_at_natural_places():
@@ -60,3 +65,13 @@ def test_operator(spark, as_rows):
     first = {r.piece: r for r in out.filter("load_id = 1").collect()}
     assert first[1].text[: first[1].repeated] == first[0].text[-first[1].repeated :] and all(r.n_chars <= 20 for r in first.values())
     assert S.split_documents(loads.limit(0), specs).count() == 0
+    assert as_rows(S.split_documents(loads, specs, broadcast_sections=0)) == as_rows(out)  # salted join with the specs
+    with pytest.raises(ValueError):
+        S.split_documents(loads, specs.selectExpr("name", "required", "max_chars", "20 AS overlap_chars"))
+
+
+def test_payloads_do_not_meet_their_specs_in_a_shuffle(spark):
+    specs = spark.createDataFrame([("a*", 20, 5)], "name string, max_chars int, overlap_chars int")
+    loads = spark.range(1000).selectExpr("id AS load_id", "'ab' AS section", "cast('text' AS binary) AS raw", "cast(null AS string) AS content_type")
+    plan = S.split_documents(loads, specs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(section" not in plan and "SortMergeJoin" not in plan
