@@ -197,11 +197,11 @@ def events_per_hour(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).filter("ts is not null").groupBy(F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour"), "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query()  # its SQL needs the families' recursive part, see oracle.py
 def fork_tree(spark: SparkSession, d: str) -> DataFrame:
     """The forest of forked sessions, with the order of siblings; sessions without a known parent and cycles' nodes are roots of their own."""
     meta = table(spark, d, "session_meta")
-    nodes = hierarchy.hierarchies(hierarchy.known_links(hierarchy.current_rows(meta)), paths=False)
+    nodes = hierarchy.hierarchies(hierarchy.known_links(hierarchy.current_rows(meta)))
     created = meta.groupBy(hierarchy.trimmed(F.col("session_id")).alias("id")).agg(F.min("created").alias("created"))
     return hierarchy.fork_forest(nodes.join(created, "id")).select("id", "parent", "root", "depth", "subtree", "sibling")
 

@@ -23,7 +23,24 @@ node AS (
   FROM link LEFT JOIN ring ON ring.id = link.id LEFT JOIN tops ON tops.id = link.id)
 """
 
+# Nodes with the size of their subtree (none on a cycle) and, outside cycles, their path from the root.
+_WHOLE = r"""
+below AS (SELECT anc AS id, count(*) AS n FROM up GROUP BY anc),
+steps AS (SELECT up.id, list(up.anc ORDER BY a.depth) AS p FROM up JOIN node a ON a.id = up.anc JOIN node b ON b.id = up.id WHERE b.depth > 0 GROUP BY up.id),
+whole AS (
+  SELECT node.*, CASE WHEN node.id NOT IN (SELECT id FROM loops) THEN coalesce(below.n, 0) + 1 END AS subtree,
+         CASE WHEN depth >= 0 THEN list_append(coalesce(steps.p, []), node.id) END AS path
+  FROM node LEFT JOIN below ON below.id = node.id LEFT JOIN steps ON steps.id = node.id)
+"""
+
 ORACLE = {
+    "p3_families": f"""WITH RECURSIVE {_FAMILIES}, {_WHOLE}
+SELECT id AS session_id, root AS root_id, CAST(depth AS INT) AS depth, subtree, depth < 0 AS cyclic, array_to_string(path, ' > ') AS path FROM whole""",
+    "p3_intervals": f"""WITH RECURSIVE {_FAMILIES}, {_WHOLE}
+SELECT id AS session_id, root, CAST(depth AS INT) AS depth, row_number() OVER (ORDER BY path) - 1 AS first, row_number() OVER (ORDER BY path) - 2 + subtree AS last FROM whole WHERE depth >= 0""",
+    "fork_tree": f"""WITH RECURSIVE {_FAMILIES}, {_WHOLE}
+SELECT whole.id, whole.parent, root, CAST(depth AS INT) AS depth, subtree, concat_ws(' ', coalesce(c.created, ''), whole.id) AS sibling
+FROM whole JOIN (SELECT regexp_replace(session_id, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS id, min(created) AS created FROM session_meta GROUP BY 1) c ON c.id = whole.id""",
     "p3_found": f"WITH RECURSIVE {_FAMILIES} SELECT id AS session_id, root AS root_id, CAST(depth AS INT) AS depth FROM node WHERE parent IS NOT NULL",
     "p3_descendants": f"""WITH RECURSIVE {_FAMILIES}
 SELECT up.anc AS ancestor, up.id AS descendant, CAST(b.depth - a.depth AS INT) AS distance

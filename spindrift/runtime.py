@@ -117,3 +117,25 @@ class Workspace:
 
     def drop(self, path: str) -> None:
         Place(self.spark, path).delete()
+
+
+#: Rows of one key from which it is a hub.
+HUB_ROWS = 100_000
+
+
+def hub_join(rows: DataFrame, right: DataFrame, key: str, how: str = "inner", hub_rows: int = HUB_ROWS) -> DataFrame:
+    """rows joined with a table of unique keys, where a few keys may hold a large share of the rows.
+
+    Keys with more than `hub_rows` rows, of which a table of n rows has n / hub_rows at most, are answered from a
+    broadcast; the rows of all others meet the table in a shuffle. Rows with a null key belong to no hub.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    hubs = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hub_rows).select(key)
+    if not (names := hubs.limit(HUB_ROWS + 1).collect()):
+        return rows.join(right, key, how)
+    if len(names) > HUB_ROWS:
+        raise ValueError(f"more than {HUB_ROWS} keys with over {hub_rows} rows")
+    few = F.broadcast(rows.sparkSession.createDataFrame([(r[0],) for r in names], hubs.schema))
+    answers = F.broadcast(right.join(few, key, "left_semi"))
+    return rows.join(few, key, "left_semi").join(answers, key, how).unionByName(rows.join(few, key, "left_anti").join(right, key, how))

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from spindrift.operators.hierarchy import current_rows, descendants, hierarchies, known_links
+from spindrift.operators.hierarchy import current_rows, descendants, hierarchies, intervals, known_links
+from spindrift.runtime import hub_join
 
 
 def brute(parents):
@@ -28,14 +29,15 @@ def links(spark, parents):
     return known_links(spark.createDataFrame([(k, v) for k, v in parents.items()], "id string, parent string"))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_forests_with_cycles_against_walking_up(spark, seed):
+@pytest.mark.parametrize("seed, local", [(1, 100), (2, 100), (2, 3), (3, 0)])
+def test_forests_with_cycles_against_walking_up(spark, seed, local):
     rnd = random.Random(seed)
     ids = [f"n{i:02d}" for i in range(60)]
     parents = {n: rnd.choice([None, "gone", *ids]) if rnd.random() < 0.5 else ids[(i * 7 + 1) % 60] if rnd.random() < 0.9 else None for i, n in enumerate(ids)}
     want = brute(parents)
-    nodes = hierarchies(links(spark, parents)).collect()
-    assert {r.id: (r.root, r.depth) for r in nodes} == want
+    table = hierarchies(links(spark, parents), local_nodes=local)
+    nodes = table.collect()
+    assert {r.id: (r.root, r.depth) for r in nodes} == want and {r.id: r.parent for r in nodes} == {n: p if p in parents else None for n, p in parents.items()}
     below = {n: 0 for n in parents}
     for n in parents:
         at = n
@@ -45,6 +47,9 @@ def test_forests_with_cycles_against_walking_up(spark, seed):
     for r in nodes:
         if r.depth >= 0:
             assert r.subtree == below[r.id] and len(r.path) == r.depth + 1 and r.path[-1] == r.id
+    pairs = {(r.ancestor, r.descendant) for r in descendants(table).collect()}
+    held = intervals(table).collect()
+    assert {(a.id, b.id) for a in held for b in held if a.first < b.first <= a.last} == pairs
 
 
 def test_chain_fan_self_parent_and_orphan(spark):
@@ -81,3 +86,17 @@ def test_current_row_of_a_session(spark, as_rows):
     ]
     got = as_rows(current_rows(spark.createDataFrame(data, schema)))
     assert got == [("s1", "p"), ("s2", None), ("s3", "q")]
+
+
+def test_hubs_and_nulls_in_joins(spark, as_rows):
+    rows = spark.createDataFrame([(i, "hub" if i < 50 else "gone" if i < 60 else None if i < 70 else f"k{i}") for i in range(90)], "id long, key string")
+    right = spark.createDataFrame([(k, k.upper()) for k in ("hub", *(f"k{i}" for i in range(70, 85)))], "key string, v string")
+    for how in ("inner", "left"):
+        assert as_rows(hub_join(rows, right, "key", how, hub_rows=8), "id", "v") == as_rows(rows.join(right, "key", how), "id", "v")
+
+
+def test_long_chain_and_wide_fan_by_rounds(spark):
+    parents = {f"c{i:03d}": f"c{i - 1:03d}" if i else None for i in range(150)} | {f"f{i:03d}": "c149" for i in range(150)}
+    nodes = {r.id: r for r in hierarchies(links(spark, parents), local_nodes=20).collect()}
+    assert {k: (r.root, r.depth) for k, r in nodes.items()} == brute(parents)
+    assert nodes["c000"].subtree == 300 and nodes["f000"].path == [f"c{i:03d}" for i in range(150)] + ["f000"]
