@@ -1,9 +1,11 @@
 """Texts cut off by field limits.
 
 Each text is measured under several encodings; the lengths are grouped by source and measure, and a source whose
-lengths pile up at their maximum under some measure has a hidden limit there. Then the endings are looked at: open
-blocks, tables, list entries, sentences. What whole list entries end with is learned from the entries that another line
-follows, over all rows. Everything is built from column expressions; groups are summed before they are shuffled.
+lengths pile up at their maximum under some measure has a hidden limit there: a hard one, if the pile is that length
+itself, a soft one, if texts were cut at a word somewhat before it. A text just at a hard limit of its source is cut
+unless its ending is that of a whole text. Everywhere the endings are looked at: open blocks, tables, list entries,
+sentences. What whole list entries end with is learned from the entries that another line follows, over all rows.
+Everything is built from column expressions; groups are summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ NUMBER = r"(?<![\d.,])(?:\d{1,3}(?:[,.   ]\d{3})+(?:[.,]\d+)?|\d+(?:[.,]\d+)?)"
 FIGURE_LINE = rf"^[^:\n]{{1,60}}: (?:[\p{{Sc}}A-Z]{{0,4}} ?){NUMBER}(?: ?%)?$"
 #: A pile at the maximum: so many times the density of lengths a little below it, and so many texts at least.
 PILE, PILE_ROWS = 4.0, 3
+#: The share of a pile's texts at the maximum itself that makes a limit a hard one.
+HARD = 0.5
 #: A list entry's last word is a whole ending if it ends inner entries at least this share as often as final ones; a line with a figure is usual if so large a share of the lines with its label look alike.
 SHARE = 0.05
 
@@ -57,7 +61,7 @@ def measures(text: Column) -> dict[str, Column]:
 def _limits(sizes: DataFrame) -> DataFrame:
     """sizes(source, sizes MAP): (source, measure, limit_at, texts, at_limit, near, below, is_limit)."""
     each = sizes.select("source", F.explode("sizes").alias("measure", "len")).groupBy("source", "measure", "len").agg(F.count("*").alias("n"))
-    top = each.groupBy("source", "measure").agg(F.max("len").alias("limit_at"), F.sum("n").alias("texts"))
+    top = each.groupBy("source", "measure").agg(F.max("len").alias("limit_at"), F.sum("n").alias("texts"))  # a row for each source and measure
     top = top.withColumnsRenamed({"source": "s", "measure": "m"})
     w = F.ceil(F.col("limit_at") * 0.04)
     strips = (
@@ -69,7 +73,14 @@ def _limits(sizes: DataFrame) -> DataFrame:
             (F.sum(F.when((F.col("len") <= F.col("limit_at") - w) & (F.col("len") > F.col("limit_at") - 3 * w), F.col("n")).otherwise(0)) / 2).alias("below"),
         )
     )
-    return strips.withColumn("is_limit", (F.col("at_limit") >= PILE_ROWS) & (F.col("near") >= PILE * F.greatest("below", F.lit(0.5))))
+    is_limit = (F.col("at_limit") >= PILE_ROWS) & (F.col("near") >= PILE * F.greatest("below", F.lit(0.5)))
+    return strips.withColumn("is_limit", is_limit).withColumn("is_hard", is_limit & (F.col("at_limit") >= HARD * F.col("near")))
+
+
+def _sizes(text: Column) -> Column:
+    """The measures of a text, by name; what is left of a character cut in half, U+FFFD at the end, is not measured, as it takes more room than the bytes it stands for."""
+    own = F.rtrim(text, F.lit("\ufffd"))
+    return F.create_map(*(x for m, c in measures(own).items() for x in (F.lit(m), c)))
 
 
 def hidden_limits(actions: DataFrame) -> DataFrame:
@@ -77,10 +88,10 @@ def hidden_limits(actions: DataFrame) -> DataFrame:
 
     `at_limit` texts have just that length, `near` are within 4 % of it, `below` is the mean number in each of the two
     strips of that width below. `is_limit` holds if PILE_ROWS or more are at the maximum and PILE times as many near it
-    as below. A null source is a source of its own; null and empty texts are left out.
+    as below, `is_hard` if HARD of these are at the maximum itself. A null source is a source of its own; null and empty
+    texts are left out.
     """
-    own = F.create_map(*(x for m, c in measures(F.col("text")).items() for x in (F.lit(m), c)))
-    return _limits(actions.filter("text is not null and text != ''").select("source", own.alias("sizes")))
+    return _limits(actions.filter("text is not null and text != ''").select("source", _sizes(F.col("text")).alias("sizes")))
 
 
 def _figures(c: Column) -> Column:
@@ -92,7 +103,7 @@ def _figures(c: Column) -> Column:
 
 def _last_token(line: Column) -> Column:
     """The last word of a list entry, with figures as classes."""
-    return _figures(F.element_at(F.split(F.rtrim(F.right(line, F.lit(120))), r"\s+"), -1))
+    return _figures(F.substring_index(F.rtrim(F.translate(line, "\t\x0b\x0c\r", "    ")), " ", -1))
 
 
 def _endings(actions: DataFrame) -> DataFrame:
@@ -100,7 +111,7 @@ def _endings(actions: DataFrame) -> DataFrame:
     lines = F.split("t", r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]")
     rows = spread(actions.select("action_id", "source", "text").filter("text is not null and text != ''")).withColumn("t", t).withColumn("lines", lines)
     rows = rows.withColumn("line", F.element_at("lines", -1)).withColumn("before", F.coalesce(F.try_element_at("lines", F.lit(-2)), F.lit(""))).drop("lines")
-    end = F.right(F.col("t"), F.lit(200))
+    end = F.col("line")
     pipes, own = _count(F.col("before"), "|"), _count(F.col("line"), "|")
     fenced = _count(F.col("t"), "```") % 2 == 1
     opened = (
@@ -132,13 +143,14 @@ def _examined(actions: DataFrame) -> DataFrame:
     lines = F.split("text", r"\r\n|[\n\r\x0b\x0c]")
     before = F.when(F.size(lines) > 1, F.slice(lines, F.lit(1), F.size(lines) - 1))
     inner = F.when(F.col("text").rlike("(?m)" + LIST_ENTRY), F.transform(F.filter(before, lambda x: x.rlike(LIST_ENTRY)), _last_token))
-    own = F.create_map(*(x for m, c in measures(F.col("text")).items() for x in (F.lit(m), c)))
+    own = _sizes(F.col("text"))
     token = F.when(F.col("ending") == "list_entry", _last_token(F.col("line"))).when(F.col("ending") == "figure", _figures(F.col("line")))
     kept, _ = Workspace(actions.sparkSession, "truncation").keep(ends.select("action_id", "source", "ending", token.alias("token"), inner.alias("inner"), own.alias("sizes")))
     return kept
 
 
 def _judged(seen: DataFrame, limits: DataFrame) -> DataFrame:
+    """The verdicts; `limits` may be empty, which leaves the endings alone to decide."""
     maybe = seen.filter("ending in ('list_entry', 'figure')")
     counts = maybe.groupBy("ending", "token").agg(F.count("*").alias("final"))
     known = seen.select(F.explode("inner").alias("token")).groupBy("token").agg(F.count("*").alias("inner"))
@@ -147,34 +159,38 @@ def _judged(seen: DataFrame, limits: DataFrame) -> DataFrame:
     totals = counts.filter("ending = 'figure'").groupBy(label.alias("label")).agg(F.sum("final").alias("all"))
     figures = counts.filter("ending = 'figure'").withColumn("label", label).join(totals, "label").filter(f"final >= {SHARE} * all").select("ending", "token")
     good = entries.unionByName(figures).withColumn("usual", F.lit(True))
-    at = limits.filter("is_limit").groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("measure", "limit_at")).alias("limits"))  # measures are few
-    judged = (
-        maybe.join(good, ["ending", "token"], "left")
-        .join(at, F.col("s").eqNullSafe(F.col("source")), "left")
-        .withColumn("at_limit", F.coalesce(F.expr("exists(limits, x -> sizes[x.measure] = x.limit_at)"), F.lit(False)))
-        .withColumn("cut", F.col("at_limit") | F.col("usual").isNull())
-    )
-    cols = ["action_id", "source", "ending", "cut"]
-    plain = seen.filter("ending not in ('list_entry', 'figure')").withColumn("cut", ~F.col("ending").isin("whole", "blank"))
-    return plain.select(cols).unionByName(judged.select(cols))
+    at = limits.filter("is_limit").groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("measure", "limit_at", "is_hard")).alias("limits"))  # measures are few
+    rows = seen.join(F.broadcast(good), ["ending", "token"], "left") if _few(good) else seen.join(good, ["ending", "token"], "left")
+    rows = rows.join(F.broadcast(at) if _few(at) else at, F.col("s").eqNullSafe(F.col("source")), "left")
+    hard = F.coalesce(F.expr("exists(limits, x -> x.is_hard and sizes[x.measure] = x.limit_at)"), F.lit(False))
+    soft = F.coalesce(F.expr("exists(limits, x -> sizes[x.measure] <= x.limit_at and sizes[x.measure] > x.limit_at - ceil(x.limit_at * 0.04))"), F.lit(False))
+    whole, doubtful = F.col("ending").isin("whole", "blank"), F.col("ending").isin("list_entry", "figure")
+    cut = ~whole & (F.col("at_limit") | ~doubtful | F.col("usual").isNull())
+    by = F.when(F.col("at_limit"), "limit").when(soft, "near limit").otherwise("ending")
+    return rows.withColumn("at_limit", hard).withColumn("cut", cut).select("action_id", "source", "ending", "at_limit", "cut", F.when(F.col("cut"), by).alias("by"))
+
+
+def _few(table: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table of sums has so few rows that it can be broadcast."""
+    return len(table.select(F.lit(1)).limit(rows + 1).collect()) <= rows
 
 
 def truncated(actions: DataFrame) -> DataFrame:
-    """actions(action_id, source, text): every row with a text, with `ending` (how it ends) and `cut`.
+    """actions(action_id, source, text): every row with a text, with `ending` (how it ends), `at_limit` (its length is a hard limit of its source), `cut`, and what shows that: `by` limit, near limit or ending.
 
     Null and empty texts are left out; a text of white space alone is no case. Repeated rows are judged one by one, and
-    other columns of the input play no part. An ending that may be whole or not (a list entry, a line with a figure) is
-    held against the list endings of the corpus and against the hidden limits of its source.
+    other columns of the input play no part. An ending that may be whole or not (a list entry, a line with a figure) is a
+    cut one at a hard limit, and elsewhere if the lists and figures of the corpus do not end so.
     """
     seen = _examined(actions)
     return _judged(seen, _limits(seen))
 
 
 def source_rates(actions: DataFrame) -> DataFrame:
-    """For each source its texts, how many are cut, their share and the measures under which it shows a limit."""
+    """For each source its texts, how many are cut and their share, how many of these are at or near a hidden limit, and the measures under which it shows one."""
     seen = _examined(actions)
     limits = _limits(seen)
     named = limits.filter("is_limit").groupBy(F.col("source").alias("s")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "measure", "limit_at"))), ", ").alias("limits"))
-    rates = _judged(seen, limits).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"))
+    rates = _judged(seen, limits).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut_texts"), F.count_if(F.col("by") == "limit").alias("at_limit"), F.count_if(F.col("by") == "near limit").alias("near_limit"))
     rates = rates.withColumn("share", F.round(F.col("cut_texts") / F.col("texts"), 6))
     return rates.join(named, F.col("s").eqNullSafe(F.col("source")), "left").drop("s")

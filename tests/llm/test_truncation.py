@@ -43,3 +43,27 @@ def test_rates_nulls_and_empty_tables(spark):
     got = {r.source: (r.texts, r.cut_texts) for r in T.source_rates(df).collect()}
     assert got == {"s": (4, 1), None: (2, 2)}
     assert T.truncated(df.limit(0)).count() == 0 and T.source_rates(df.limit(0)).count() == 0
+
+
+def test_hard_limits_decide_on_doubtful_endings(spark):
+    entry = "- a: $1,200\n"
+    short = [entry * k + "- b: $3,400" for k in range(2, 30)]
+    full = [("Some words first. " * k + "\n")[-(400 - len(entry * 20 + "- b: $3,400")) :] + entry * 20 + "- b: $3,400" for k in range(40, 46)]
+    assert {len(t) for t in full} == {400}
+    rows = frame(spark, short + full, "capped").unionByName(frame(spark, short, "free"))
+    found = T.truncated(rows).filter("cut").collect()
+    assert len(found) == len(full) and {(r.source, r.ending, r.by) for r in found} == {("capped", "list_entry", "limit")}
+    seen = T._examined(rows)
+    assert T._judged(seen, T._limits(seen).filter("false")).filter("cut").count() == 0  # the endings alone say nothing
+
+
+def test_half_characters_do_not_hide_a_limit(spark):
+    texts = [("é" * 400 + "x" * i)[: 250 + i].encode()[:301].decode(errors="replace") for i in range(60)] + [f"Text {'x' * i}." for i in range(60)]
+    texts += [("x" * i + "é" * 200).encode()[:301].decode(errors="replace") for i in range(60)]
+    hard = {(r.measure, r.limit_at) for r in T.hidden_limits(frame(spark, texts)).filter("is_limit").collect()}
+    assert ("utf8_bytes", 301) in hard
+
+
+def test_long_words_and_lines(spark):
+    got = {r.action_id: r.cut for r in T.truncated(frame(spark, ["- " + "x" * 50_000 + "\n- y", "w" * 300 + " ends here.", "w " * 50_000 + "end (see A/b)"])).collect()}
+    assert got == {0: True, 1: False, 2: False}
