@@ -72,3 +72,20 @@ def test_torn_rows_and_empty_table(spark):
     rows = [(1, "s", 0, "user_query", 1, "a", None, None), (2, "s", 0, "user_query", 1, "b", None, None), (3, "s", 1, "final_answer", 1, None, None, "x")]
     assert [(r.session_id, r.reason) for r in C.verdicts(frame(spark, rows)).collect()] == [("s", "broken")]
     assert C.verdicts(frame(spark, [])).count() == 0 and C.conversations(frame(spark, [])).count() == 0
+
+
+def test_orphans_and_cycles_of_pointers(spark):
+    from spindrift.runtime import Workspace
+
+    up = {("a", 0): None, ("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 5): 4, ("b", 6): 5, ("c", 1): 2, ("c", 2): 3, ("c", 3): 1, ("c", 9): 3, ("d", 1): 1}
+    schema = "session_id string, block long, up long, n long, turn_max int, user boolean, last_mark string"
+    blocks = spark.createDataFrame([(s, b, p, 10, b, b == 0, "ask" if b == 1 else None) for (s, b), p in up.items()], schema)
+    got = {(r.session_id, r.block): r for r in C.jumped(blocks, Workspace(spark, "test")).collect()}
+    assert {k for k, r in got.items() if r.orphan} == {("b", 5), ("b", 6)}
+    assert {k for k, r in got.items() if r.cyclic} == {("c", 1), ("c", 2), ("c", 3), ("c", 9), ("d", 1)}
+    assert [(r.n_before, r.turn_before, r.user_before, r.mark_before) for r in (got["a", 0], got["a", 3])] == [(0, None, False, None), (30, 2, True, "ask")]
+
+
+def test_equal_texts_in_other_fields_are_torn(spark):
+    rows = [(1, "s", 0, "user_query", 1, "a", None, None), (2, "s", 0, "user_query", 1, None, "a", None), (3, "s", 1, "final_answer", 1, None, None, "x")]
+    assert [r.reason for r in C.verdicts(frame(spark, rows)).collect()] == ["broken"]
