@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.runtime import spread
@@ -35,8 +35,8 @@ SAMPLE_ROWS, SAMPLE_LETTERS = 200, 40_000
 MIN_PASSAGE, MIN_DOCUMENT = 100, 60
 #: Price in phrases of a change of language between two sentences.
 CHANGE = 3.0
-#: Confidence that a language beside the main one needs.
-MIN_CONFIDENCE = 0.3
+#: A passage whose best language needs hardly fewer phrases than the next, by this share, is in none of the languages.
+UNSURE = 0.07
 
 _A = 27  # letters and the space
 
@@ -170,7 +170,13 @@ _ASCII_LETTERS = dict.fromkeys([*range(65, 91), *range(97, 123)])
 
 def _no_prose(body: str) -> bool:
     """Whether a stripped line is of a table, JSON or code, or has few letters."""
-    if body[0] == "|" or body[-1] == "|" or _RULE.match(body) or _CODE.match(body) or ("=" in body and _ASSIGNED.search(body)):
+    if body[-1] == "|" or (body[0] == "|" and "|" in body[1:]):
+        return True
+    if body[0] == "|":  # a mark of a quotation, as > is
+        body = body[1:].lstrip()
+        if not body:
+            return True
+    if _RULE.match(body) or _CODE.match(body) or ("=" in body and _ASSIGNED.search(body)):
         return True
     return len(body.translate(_ASCII_LETTERS)) > 0.5 * len(body) and sum(map(str.isalpha, body)) < 0.5 * len(body)
 
@@ -198,6 +204,10 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?]+(?!\s|$)[^.!?]*)*(?:[.!?]+[\"”»’')
 _MARK = re.compile(r"\s*`{3,}(?:\s*[\w.+#-]+\s*\Z|\s*)")
 
 
+#: JSON objects and rows of a table within a line, which may stand between sentences where line ends got lost.
+_INLINE = re.compile(r"\{\s*\"(?:[^{}]|\{[^{}]*\})*\}|\|(?:[^|\n]*\|){2,}")
+
+
 def _parts(text: str) -> Iterator[tuple[int, str, str]]:
     """(start, piece, kind) in order; kinds are text (a line or what is left of it), mark (of a fence, at either end of a line) and other."""
     at, marked = 0, "```" in text
@@ -214,9 +224,18 @@ def _parts(text: str) -> Iterator[tuple[int, str, str]]:
             lead, body = _MARK.match(line), line.rstrip()
             a = lead.end() if lead else 0
             b = max(a, len(body.rstrip("`"))) if body.endswith("```") else b
-        for s, e, kind in ((0, a, "mark"), (a, b, "text"), (b, len(line), "mark")):
-            if s < e:
-                yield at + s, line[s:e], kind
+        if a:
+            yield at, line[:a], "mark"
+        done = a
+        for m in _INLINE.finditer(line, a, b) if "|" in line or "{" in line else ():
+            if done < m.start():
+                yield at + done, line[done : m.start()], "text"
+            yield at + m.start(), m.group(0), "other"
+            done = m.end()
+        if done < b:
+            yield at + done, line[done:b], "text"
+        if b < len(line):
+            yield at + b, line[b:], "mark"
         at += len(line)
 
 
@@ -305,28 +324,27 @@ def passages_of(texts: list[str], model: dict[str, array]) -> list[list[tuple[st
     return out
 
 
-def judge_all(texts: list[str | None], model: dict[str, array]) -> list[list[tuple[str, int, int, float]]]:
-    """The languages of each text: (language, longest passage's start, end, confidence), the largest first.
+def judge_all(texts: list[str | None], model: dict[str, array]) -> list[list[tuple[str | None, int, int, float, int, bool]]]:
+    """The passages of each text in order: (language, or None if it is in none of them; start; end; confidence; characters; whether its language counts by it).
 
-    Languages with a passage of MIN_PASSAGE characters count, those beside the main one with MIN_CONFIDENCE; if none has
-    one, the language with the most prose. Texts under MIN_DOCUMENT characters and texts without prose have none.
+    Languages with a passage of MIN_PASSAGE characters count, by those passages; if none has one, the language with the
+    most prose, by all of its. Texts under MIN_DOCUMENT characters and texts without prose have no passage.
     """
     own = [t if t and len(t) >= MIN_DOCUMENT else "" for t in texts]
     out = []
     for t, found in zip(own, passages_of(own, model)):
-        size, longest = Counter(), {}
-        for p in found:
-            n = len(_TAG.sub("", t[p[1] : p[2]]).strip())
-            size[p[0]] += n
-            if p[0] not in longest or n > longest[p[0]][0]:
-                longest[p[0]] = (n, p)
+        sized = [(g if c >= UNSURE else None, s, e, c, len(_TAG.sub("", t[s:e]).strip())) for g, s, e, c in found]
+        size = Counter()
+        for g, _, _, _, n in sized:
+            if g:
+                size[g] += n
+        long = any(g and n >= MIN_PASSAGE for g, _, _, _, n in sized)
         main = size.most_common(1)[0][0] if size else None
-        real = [g for g in size if longest[g][0] >= MIN_PASSAGE and (g == main or longest[g][1][3] >= MIN_CONFIDENCE)] or [main] * bool(size)
-        out.append([longest[g][1] for g in sorted(real, key=lambda g: -size[g])])
+        out.append([(g, s, e, c, n, g is not None and (n >= MIN_PASSAGE if long else g == main)) for g, s, e, c, n in sized])
     return out
 
 
-def judge(text: str | None, model: dict[str, array]) -> list[tuple[str, int, int, float]]:
+def judge(text: str | None, model: dict[str, array]) -> list[tuple[str | None, int, int, float, int, bool]]:
     return judge_all([text], model)[0]
 
 
@@ -379,27 +397,33 @@ def train(labelled: Iterable[tuple[str, str]], letters: int = SAMPLE_LETTERS) ->
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """Up to `rows` labelled texts of each language, the ones with the smallest hash of their id; the bound holds for any input."""
-    label = F.lower(F.trim(F.col(lang)))
-    own = docs.filter(F.length(text).between(200, 6000))
-    parts = None
-    for code in LANGUAGES:
-        names = SPELLINGS[code].split()
-        one = own.filter(label.isin(names) | F.substring_index(F.regexp_replace(label, "_", "-"), "-", 1).isin(names))
-        one = one.select(F.lit(code).alias("g"), F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("h")).orderBy("h", "t").limit(rows)
-        parts = one if parts is None else parts.unionByName(one)
-    return [(r.g, r.t) for r in parts.orderBy("g", "h", "t").collect()]
+    """Up to `rows` labelled texts of each language, the ones with the smallest hash, of 200 to 6000 characters; the bound holds for any input.
+
+    The hashes are chosen first, without the texts, of which each task hands on `rows` for a language at most; a second
+    scan fetches the texts of those chosen.
+    """
+    label = F.regexp_replace(F.lower(F.trim(F.col(lang))), "_", "-")
+    spelled = F.create_map(*(F.lit(x) for name, code in _SPELLED.items() for x in (name, code)))
+    code = F.coalesce(F.try_element_at(spelled, label), F.try_element_at(spelled, F.substring_index(label, "-", 1)))
+    own = docs.filter(F.length(text).between(200, 6000)).select(code.alias("g"), F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t")).filter("g is not null")
+    place = F.row_number().over(Window.partitionBy("g").orderBy("h"))
+    last = {r.g: r.h for r in own.select("g", "h").withColumn("k", place).filter(F.col("k") <= rows).groupBy("g").agg(F.max("h").alias("h")).collect()}
+    if not last:
+        return []
+    bound = F.try_element_at(F.create_map(*(F.lit(x) for g, h in last.items() for x in (g, h))), F.col("g"))
+    chosen = own.filter(F.col("h") <= bound).groupBy("g", "h").agg(F.min("t").alias("t"))  # rows that repeat count once
+    return [(r.g, r.t) for r in chosen.orderBy("g", "h").collect()]
 
 
 def languages(docs: DataFrame, model: dict[str, array] | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document and language in it: doc_id, label (as named by `lang`, or null), lang, start and end of its longest passage, confidence, languages (their number).
+    """One row per passage of prose in one language: doc_id, label (as named by `lang`, or null), passage (from 0), lang (null if it is none of LANGUAGES), start, end, n_chars (without tags), confidence (by how large a share the language needs fewer phrases than the next), counts (whether the document holds the language by it) and languages (how many it holds).
 
     Documents with null, blank or short texts, or without prose, have no row.
     """
     model = train(training_sample(docs, doc_id=doc_id, text=text, lang=lang)) if model is None else model
     held = docs.sparkSession.sparkContext.broadcast({g: a.tobytes() for g, a in model.items()})  # at most 6 x 2 x SAMPLE_LETTERS x 27 x 4 bytes
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = [doc_id, "label", "lang", "start", "end", "confidence", "languages"]
+    names = [doc_id, "label", "passage", "lang", "start", "end", "n_chars", "confidence", "counts", "languages"]
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = {}
@@ -409,13 +433,15 @@ def languages(docs: DataFrame, model: dict[str, array] | None = None, doc_id: st
         for frame in frames:
             out = []
             for d, l, found in zip(frame[doc_id], frame[lang], judge_all(list(frame[text]), own)):
-                out += [(d, label_of(l), g, s, e, round(c, 6), len(found)) for g, s, e, c in found]
+                many = len({g for g, *_, counts in found if counts})
+                out += [(d, label_of(l), k, g, s, e, n, round(c, 6), counts, many) for k, (g, s, e, c, n, counts) in enumerate(found)]
             yield pd.DataFrame(out, columns=names)
 
-    schema = f"{doc_id} {kind}, label string, lang string, start int, end int, confidence double, languages int"
+    schema = f"{doc_id} {kind}, label string, passage int, lang string, start int, end int, n_chars int, confidence double, counts boolean, languages int"
     return spread(docs.select(doc_id, text, lang)).mapInPandas(run, schema)
 
 
-def mislabelled(found: DataFrame) -> DataFrame:
-    """The rows of languages() whose document has no label, a wrong one, or several languages."""
-    return found.filter("label is null or languages > 1 or label != lang")
+def mislabelled(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, lang) of the languages that documents hold which have no label, a wrong one, or several languages. A document's passages come from one task, so that what is told apart here was summed there."""
+    wrong = found.filter("counts and (label is null or languages > 1 or label != lang)")
+    return wrong.select(doc_id, "lang").distinct()

@@ -63,7 +63,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.mislabelled(language.languages(table(spark, d, "documents"))).select("doc_id", "lang")
+    return language.mislabelled(language.languages(table(spark, d, "documents")))
 
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:

@@ -33,6 +33,11 @@ def test_labels(label, want):
     assert L.label_of(label) == want
 
 
+def held(text, m):
+    """The languages that count in a text, each once, in order."""
+    return list(dict.fromkeys(x[0] for x in L.judge(text, m) if x[5]))
+
+
 def model():
     return {g: L.suffix_automaton(L.symbols(t)) for g, t in TEXTS.items()}
 
@@ -40,9 +45,9 @@ def model():
 def test_passages_and_short_texts():
     m = model()
     mixed = TEXTS["en"][:160] + "\n\n" + TEXTS["de"][:160] + "\n\n| a | 1 |\n{\"k\": \"der die das\"}\n"
-    assert {x[0] for x in L.judge(mixed, m)} == {"en", "de"}
-    assert [x[0] for x in L.judge(TEXTS["fr"].upper(), m)] == ["fr"]
-    assert [x[0] for x in L.judge(TEXTS["en"] + " „Umsatz je Jahr“", m)] == ["en"]
+    assert set(held(mixed, m)) == {"en", "de"}
+    assert held(TEXTS["fr"].upper(), m) == ["fr"]
+    assert held(TEXTS["en"] + " „Umsatz je Jahr“", m) == ["en"]
     assert L.judge(None, m) == [] and L.judge("", m) == [] and L.judge("Der Ausschuss.", m) == []
     assert L.judge("| 1 | 2 |\n" * 50, m) == [] and L.judge("[2026-03-13 17:18] " + TEXTS["de"], m)[0][0] == "de"
 
@@ -60,6 +65,7 @@ def test_operator(spark, as_rows):
     found = L.languages(docs, model())
     assert as_rows(L.mislabelled(found), "doc_id", "lang") == [(2, "de"), (3, "fr"), (6, "en"), (6, "fr"), (7, "en")]
     assert found.filter("confidence < 0 or confidence > 1").count() == 0
+    assert as_rows(found.filter("doc_id = 6"), "passage", "lang", "counts", "languages") == [(0, "en", True, 2), (1, "fr", True, 2)]
     assert L.languages(docs.limit(0), model()).count() == 0
     L.languages(docs).count()  # trained on itself, with languages lacking
 
@@ -69,8 +75,8 @@ def test_prose_in_tags():
     paragraphs = "".join(f"<p>{x}.</p>\n" for x in de.rstrip(".").split(". "))
     found = L.judge(paragraphs, m)
     assert [x[0] for x in found] == ["de"] and paragraphs[found[0][1] : found[0][2]].strip() == paragraphs.strip()
-    assert [x[0] for x in L.judge(f'<div class="a b"><p>{de}</p><table><tr><td>{TEXTS["fr"]}</td></tr></table></div>', m)] == ["de"]
-    assert {x[0] for x in L.judge(f"<p>{TEXTS['en']}</p>\n<p>{TEXTS['fr']}</p>", m)} == {"en", "fr"}
+    assert held(f'<div class="a b"><p>{de}</p><table><tr><td>{TEXTS["fr"]}</td></tr></table></div>', m) == ["de"]
+    assert set(held(f"<p>{TEXTS['en']}</p>\n<p>{TEXTS['fr']}</p>", m)) == {"en", "fr"}
     assert L.judge("<p>| der | die |</p>\n<p>{\"k\": \"der die das und\"}</p>\n<?php echo der_die_das_und_noch_mehr_davon();\n" * 3, m) == []
 
 
@@ -81,10 +87,44 @@ def test_operator_with_prose_in_tags_and_no_label(spark, as_rows):
 
 def test_prose_behind_marks_of_fences():
     m, en, de, code = model(), TEXTS["en"], TEXTS["de"], "Wir = der_die_das\nund noch eine Zeile aus dem Quelltext, die niemand liest\n"
-    assert [x[0] for x in L.judge(f"```\n{de}\n", m)] == ["de"]  # never closed
-    assert [x[0] for x in L.judge(f"``` {de}\n", m)] == ["de"]
-    assert {x[0] for x in L.judge(f"{en} ```\n{code}``` {de}\n", m)} == {"en", "de"}  # both marks glued to prose
-    assert {x[0] for x in L.judge(f"{en}\n```python\n{code}``` {de}\n\n```\n{code}```\n", m)} == {"en", "de"}
-    assert [x[0] for x in L.judge(f"{en}\n```python\n{TEXTS['fr']}\n```\n", m)] == ["en"]  # fenced
+    assert held(f"```\n{de}\n", m) == ["de"]  # never closed
+    assert held(f"``` {de}\n", m) == ["de"]
+    assert set(held(f"{en} ```\n{code}``` {de}\n", m)) == {"en", "de"}  # both marks glued to prose
+    assert set(held(f"{en}\n```python\n{code}``` {de}\n\n```\n{code}```\n", m)) == {"en", "de"}
+    assert held(f"{en}\n```python\n{TEXTS['fr']}\n```\n", m) == ["en"]  # fenced
     text = f"{en} ```\n{code}``` {de}\n"
     assert [text[s:e].strip() for s, e, prose in L.units(text) if prose and s > len(en)] == [x + "." for x in de.rstrip(".").split(". ")]
+
+
+def test_every_passage_is_reported():
+    m, parts = model(), [TEXTS["en"], TEXTS["fr"], TEXTS["en"], TEXTS["fr"]]
+    text = "\n\n".join(parts)
+    found = L.judge(text, m)
+    assert [(g, text[s:e].strip()) for g, s, e, *_ in found] == list(zip(["en", "fr", "en", "fr"], parts)) and all(x[5] for x in found)
+    short = TEXTS["en"] + "\n\nMots courts.\n\n" + TEXTS["en"]
+    assert held(short, m) == ["en"]
+
+
+def test_other_languages_are_none_of_the_known():
+    polish = "Wczoraj wieczorem szliśmy wzdłuż rzeki i rozmawialiśmy o dawnych czasach, kiedy każde dziecko we wsi umiało pływać i nikt nie bał się ciemnej wody pod mostem."
+    spanish = "Anoche caminamos junto al río y hablamos de los viejos tiempos, cuando todos los niños del pueblo sabían nadar y nadie tenía miedo del agua oscura bajo el puente."
+    for other in (polish, spanish):  # the model knows English, German and French
+        assert [(x[0], x[5]) for x in L.judge(other, model())] == [(None, False)]
+    assert held(polish + "\n\n" + TEXTS["de"], model()) == ["de"]
+
+
+def test_prose_around_objects_and_rows_in_its_line():
+    m, data, row = model(), '{"entity_id": "X", "n": {"der": "die das und"}}', "| 94,634 | 36,702 | 53.7 |"
+    assert held(f"{TEXTS['de']} {data} {row} {TEXTS['fr']}", m) == ["de", "fr"]
+    assert held(f"{data} {TEXTS['en']} {row}", m) == ["en"]
+    quoted = "\n".join("| " + w for w in TEXTS["fr"].replace(" que ", "\nque ").split("\n"))
+    assert held(quoted, m) == ["fr"] and held("| der | die |\n" * 30, m) == []
+
+
+def test_sample_in_two_scans(spark):
+    rows = [(i, f"{g} {i} " + t * 2, lab) for g, lab in (("en", "English"), ("de", "de-AT"), ("fr", "fra")) for i, t in enumerate([TEXTS[g]] * 9)]
+    docs = spark.createDataFrame(rows * 2 + [(99, "x" * 300, "ja"), (98, "short", "en"), (97, None, "en")], "doc_id long, text string, lang string")
+    sample = L.training_sample(docs, rows=4)
+    assert {g for g, _ in sample} == {"en", "de", "fr"} and all(2 <= sum(h == g for h, _ in sample) <= 4 for g in TEXTS)
+    assert len(set(sample)) == len(sample) and all(t in {r[1] for r in rows} for _, t in sample)
+    assert L.training_sample(docs.limit(0)) == []
