@@ -5,26 +5,32 @@ streets are recognised by their form in six languages. Names are recognised with
 learned from the whole corpus: from mailbox names (`given.family@`), titles (`Dr Family`) and self-introductions. The
 corpus statistics are summed before the shuffle and cover every record.
 
-Placeholders carry a pseudonym, so that equal values stay linked across documents: digits are permuted by a keyed
-Feistel network within their format (check letters are made to fit again), other values get a keyed tag.
+Patterns are tried only around anchors that one pass finds. A window reaches over as many words as what a pattern must
+have around its anchor, however long they are, and a match found in it is matched again without the window's end, so
+that the finds are those of a search through the whole text.
+
+Placeholders carry a pseudonym, so that equal values stay linked across documents: numbers are brought into one form and
+permuted by a keyed Feistel network within their format (check digits are made to fit again), other values get a keyed
+tag. The key is the caller's.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.feistel import permute_date, permute_digits, permute_in_place, permute_valid
-from spindrift.runtime import Workspace, spread
+from spindrift.llm.formats import digits, dni_letter, pseudo_date, pseudo_id, pseudo_phone, valid_iban, valid_ssn
+from spindrift.runtime import Workspace, hub_join, spread
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 #: Names seen in so many records at least enter the lexicon.
@@ -33,7 +39,6 @@ MIN_SUPPORT = 2
 MIN_CAPITAL = 0.5
 #: The lexicon is broadcast up to this number of entries; beyond, it is joined to each record's own words.
 BROADCAST_NAMES = 500_000
-DEFAULT_KEY = b"spindrift: give a key of your own"
 
 # Endings of file names, which make "chart@2x.png" no mailbox.
 _FILES = "png jpg jpeg gif svg webp bmp ico pdf css js json xml html htm txt csv md py zip gz".split()
@@ -75,7 +80,7 @@ _ID_WORD = (
 )
 _CUE_ID = re.compile(rf"(?i:(?<!\w){_ID_WORD})(?:\s?(?:no\.?|nr\.?|n°|nº|n\.|number|num\.?|núm\.?|número|numero|#|is|ist|es|est|è|é))*\s*[:=#]?\s*(?P<id>[A-Z0-9](?:[A-Z0-9]|[ ./-](?=[A-Z]{{0,2}}\d)|[ -](?=[A-Z]\b)){{5,24}})(?!\w)")
 
-_UP = r"[A-ZÀ-ÖØ-Þ]"
+_UP = "[A-ZÀ-ÖØ-Þ" + "".join(c for c in map(chr, range(0x100, 0x530)) if c.isupper()) + "]"
 _W = rf"{_UP}[\w'’.-]*"
 _CITY = rf"{_UP}[\w'’-]+(?: (?i:bay|city|beach|falls|springs|heights|park)\b| (?:sur|am|de|del|do|da|la|le|les|di) {_UP}[\w'’-]+)?"
 _TAIL = (
@@ -105,12 +110,12 @@ TITLED = re.compile(rf"(?<![\w.])(?:{_TITLES}\.?[  ]+)+(?P<family>{_UP}[^\W\d_]
 _TITLE_KEYS = {"".join(c for c in t.lower() if c.isalpha()) for t in re.sub(r"[()?]|:", "", _TITLES.replace("n?", "").replace("a?", "")).split("|")}
 # Fixed value: titles after which an unknown family name is taken for one.
 _SURE = set("mr mrs ms mx dr prof herr herrn frau mme mlle sra srta sig dott avv signora señor señora señorita".split())
-FIRM = set("llp plc inc ltd llc gmbh ag sa sas sarl se co corp company holdings holding group partners works systems industries kg ohg spa srl lda sl valve programme program street road lane".split())
+FIRM = set("llp plc inc ltd llc gmbh ag sa sas sarl se co corp company holdings holding group partners works systems industries kg ohg spa srl lda sl".split())
 INTRO = re.compile(
-    r"(?:\b[Mm]y name is|\b[Oo]n behalf of|\bThanks,|\b[Ss]igned,|\b[Ss]incerely,|\b[Rr]egards,|\bName:|\bAttn:|\b[Pp]repared by|\b[Ii]nterviewer=|\breviewer \||\bcall was led by"
-    r"|\b[Ii]ch bin|\b[Mm]ein Name ist|\b[Ee]rstellt von|\bz\. ?Hd\.|\bGespräch führte|\b[Jj]e suis|\b[Jj]e m['’]appelle|\b[Rr]édigé par|\bÀ l['’]attention de|\ba été mené par"
-    r"|\b[Ss]oy|\b[Mm]e llamo|\b[Mm]i nombre es|\b[Pp]reparado por|\bA la atención de|\bdirigió|\b[Mm]i chiamo|\b[Ss]ono|\b[Rr]edatto da|\bAll['’]attenzione di|\bè stata guidata da|\bguidata da"
-    r"|\b[Cc]hamo-me|\bO meu nome é|\b[Ss]ou|\b[Ee]laborado por|\bÀ atenção de|\bAo cuidado de|\bfoi conduzida por|\bA/C)[  ]"
+    r"(?:\b[Mm]y name is|\b[Oo]n behalf of|\bThanks,|\b[Ss]igned,|\b[Ss]incerely,|\b[Rr]egards,|\bName:|\bAttn:|\b[Pp]repared by"
+    r"|\b[Ii]ch bin|\b[Mm]ein Name ist|\b[Ee]rstellt von|\bz\. ?Hd\.|\b[Jj]e suis|\b[Jj]e m['’]appelle|\b[Rr]édigé par|\bÀ l['’]attention de"
+    r"|\b[Ss]oy|\b[Mm]e llamo|\b[Mm]i nombre es|\b[Pp]reparado por|\bA la atención de|\b[Mm]i chiamo|\b[Ss]ono|\b[Rr]edatto da|\bAll['’]attenzione di"
+    r"|\b[Cc]hamo-me|\bO meu nome é|\b[Ss]ou|\b[Ee]laborado por|\bÀ atenção de|\bAo cuidado de|\bA/C)[  ]"
     rf"(?:{_TITLES}\.?[ ])?(?P<a>{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*)(?P<comma>,?)[  ](?:{_UP}\.[ ])?(?P<b>{_UP}[^\W\d_]*(?:['’-][^\W\d_]+)*)(?![\w'’-])"
 )
 #: Introductions that name the speaker beyond doubt.
@@ -133,15 +138,17 @@ _ANCHORS = {
     ).split("|"),
     "title": "mr|mrs|ms|miss|mx|dr|prof|sir|madam|herr|frau|m.|m |mm|mme|mlle|monsieur|madame|mademoiselle|me |me.|sr|sra|srta|señor|don |doña|sig|dott|avv|ing.|ing |senhor|exmo|dra|doutor".split("|"),
     "intro": (
-        "my name is|on behalf of|thanks,|signed,|sincerely,|regards,|name:|attn:|prepared by|interviewer=|reviewer||call was led by|ich bin|mein name ist|erstellt von|z. hd.|z.hd.|gespräch führte|je suis|je m'appelle|je m’appelle|rédigé par|attention de|été mené par"
-        "|soy|me llamo|mi nombre es|preparado por|la atención de|dirigió|mi chiamo|sono|redatto da|attenzione di|guidata da|chamo-me|meu nome é|sou|elaborado por|atenção de|cuidado de|conduzida por|a/c"
-    ).replace("reviewer||", "reviewer |¦|").split("|"),
+        "my name is|on behalf of|thanks,|signed,|sincerely,|regards,|name:|attn:|prepared by|ich bin|mein name ist|erstellt von|z. hd.|z.hd.|je suis|je m'appelle|je m’appelle|rédigé par|attention de"
+        "|soy|me llamo|mi nombre es|preparado por|la atención de|mi chiamo|sono|redatto da|attenzione di|chamo-me|meu nome é|sou|elaborado por|atenção de|cuidado de|a/c"
+    ).split("|"),
     "phone": "tel|tél|phone|mobil|handy|fax|cell|whatsapp|móvil|portable".split("|"),
 }
-_ANCHORS["intro"] = [w for w in _ANCHORS["intro"] if w not in ("reviewer ", "¦")] + ["reviewer |"]
-#: How far before and behind an anchor its pattern can reach.
-_REACH = {"mail": (90, 130), "en": (90, 110), "fr": (36, 140), "es": (16, 160), "de": (70, 90), "id": (40, 90), "title": (24, 70), "intro": (32, 110), "phone": (16, 50)}
-_RUN = re.compile(r"\d[\d ().,/A-Z\-\u00a0\u202f]{4,}")
+#: Words before and behind an anchor, itself included, that hold all that its pattern must have; what a pattern may have besides is found by matching on.
+_REACH = {"mail": (4, 9), "en": (9, 2), "fr": (4, 14), "es": (3, 20), "de": (6, 4), "id": (8, 26), "title": (3, 4), "intro": (7, 10), "phone": (2, 14)}
+_RUN = re.compile(r"\d[\d\s().,/A-Z\-]{4,}")
+_TOKEN = re.compile(r"\S+")
+#: Anchors are written with plain spaces.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _search():
@@ -179,12 +186,17 @@ def anchors(text: str) -> dict[str, list[tuple[int, int]]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for c in _SPACES:
+        low = low.replace(c, " ")
+    starts = [m.start() for m in _TOKEN.finditer(text)]
     out: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for end, kinds in _iter_anchors(low):
+        at = bisect_right(starts, end) - 1
         for k in kinds:
             before, behind = _REACH[k]
             spans = out[k]
-            a, b = max(0, end - before), end + behind
+            a = starts[max(0, at - before)] if at >= 0 else 0
+            b = starts[at + behind + 1] if at + behind + 1 < len(starts) else len(text)
             if spans and a <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], b)
             else:
@@ -192,9 +204,23 @@ def anchors(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
+def everywhere(text: str) -> dict[str, list[tuple[int, int]]]:
+    """What anchors() gives, with the whole text for every kind: to search without windows."""
+    return {k: [(0, len(text))] for k in _ANCHORS}
+
+
 def _around(pattern: re.Pattern, text: str, spans: list[tuple[int, int]]) -> Iterator[re.Match]:
+    """The matches that begin in the spans; each is as long as the whole text allows."""
+    at = 0
     for a, b in spans:
-        yield from pattern.finditer(text, a, min(b, len(text)))
+        at = max(at, a)
+        while at <= b and (m := pattern.search(text, at, b)):
+            full = pattern.match(text, m.start()) if b < len(text) else m
+            if full and full.end() > full.start():
+                yield full
+                at = full.end()
+            else:
+                at = m.start() + 1
 
 
 def number_spans(text: str) -> list[tuple[int, int]]:
@@ -228,23 +254,7 @@ def _key(word: str) -> str:
     return got
 
 
-# -- formats -----------------------------------------------------------------------------------------------------------
-
-
-def _digits(s: str) -> str:
-    return "".join(c for c in s if c.isascii() and c.isdigit())
-
-
-def valid_ssn(s: str) -> bool:
-    d = _digits(s)
-    return len(d) == 9 and d[:3] not in ("000", "666") and d[3:5] != "00" and d[5:] != "0000"
-
-
-_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: check letters by the number modulo 23
-
-
-def dni_letter(number: str) -> str:
-    return _DNI[int(number) % 23]
+# -- numbers, mailboxes, streets ---------------------------------------------------------------------------------------
 
 
 def emails(text: str, at: dict) -> Iterator[tuple[int, int, str]]:
@@ -257,13 +267,23 @@ def emails(text: str, at: dict) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), m.group("local")
 
 
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d\d(?:[  ]?[A-Z0-9]{4}){2,7}(?:[  ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
+def account_numbers(text: str, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Bank accounts, which are no kind of their own here, and whose groups of digits are no phone."""
+    for m in _around(_IBAN, text, numbers):
+        if valid_iban(m.group(0)):
+            yield m.start(), m.end()
+
+
 def phones(text: str, at: dict, numbers: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for m in _around(PHONE, text, numbers):
-        n = len(_digits(m.group(0)))
+        n = len(digits(m.group(0)))
         if 8 <= n <= 20 and not (m.start() >= 1 and text[m.start() - 1] == "(" and text[m.end() : m.end() + 7] == " shares"):
             yield m.start(), m.end()
     for m in _around(_CUE_PHONE, text, at["phone"]):
-        if 7 <= len(_digits(m.group(1))) <= 15:
+        if 7 <= len(digits(m.group(1))) <= 15:
             yield m.start(1), m.end(1)
 
 
@@ -272,9 +292,9 @@ def id_numbers(text: str, at: dict, numbers: list[tuple[int, int]]) -> Iterator[
         how, s = m.lastgroup, m.group(0)
         if how == "ssn" and not valid_ssn(s):
             continue
-        if how == "dni" and dni_letter(_digits(s)) != s[-1]:
+        if how == "dni" and dni_letter(digits(s)) != s[-1]:
             continue
-        if how == "nie" and dni_letter(str("XYZ".index(s[0])) + _digits(s)) != s[-1]:
+        if how == "nie" and dni_letter(str("XYZ".index(s[0])) + digits(s)) != s[-1]:
             continue
         yield m.start(), m.end(), how
     for m in _around(_CUE_ID, text, at["id"]):
@@ -283,9 +303,9 @@ def id_numbers(text: str, at: dict, numbers: list[tuple[int, int]]) -> Iterator[
 
 
 def addresses(text: str, at: dict) -> Iterator[tuple[int, int]]:
-    for kind, p in zip(("en", "fr", "es", "de"), ADDRESSES):
-        for m in _around(p, text, at[kind]):
-            yield m.start(), m.end()
+    """In order; where two begin alike or overlap, the first and longest comes first."""
+    found = {m.span() for kind, p in zip(("en", "fr", "es", "de"), ADDRESSES) for m in _around(p, text, at[kind])}
+    yield from sorted(found, key=lambda x: (x[0], -x[1]))
 
 
 # -- names -------------------------------------------------------------------------------------------------------------
@@ -391,10 +411,10 @@ def _of_firm(text: str, end: int) -> bool:
 _BORN = re.compile(r"(?i)\b(?:born(?: on)?|date of birth|dob|geboren am|né(?:e)? le|nacid[oa] el|nat[oa] il|nascid[oa] (?:em|a))\s*[:=]?\s*(\d{4})-(\d\d)-(\d\d)\b")
 
 
-def find(text: str, given: set | dict, family: set | dict, birth_dates: bool = False) -> list[tuple[int, int, str, str]]:
-    """Disjoint mentions (start, end, kind, form) in order; where finds overlap, mailboxes win over streets, numbers of identity, phones and names."""
-    at = anchors(text)
-    numbers = number_spans(text)
+def find(text: str, given: set | dict, family: set | dict, birth_dates: bool = False, windows: bool = True) -> list[tuple[int, int, str, str]]:
+    """Disjoint mentions (start, end, kind, form) in order; where finds overlap, mailboxes win over streets, numbers of identity, phones and names. Without `windows` the patterns are tried everywhere."""
+    at = anchors(text) if windows else everywhere(text)
+    numbers = number_spans(text) if windows else [(0, len(text))]
     got: list[tuple[int, int, str, str]] = [(s, e, "email", "") for s, e, _ in emails(text, at)]
 
     def add(s: int, e: int, kind: str, form: str = "") -> None:
@@ -405,8 +425,10 @@ def find(text: str, given: set | dict, family: set | dict, birth_dates: bool = F
         add(s, e, "address")
     for s, e, form in id_numbers(text, at, numbers):
         add(s, e, "id_number", form)
+    accounts = list(account_numbers(text, numbers))
     for s, e in phones(text, at, numbers):
-        add(s, e, "phone")
+        if not any(a < e and s < b for a, b in accounts):
+            add(s, e, "phone")
     if birth_dates:
         for m in _BORN.finditer(text):
             add(m.start(1), m.end(3), "birth_date")
@@ -415,31 +437,25 @@ def find(text: str, given: set | dict, family: set | dict, birth_dates: bool = F
     return sorted(got)
 
 
+def same_value(value: str, kind: str) -> str:
+    """One form for all ways to write a name, mailbox or street."""
+    if kind == "name":
+        return " ".join(sorted(k for w in WORD.findall(value) if (k := _key(w)) not in _TITLE_KEYS))
+    if kind == "email":
+        return re.sub(_DOT, ".", re.sub(_AT, "@", value)).casefold()
+    return re.sub(r"\W+", " ", value.casefold()).strip()
+
+
 def pseudonym(value: str, kind: str, form: str, key: bytes) -> str:
     """The typed placeholder of a mention."""
     if kind == "phone":
-        n = len(_digits(value))
-        keep = 3 if value[:1] == "+" or value[:2] == "00" else 1
-        body = permute_in_place(value, key + b"phone", min(keep, n - 4))
-    elif kind == "id_number" and form == "dni":
-        d = permute_digits(_digits(value), key + b"dni")
-        body = d + value[8:-1] + dni_letter(d)
-    elif kind == "id_number" and form == "nie":
-        d = permute_digits(_digits(value), key + b"nie")
-        body = value[0] + d + dni_letter(str("XYZ".index(value[0])) + d)
-    elif kind == "id_number" and form == "ssn":
-        d = permute_valid(_digits(value), key + b"ssn", valid_ssn)
-        body = f"{d[:3]}-{d[3:5]}-{d[5:]}"
+        body = pseudo_phone(value, key + b"phone")
     elif kind == "id_number":
-        body = permute_in_place(value, key + b"id")
+        body = pseudo_id(value, form, key)
     elif kind == "birth_date":
-        try:
-            body = permute_date(dt.date.fromisoformat(value), key + b"date").isoformat()
-        except ValueError:
-            body = permute_in_place(value, key + b"date")
+        body = pseudo_date(value, key + b"date")
     else:
-        same = re.sub(r"\W+", " ", value.casefold()).strip() if kind == "address" else " ".join(sorted(_key(w) for w in WORD.findall(value))) if kind == "name" else re.sub(r"(?i)&#64;|%40|＠|\s?[\[({<]?\s?\b(?:at)\b\s?[\])}>]?\s?", "@", re.sub(r"(?i)\s?[\[({<]?\s?\bdot\b\s?[\])}>]?\s?", ".", value)).casefold()
-        body = hmac.new(key + kind.encode(), same.encode(), hashlib.sha256).hexdigest()[:10]
+        body = hmac.new(key + kind.encode(), same_value(value, kind).encode(), hashlib.sha256).hexdigest()[:10]
     return f"[{kind.upper()}:{body}]"
 
 
@@ -498,17 +514,27 @@ def _apply(records: DataFrame, lexicon: DataFrame, work, schema: str, text: str,
 
         return spread(records).mapInPandas(run, schema)
 
-    key = F.udf(folded)  # only here, once per distinct word
     at, _ = Workspace(spark, "pii").keep(records.withColumn("_row", F.monotonically_increasing_id()))  # once, as both sides of the join need the same numbers
-    words = at.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*)"), 1))).alias("w")).withColumn("key", key("w"))
-    known = words.join(lexicon, "key").groupBy("_row").agg(F.collect_set(F.when(F.col("is_given"), F.col("key"))).alias("_given"), F.collect_set(F.when(F.col("is_family"), F.col("key"))).alias("_family"))
+
+    def keys(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(n, k) for n, t in zip(frame["_row"], frame[text]) if t for k in {_key(w) for w in WORD.findall(t)}], columns=["_row", "key"])
+
+    words = at.select("_row", text).mapInPandas(keys, "_row long, key string")
+    known = hub_join(words, lexicon, "key").groupBy("_row").agg(F.collect_set(F.when(F.col("is_given"), F.col("key"))).alias("_given"), F.collect_set(F.when(F.col("is_family"), F.col("key"))).alias("_family"))  # of one record's words
     joined = at.join(known, "_row", "left").drop("_row")
 
     def run_each(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield work(frame, [set(x) if x is not None else set() for x in frame["_given"]], [set(x) if x is not None else set() for x in frame["_family"]])
 
-    return spread(joined).mapInPandas(run_each, schema)
+    return joined.mapInPandas(run_each, schema)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the setting spindrift.pii.key, else one drawn for this call, under which equal values are linked within its result only."""
+    key = spark.conf.get("spindrift.pii.key", None)
+    return key.encode() if key else secrets.token_bytes(32)
 
 
 def mentions(records: DataFrame, lexicon: DataFrame | None = None, text: str = "text", ids: tuple[str, ...] = ("origin", "rec_id"), birth_dates: bool = False, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
@@ -526,21 +552,25 @@ def mentions(records: DataFrame, lexicon: DataFrame | None = None, text: str = "
     return _apply(records.select(*ids, text), lexicon, work, ", ".join(f"{c} {kinds[c]}" for c in ids) + ", kind string, n int", text, broadcast_names)
 
 
-def redacted(records: DataFrame, lexicon: DataFrame | None = None, key: bytes = DEFAULT_KEY, text: str = "text", birth_dates: bool = False, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
-    """The records with the text's mentions replaced and their number in `mentions`; all other columns as they were.
+def redacted(records: DataFrame, key: bytes, lexicon: DataFrame | None = None, text: str = "text", birth_dates: bool = False, broadcast_names: int = BROADCAST_NAMES) -> DataFrame:
+    """The records with the text's mentions replaced, their number in `mentions` and their kinds in `kinds`; all other columns as they were.
 
-    A null text stays null, an empty one empty. A column named `mentions` in the input is replaced.
+    Who has the key can undo the permuted numbers; it must not be empty. A null text stays null, an empty one empty.
+    Columns named `mentions` and `kinds` in the input are replaced.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     lexicon = name_lexicon(records, text) if lexicon is None else lexicon
-    rest = [c for c in records.columns if c not in (text, "mentions")]
+    rest = [c for c in records.columns if c not in (text, "mentions", "kinds")]
     own = records.select(*rest, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", mentions int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", mentions int, kinds array<string>"
 
     def work(frame: pd.DataFrame, given: list, family: list) -> pd.DataFrame:
         found = [find(t, g, f, birth_dates) if t else [] for t, g, f in zip(frame[text], given, family)]
         out = frame[[*rest, text]].copy()
         out[text] = [masked(t, x, key) if t else t for t, x in zip(frame[text], found)]
         out["mentions"] = [len(x) for x in found]
+        out["kinds"] = [sorted({m[2] for m in x}) for x in found]
         return out
 
     return _apply(own, lexicon, work, schema, text, broadcast_names)

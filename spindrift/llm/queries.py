@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.decoding import decoded
 from spindrift.llm import contamination, conversations, language, packing, pii, splitting, truncation
-from spindrift.runtime import spread, table
+from spindrift.runtime import Workspace, spread, table
 
 
 def pii_records(spark: SparkSession, d: str) -> DataFrame:
@@ -17,12 +17,14 @@ def pii_records(spark: SparkSession, d: str) -> DataFrame:
     return raw.unionByName(asked).filter("text is not null and text != ''")
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.mentions(pii_records(spark, d)).select("origin", "rec_id", "kind")
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, decoded once, with placeholders for what names persons and how to reach them."""
+    records, _ = Workspace(spark, "texts").keep(pii_records(spark, d))
+    return pii.redacted(records, pii.session_key(spark))
 
 
-def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(pii_records(spark, d))
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_redacted(spark, d).select("origin", "rec_id", F.explode("kinds").alias("kind"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
