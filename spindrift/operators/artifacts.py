@@ -71,6 +71,10 @@ class Payload:
         return TYPES.get(self.fields[name], "string")
 
 
+def _object(kinds: dict[str, str], required: list[str]) -> dict[str, Any]:
+    return {"type": "object", "properties": {k: {"type": t} for k, t in kinds.items()}, "required": required}
+
+
 @dataclass(frozen=True)
 class Schema:
     entity_path: str = "{entity_id}/{version}"
@@ -108,18 +112,19 @@ class Schema:
         own = tuple(Section(s.name, False, s.max_chars) for s in self.sections if s.name not in names)
         return Schema(self.entity_path, (*base, *own), tuple(Payload(p.name, p.fields, ()) if p.fields else p for p in self.payloads), self.version)
 
+    def spec_of(self, section: str) -> Section | None:
+        """The section's own spec, else the one with the longest prefix before its `*`, else none."""
+        own = [s for s in self.sections if s.name == section]
+        globs = [s for s in self.sections if s.name.endswith("*") and section.startswith(s.name[:-1])]
+        return next(iter(own + sorted(globs, key=lambda s: -len(s.name))), None)
+
     def json_schema(self) -> dict[str, Any]:
-        """What an extraction must look like, as a JSON Schema."""
-        sections = {s.name: {"type": "string"} | ({"maxLength": s.max_chars} if s.max_chars else {}) for s in self.sections if "*" not in s.name}
-        payloads = {p.name: {"type": "object", "properties": {k: {"type": p.kind(k)} for k in p.fields}, "required": list(p.needed)} for p in self.payloads}
-        return {
-            "type": "object",
-            "properties": {
-                "sections": {"type": "object", "properties": sections, "required": [s.name for s in self.sections if s.required]},
-                "json_artifacts": {"type": "object", "properties": payloads, "required": [p.name for p in self.payloads if p.needed]},
-            },
-            "required": ["sections", "json_artifacts"],
-        }
+        """What an extraction must look like, as a JSON Schema: all named sections and payloads; sections of other names are texts, too."""
+        named = [s for s in self.sections if "*" not in s.name]
+        texts = _object({s.name: "string" for s in named}, [s.name for s in named if s.required]) | {"additionalProperties": {"type": "string"}}
+        payloads = {p.name: _object({k: p.kind(k) for k in p.fields}, sorted(p.needed)) for p in self.payloads}
+        parts = {"sections": texts, "json_artifacts": {"type": "object", "properties": payloads, "required": list(payloads)}}
+        return {"type": "object", "properties": parts, "required": list(parts)}
 
     def struct(self, payload: str) -> T.StructType:
         """A payload's columns."""
@@ -131,6 +136,14 @@ class Schema:
         return "\n".join(f"- {s.name} ({f'<={s.max_chars} chars' if s.max_chars else 'no limit'})" for s in self.sections if "*" not in s.name)
 
 
+# The schemas for documents of one shape and for mixed ones.
+DOCUMENTS = Schema(sections=(Section("document_summary"), Section("sections/*"), Section("insights/*")), payloads=(Payload("metadata.json"),))
+MIXED = Schema(
+    sections=(Section("overview/topic_summary", True), *map(Section, ("key_concepts", "entities_and_definitions", "structure/outline", "notable_passages", "citations/source_evidence"))),
+    payloads=(Payload("metadata.json"),),
+)
+
+
 def payload_errors(payload: Column, spec: Payload) -> Column:
     """What is wrong with a JSON text, as an array: no object, missing required fields (a null is there), fields of another type."""
     v = F.try_parse_json(payload)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import inspect
+import textwrap
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ class Registry:
 
     def add(self, f: Callable[..., DataFrame], readonly: bool = True) -> Callable[..., DataFrame]:
         props, required = {}, []
-        for p in inspect.signature(f).parameters.values():
+        for p in inspect.signature(f, eval_str=True).parameters.values():
             if p.kind is not p.KEYWORD_ONLY or p.annotation is p.empty:
                 raise TypeError(f"{f.__name__}: argument {p.name} must be keyword-only and annotated")
             props[p.name] = {"type": _JSON.get(p.annotation, "object")}
@@ -84,6 +86,99 @@ def missing_tools(needed: DataFrame, have: DataFrame) -> DataFrame:
     return needed.join(have.select(F.col("name").alias("tool")), "tool", "left_anti").select("skill", "tool")
 
 
+class SearchIndex(Protocol):
+    """A backend of ranked retrieval: entries in, the k best for a query out."""
+
+    def search(self, entries: DataFrame, query: str, k: int, filters: dict[str, Any] | None = None) -> DataFrame: ...
+
+
+class BM25Index:
+    """The default backend."""
+
+    def search(self, entries: DataFrame, query: str, k: int, filters: dict[str, Any] | None = None) -> DataFrame:
+        from spindrift.operators.search import bm25
+
+        return bm25(entries, query, filters, k, tuple(filters or ()))
+
+
+class Loader(Protocol):
+    """Sources of some endings to loaded documents."""
+
+    extensions: tuple[str, ...]
+
+    def load(self, spark: SparkSession, source: str) -> DataFrame: ...
+
+
+class Transform(Protocol):
+    """Loaded documents to extractions, with failures as rows."""
+
+    def __call__(self, loads: DataFrame) -> DataFrame: ...
+
+
+class PipelineWriter(Protocol):
+    """What is done with the extractions that succeeded."""
+
+    def __call__(self, rows: DataFrame) -> None: ...
+
+
+def surface(*groups: tuple[Tool, ...]) -> tuple[Tool, ...]:
+    """The tools of all groups in their order; a name in two of them is an error."""
+    seen: dict[str, Tool] = {}
+    for t in (t for g in groups for t in g):
+        if t.name in seen:
+            raise ValueError(f"tool {t.name} is there already")
+        seen[t.name] = t
+    return tuple(seen.values())
+
+
+def imported(path: str) -> Any:
+    """The object that `package.module:name` or `package.module.name` stands for; anything else is an error that names the path."""
+    module, _, name = path.partition(":") if isinstance(path, str) and ":" in path else str(path or "").rpartition(".")
+    if not module or not name:
+        raise ValueError(f"{path!r} is not of the form package.module:name")
+    try:
+        return getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"{path!r} cannot be imported: {e}") from e
+
+
+@dataclass(frozen=True)
+class Skill:
+    """Instructions that an agent loads when it needs them, and the tools they speak of."""
+
+    name: str
+    description: str
+    instructions: str
+    tools: tuple[str, ...] = ()
+
+    def body(self) -> str:
+        return textwrap.dedent(self.instructions).strip()
+
+
+def load_skill(skills: tuple[Skill, ...], name: str) -> dict[str, Any]:
+    """A skill's instructions by name, or an error with the names there are."""
+    found = {s.name: s for s in skills}.get(name)
+    return {"skill": name, "instructions": found.body()} if found else {"error": f"unknown skill: {name!r}", "available_skills": sorted(s.name for s in skills)}
+
+
+def skill_table(spark: SparkSession, skills: tuple[Skill, ...]) -> DataFrame:
+    """(skill, instructions, tool), a row for each tool a skill needs."""
+    rows = [(s.name, s.body(), t) for s in skills for t in (s.tools or (None,))]
+    return spark.createDataFrame(rows, "skill string, instructions string, tool string")
+
+
+# Fixed value: the heading of the list of skills.
+MENU = "## Available skills"
+
+
+def composed_role(role: str, skills: tuple[Skill, ...], lead: str = "Load a skill by load_skill(name=...) when it bears on the step at hand, and follow it.") -> str:
+    """The role's text with a list of skills under it; without skills as it is."""
+    if not skills:
+        return role
+    menu = "\n\n".join([MENU, lead, "\n".join(f"- {s.name}: {s.description}" for s in skills)])
+    return f"{role.rstrip()}\n\n{menu}" if role.strip() else menu
+
+
 class Hooks:
     """Plug-ins around a DataFrame: transforms are applied in order and fail loudly; observers see each result and can do no harm."""
 

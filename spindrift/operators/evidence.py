@@ -14,15 +14,26 @@ FACTORS = (1.0, 1e3, 1e6, 1e9, 1e12)
 
 def canonical(payload: Column) -> Column:
     """A JSON object as `k=v` joined by `&`, keys sorted; true, false and null as True, False and None, nested values as canonical JSON. Null, empty objects and what is no object give an empty text."""
+    return F.coalesce(F.array_join(F.transform(_pairs(payload), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&"), F.lit(""))
+
+
+def _shown(v: Column) -> Column:
+    """A JSON value as a text: true, false and null as True, False and None, texts bare, all else as canonical JSON."""
+    kind = F.schema_of_variant(v)
+    plain = F.when(kind == "BOOLEAN", F.initcap(F.to_json(v))).when(kind == "STRING", F.variant_get(v, "$", "string"))
+    return F.when(v.isNull() | (kind == "VOID"), "None").otherwise(plain.otherwise(F.to_json(v)))
+
+
+def _pairs(payload: Column) -> Column:
+    """The entries of a JSON object as texts (k, v), by key."""
     held = F.map_entries(F.from_json(canonical_json(payload), "map<string,variant>"))
+    return F.array_sort(F.transform(held, lambda e: F.struct(e["key"].alias("k"), _shown(e["value"]).alias("v"))))
 
-    def shown(v: Column) -> Column:
-        kind = F.schema_of_variant(v)
-        plain = F.when(kind == "BOOLEAN", F.initcap(F.to_json(v))).when(kind == "STRING", F.variant_get(v, "$", "string"))
-        return F.when(v.isNull() | (kind == "VOID"), "None").otherwise(plain.otherwise(F.to_json(v)))
 
-    pairs = F.array_sort(F.transform(held, lambda e: F.struct(e["key"].alias("k"), shown(e["value"]).alias("v"))))
-    return F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&"), F.lit(""))
+def locator_line(locator: Column) -> Column:
+    """`k=v` by sorted key, joined by points, without nulls and empty texts."""
+    kept = F.filter(_pairs(locator), lambda p: ~p["v"].isin("", "None"))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), " · ")
 
 
 def citation_id(source: Column, locator: Column) -> Column:

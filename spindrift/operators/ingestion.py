@@ -106,23 +106,30 @@ def cache_probe(chunks: DataFrame, cache: DataFrame, key: str = "key") -> DataFr
 
 
 def report(outcomes: DataFrame) -> DataFrame:
-    """outcomes(status, tokens): one row of counts."""
+    """outcomes(status, tokens, and where there are some cost, started and ended): one row of counts, dollars and seconds from the first start to the last end."""
     n = lambda s: F.count_if(F.col("status") == s)
-    return outcomes.agg(n("succeeded").alias("succeeded"), n("failed").alias("failed"), n("skipped").alias("skipped"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    cost = [F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost")] if "cost" in outcomes.columns else []
+    seconds = [((F.unix_micros(F.max("ended")) - F.unix_micros(F.min("started"))) / 1e6).alias("seconds")] if {"started", "ended"} <= set(outcomes.columns) else []
+    return outcomes.agg(n("succeeded").alias("succeeded"), n("failed").alias("failed"), n("skipped").alias("skipped"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *cost, *seconds)
 
 
 def sidecar_entries(docs: DataFrame) -> DataFrame:
-    """Search entries: identifier values by sorted key joined by '/', sections in order joined by blank lines, first non-empty source."""
+    """Search entries: id (identifier values by sorted key joined by '/'), identifiers, text (sections in order, joined by blank lines), sections (name and text, in order) and source (the first that is not empty).
+
+    An entry is one row by contract: an entity's texts must fit into one, of 2 GB at most.
+    """
     named = docs.filter("entity_id is not null and version is not null and text is not null")
-    part = F.struct(F.coalesce("section", F.lit("")), "doc_id", "text")
+    part = F.struct(F.coalesce("section", F.lit("")).alias("name"), "doc_id", "text")
     rows = named.groupBy("entity_id", "version").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.min(F.when(F.col("source") != "", F.col("source"))).alias("source"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")
-    return rows.select(F.concat_ws("/", "entity_id", "version").alias("id"), F.size("parts").cast("long").alias("sections"), F.sha2(text, 256).alias("text_hash"), F.length(text).cast("long").alias("n_chars"), F.coalesce("source", F.lit("")).alias("source"))
+    sections = F.transform("parts", lambda p: F.struct(p["name"].alias("name"), p["text"].alias("text")))
+    identifiers = F.create_map(F.lit("entity_id"), F.col("entity_id"), F.lit("version"), F.col("version"))
+    return rows.select(F.concat_ws("/", "entity_id", "version").alias("id"), identifiers.alias("identifiers"), text.alias("text"), sections.alias("sections"), F.coalesce("source", F.lit("")).alias("source"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """The new rows and the old ones whose key is not among them."""
-    return new.unionByName(old.join(new.select(key), key, "left_anti"))
+    return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti").select(new.columns))
 
 
 def ordered_fragments(rows: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
@@ -165,8 +172,11 @@ def extracted(docs: DataFrame, adapter: Callable[[str], str] = stub_adapter, key
 
 
 def tree_counts(docs: DataFrame) -> DataFrame:
-    """Versions, sections and bytes of each entity."""
-    return docs.groupBy("entity_id").agg(F.count_distinct("version").alias("versions"), F.count("*").alias("files"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes"))
+    """Versions, sections, bytes, fields of JSON objects and items of JSON lists of each entity."""
+    text = F.coalesce("text", F.lit(""))
+    fields, items = F.coalesce(F.size(F.json_object_keys(text)), F.lit(0)), F.coalesce(F.json_array_length(text), F.lit(0))
+    rows = docs.select("entity_id", "version", F.octet_length(text).alias("b"), F.greatest(fields, F.lit(0)).cast("long").alias("f"), items.cast("long").alias("i"))
+    return rows.groupBy("entity_id").agg(F.count_distinct("version").alias("versions"), F.count("*").alias("files"), F.sum("b").alias("bytes"), F.sum("f").alias("fields"), F.sum("i").alias("items"))
 
 
 def newest_per_entity(loads: DataFrame) -> DataFrame:

@@ -169,11 +169,32 @@ def fork(events: DataFrame, at_round: int, suffix: str) -> DataFrame:
     return rows.select(F.concat("session_id", F.lit(suffix)).alias("session_id"), F.col("session_id").alias("parent_id"), "seq", "type", "round")
 
 
+def forked(events: DataFrame, session_id: str, at_round: int, new_id: str) -> DataFrame:
+    """The events that a fork of one session takes over, under its new id: those of the rounds before `at_round`, or all for -1. A round that the session has not is an error."""
+    rows = with_rounds(events.filter(F.col("session_id") == session_id))
+    have = rows.agg(F.max("round")).first()[0]
+    if have is None:
+        raise ValueError(f"no session {session_id}")
+    if at_round != -1 and not 1 <= at_round <= have:
+        raise ValueError(f"session {session_id} has rounds 1 to {have}, not {at_round}")
+    kept = rows if at_round == -1 else rows.filter(F.col("round") < at_round)
+    return kept.drop("round").withColumn("session_id", F.lit(new_id))
+
+
 def action_batches(events: DataFrame) -> DataFrame:
-    """What the model did at each turn of each round: a batch of calls, else a final answer."""
-    rows = with_rounds(events, "type", "turn").filter("round > 0")
-    groups = rows.groupBy("session_id", "round", "turn").agg(F.count_if(F.col("type") == "tool_call").alias("calls"), F.count_if(F.col("type") == "final_answer").alias("finals"))
-    return groups.filter("calls > 0 or finals > 0").select("session_id", "round", "turn", F.when(F.col("calls") > 0, "calls").otherwise("final").alias("action"), "calls")
+    """What the model did at each turn of each round: a batch of calls (call_id, name, args) in order, which wins, else the text of a final answer."""
+    rows = with_rounds(events, "type", "turn", "call_id", "name", "args", "text").filter("round > 0")
+    call = F.when(F.col("type") == "tool_call", F.struct("seq", "call_id", "name", "args"))
+    final = F.when(F.col("type") == "final_answer", F.struct("seq", "text"))
+    groups = rows.groupBy("session_id", "round", "turn").agg(F.sort_array(F.collect_list(call)).alias("batch"), F.min(final)["text"].alias("text"), F.count(final).alias("finals"))  # of one turn
+    acted = groups.filter((F.size("batch") > 0) | (F.col("finals") > 0))
+    called = F.size("batch") > 0
+    return acted.select("session_id", "round", "turn", F.when(called, "calls").otherwise("final").alias("action"), F.size("batch").cast("long").alias("calls"), "batch", F.when(~called, F.col("text")).alias("text"))
+
+
+def shown_time(c: Column) -> Column:
+    """An ISO time to the minute, with a space for its T; other texts as they are."""
+    return F.when(F.contains(c, F.lit("T")), F.substring(F.replace(c, F.lit("T"), F.lit(" ")), 1, 16)).otherwise(c)
 
 
 def final_answers(events: DataFrame) -> DataFrame:

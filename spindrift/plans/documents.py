@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.functions import markup
 from spindrift.functions import text as X
 from spindrift.functions.decoding import decoded
-from spindrift.operators import artifacts, files, ingestion, search
+from spindrift.operators import artifacts, extraction, files, ingestion, search, trees
 from spindrift.runtime import spread, table
 
 QUERIES: dict = {}
@@ -43,6 +44,9 @@ _TOK = r"'([\p{L}\p{N}_]+)'"
 _PATH = "concat_ws('/', source, coalesce(entity_id, 'none'), doc_id || '.txt')"
 
 
+_LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]')"
+
+
 def _bm25_sql(asked: str, where: str = "true", tail: str = "", extra: str = "", base: str = "documents", cols: str = "doc_id AS id, text, lang, source") -> str:
     words = search.query_terms(asked)
     distinct = list(dict.fromkeys(words))
@@ -138,9 +142,6 @@ def bm25_all_cases(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25_batch(search.build_index(entries(spark, d)), asked, 3)
 
 
-_LINES = r"regexp_split_to_array(text, '\r\n|[\n\r\x{0b}\x{0c}\x{1c}\x{1d}\x{1e}\x{85}\x{2028}\x{2029}]')"
-
-
 def _grep_sql(test: str) -> str:
     return f"SELECT path, no AS line_no, line FROM (SELECT {_PATH} AS path, unnest({_LINES}) AS line, unnest(range(1, len({_LINES}) + 1)) AS no FROM documents WHERE text IS NOT NULL) WHERE {test}"
 
@@ -175,22 +176,64 @@ def fs_read_slice(spark: SparkSession, d: str) -> DataFrame:
     return files.read_slice(doc_files(spark, d), 0, 50_000, files.FS_READ_MAX)
 
 
-@query("SELECT entity_id, version, count(*) AS sections FROM documents WHERE entity_id IS NOT NULL AND version IS NOT NULL GROUP BY 1, 2 ORDER BY 1, 2")
+KEYS = ("entity_id", "version")
+
+
+def library(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files of compiled entities: entity/version/section."""
+    docs = table(spark, d, "documents").filter("entity_id is not null and version is not null and section is not null and text is not null")
+    return docs.select(F.concat_ws("/", *KEYS, "section").alias("path"), F.col("text").alias("content"))
+
+
+_LIBRARY = "(SELECT entity_id, version, section, text FROM documents WHERE entity_id IS NOT NULL AND version IS NOT NULL AND section IS NOT NULL AND text IS NOT NULL)"
+
+
+@query(f"SELECT DISTINCT entity_id, version FROM {_LIBRARY}")
+def entity_tree(spark: SparkSession, d: str) -> DataFrame:
+    return trees.entities(library(spark, d), KEYS)
+
+
+@query(f"SELECT DISTINCT entity_id, version, (SELECT count(DISTINCT entity_id) FROM {_LIBRARY} WHERE version = '2022') AS count FROM {_LIBRARY} WHERE version = '2022' ORDER BY 1, 2")
 def list_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("entity_id is not null and version is not null").groupBy("entity_id", "version").agg(F.count("*").alias("sections")).orderBy("entity_id", "version")
+    return trees.list_entities(trees.entities(library(spark, d), KEYS), KEYS, version="2022", entity_id=None)
 
 
-@query("SELECT DISTINCT version FROM documents WHERE entity_id = 'COMAR' AND version IS NOT NULL ORDER BY 1")
+@query(f"SELECT DISTINCT version FROM {_LIBRARY} WHERE entity_id = 'COMAR' ORDER BY 1")
 def list_versions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("entity_id = 'COMAR' and version is not null").select("version").distinct().orderBy("version")
+    return trees.list_versions(trees.entities(library(spark, d), KEYS), KEYS, entity_id="COMAR")
 
 
-@query("SELECT doc_id, section, text AS content, length(text)::INT AS size FROM documents WHERE entity_id = 'COMAR' AND version = '2022' AND section = 'sections/mdna' AND text IS NOT NULL")
+@query(f"SELECT section, 'COMAR/2022/' || section AS path, text AS content, length(text)::INT AS size FROM {_LIBRARY} WHERE entity_id = 'COMAR' AND version = '2022' AND section = 'sections/mdna'")
 def get_section(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("entity_id = 'COMAR' and version = '2022' and section = 'sections/mdna' and text is not null").select("doc_id", "section", F.col("text").alias("content"), F.length("text").alias("size"))
+    return trees.get_section(library(spark, d), KEYS, "sections/mdna", entity_id="COMAR", version="2022")
+
+
+def roots(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The compiled sections and the documents by kind as two roots."""
+    return {"library": library(spark, d).withColumn("path", F.concat("path", F.lit(".md"))), "docs": doc_files(spark, d)}
+
 
+_ROOTS = f"""(SELECT 0 AS rank, 'library/' || entity_id || '/' || version || '/' || section || '.md' AS path, text FROM {_LIBRARY} UNION ALL SELECT 1, 'docs/' || {_PATH}, text FROM documents WHERE text IS NOT NULL)"""
 
-@query("SELECT entity_id, count(DISTINCT version) AS versions, count(*) AS files, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents GROUP BY 1")
+
+@query(f"SELECT rank::INT AS rank, path AS shown, count(*) AS files FROM {_ROOTS} GROUP BY 1, 2")
+def root_union(spark: SparkSession, d: str) -> DataFrame:
+    return trees.rooted(roots(spark, d)).groupBy("rank", "shown").agg(F.count("*").alias("files"))
+
+
+def _root_grep_sql(cap: int) -> str:
+    lines = f"(SELECT rank, path, unnest({_LINES}) AS line, unnest(range(1, len({_LINES}) + 1)) AS no FROM {_ROOTS})"
+    first = f"(SELECT * FROM {lines} WHERE contains(line, 'Pelbasenberg') ORDER BY rank, path, no LIMIT {cap})"
+    return f"SELECT path, no::INT AS line_no, line, (SELECT count(*) FROM {first}) >= {cap} AS truncated FROM {first}"
+
+
+@query(_root_grep_sql(20))
+def fs_grep(spark: SparkSession, d: str) -> DataFrame:
+    return trees.fs_grep(roots(spark, d), "Pelbasenberg")
+
+
+@query("""SELECT entity_id, count(DISTINCT version) AS versions, count(*) AS files, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes,
+  sum(CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN len(json_keys(text)) ELSE 0 END)::BIGINT AS fields, sum(CASE WHEN json_valid(text) AND json_type(text) = 'ARRAY' THEN json_array_length(text) ELSE 0 END)::BIGINT AS items FROM documents GROUP BY 1""")
 def entity_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.tree_counts(table(spark, d, "documents"))
 
@@ -371,11 +414,13 @@ def missing_required(spark: SparkSession, d: str) -> DataFrame:
     return ingestion.missing_required(docs, table(spark, d, "section_specs"))
 
 
-@query(f"SELECT count(*) FILTER (errors = '') AS succeeded, count(*) FILTER (errors <> '') AS failed, 0::BIGINT AS skipped, coalesce(sum(length(text) // 4) FILTER (errors = ''), 0)::BIGINT AS tokens FROM {_VALID} JOIN documents USING (doc_id)")
+@query(f"""SELECT count(*) FILTER (errors = '') AS succeeded, count(*) FILTER (errors <> '') AS failed, 0::BIGINT AS skipped, coalesce(sum(length(text) // 4) FILTER (errors = ''), 0)::BIGINT AS tokens,
+  round(coalesce(sum(length(text) // 4) FILTER (errors = ''), 0) * 2.0::DOUBLE / 1e6, 6) AS cost, (epoch_us(max(written_at)) - epoch_us(min(written_at))) / 1e6::DOUBLE AS seconds FROM {_VALID} JOIN documents USING (doc_id)""")
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    v = ingestion.validated(docs, table(spark, d, "section_specs")).join(docs.select("doc_id", F.floor(F.length("text") / 4).alias("n")), "doc_id")
-    return ingestion.report(v.select(F.when(F.col("errors") == "", "succeeded").otherwise("failed").alias("status"), F.when(F.col("errors") == "", F.col("n")).alias("tokens")))
+    v = ingestion.validated(docs, table(spark, d, "section_specs")).join(docs.select("doc_id", "written_at", F.floor(F.length("text") / 4).alias("n")), "doc_id")
+    tokens = F.when(F.col("errors") == "", F.col("n"))
+    return ingestion.report(v.select(F.when(F.col("errors") == "", "succeeded").otherwise("failed").alias("status"), tokens.alias("tokens"), (tokens * 2.0 / 1e6).alias("cost"), F.col("written_at").alias("started"), F.col("written_at").alias("ended")))
 
 
 @query(f"SELECT doc_id, errors AS message, 'SchemaValidationError' AS error_type, 'dead_letter/' || doc_id AS folder FROM {_VALID} WHERE errors <> ''")
@@ -384,23 +429,32 @@ def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.col("errors").alias("message"), F.lit("SchemaValidationError").alias("error_type"), F.concat(F.lit("dead_letter/"), "doc_id").alias("folder"))
 
 
-_SIDE = "(SELECT entity_id || '/' || version AS id, count(*) AS sections, sha256(string_agg(text, E'\\n\\n' ORDER BY coalesce(section, ''), doc_id)) AS text_hash, length(string_agg(text, E'\\n\\n' ORDER BY coalesce(section, ''), doc_id)) AS n_chars, coalesce(min(source) FILTER (source <> ''), '') AS source FROM {} WHERE entity_id IS NOT NULL AND version IS NOT NULL AND text IS NOT NULL GROUP BY entity_id, version)"
+_SIDE = "(SELECT entity_id || '/' || version AS id, entity_id, version, string_agg(text, E'\\n\\n' ORDER BY coalesce(section, ''), doc_id) AS text, string_agg(coalesce(section, ''), ',' ORDER BY coalesce(section, ''), doc_id) AS sections, coalesce(min(source) FILTER (source <> ''), '') AS source FROM {} WHERE entity_id IS NOT NULL AND version IS NOT NULL AND text IS NOT NULL GROUP BY entity_id, version)"
+
+
+def _flat(entries: DataFrame) -> DataFrame:
+    """Search entries with plain columns, for comparison."""
+    names = F.array_join(F.transform("sections", lambda x: x["name"]), ",")
+    return entries.select("id", F.col("identifiers")["entity_id"].alias("entity_id"), F.col("identifiers")["version"].alias("version"), "text", names.alias("sections"), "source")
 
 
 @query(f"SELECT * FROM {_SIDE.format('documents')}")
 def sidecar_entries(spark: SparkSession, d: str) -> DataFrame:
-    return ingestion.sidecar_entries(table(spark, d, "documents"))
+    return _flat(ingestion.sidecar_entries(table(spark, d, "documents")))
 
 
 @query(f"WITH o AS (SELECT * FROM {_SIDE.format('documents')}), n AS (SELECT * FROM {_SIDE.format("(SELECT * FROM documents WHERE section LIKE 'sections/%')")}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
 def sidecar_upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return ingestion.upserted(ingestion.sidecar_entries(docs), ingestion.sidecar_entries(docs.filter("section like 'sections/%'")))
+    return _flat(ingestion.upserted(ingestion.sidecar_entries(docs), ingestion.sidecar_entries(docs.filter("section like 'sections/%'"))))
 
 
-@query(r"""SELECT entity_id, section, count(*) AS fragments, md5(string_agg(t, E'\n\n---\n\n' ORDER BY doc_id)) AS digest FROM (SELECT entity_id, section, doc_id, regexp_replace(text, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t FROM documents WHERE entity_id IS NOT NULL) WHERE t <> '' GROUP BY 1, 2""")
+@query(r"""SELECT entity_id, section, count(*) AS fragments, md5(string_agg(t, E'\n\n---\n\n' ORDER BY doc_id)) AS digest FROM (SELECT entity_id, section, doc_id, regexp_replace(text, '^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g') AS t FROM documents WHERE entity_id IS NOT NULL AND (section IN (SELECT name FROM section_specs) OR EXISTS (SELECT 1 FROM section_specs s WHERE s.name LIKE '%*' AND starts_with(section, s.name[1:length(s.name) - 1])))) WHERE t <> '' GROUP BY 1, 2""")
 def fragments_per_section(spark: SparkSession, d: str) -> DataFrame:
+    """The fragments of sections that a spec knows; names that none knows are dropped."""
     docs = table(spark, d, "documents").filter("entity_id is not null")
+    known = ingestion.resolved_sections(docs, table(spark, d, "section_specs")).filter("spec is not null").select("section")
+    docs = docs.join(known, "section", "left_semi")
     return ingestion.ordered_fragments(docs, ["entity_id", "section"], "doc_id", "text").select("entity_id", "section", "fragments", F.md5("joined").alias("digest"))
 
 
@@ -412,7 +466,26 @@ def size_labels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "loaded_documents").filter("format = 'html' and raw is not null")
-    return pages.select("load_id", X.html_text(decoded(F.col("raw"), F.col("content_type"))).alias("text"))
+    return pages.select("load_id", markup.shown(decoded(F.col("raw"), F.col("content_type"))).alias("text"))
+
+
+@query("""SELECT load_id, CASE WHEN status_code = 429 THEN 'RateLimitError' WHEN status_code IN (401, 403) THEN 'AuthError' WHEN status_code >= 500 OR status_code = 408 THEN 'TransientError' WHEN status_code >= 400 THEN 'ModelError' END AS error_type,
+  CASE WHEN status_code >= 400 THEN status_code = 429 OR status_code = 408 OR status_code >= 500 END AS recoverable FROM loaded_documents""")
+def fetch_errors(spark: SparkSession, d: str) -> DataFrame:
+    e = extraction.error_of(F.col("status_code"))
+    return table(spark, d, "loaded_documents").select("load_id", e["error_type"].alias("error_type"), e["recoverable"].alias("recoverable"))
+
+
+@query(f"SELECT section, sum(len(regexp_extract_all(coalesce(text, ''), {_TOK}, 1)))::BIGINT AS words, sum(ceil(length(coalesce(text, '')) / 4))::BIGINT AS quarters FROM documents GROUP BY section")
+def section_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens by section under two counters."""
+    text = F.coalesce("text", F.lit(""))
+    return spread(table(spark, d, "documents").select("section", text.alias("text"))).groupBy("section").agg(F.sum(extraction.words_as_tokens(F.col("text"))).alias("words"), F.sum(extraction.quarters_as_tokens(F.col("text"))).alias("quarters"))
+
+
+@query()
+def densest_slices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", markup.densest(F.col("text"), r"(?i)note \d+|revenue|umsatz", 400).alias("slice"))
 
 
 @query()

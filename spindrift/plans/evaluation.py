@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindrift.operators import catalog, evidence, sessions
+from spindrift.operators.checks import built_in
 from spindrift.plans.events import LOG
 from spindrift.runtime import Workspace, table
 
@@ -61,6 +62,13 @@ def citation_dedup(spark: SparkSession, d: str) -> DataFrame:
     return evidence.citations(_events(spark, d))
 
 
+@query("SELECT session_id, seq, array_to_string(list_filter(list_transform(list_sort(json_keys(locator)), lambda k: CASE WHEN coalesce(json_extract_string(locator, '$.\"' || k || '\"'), '') <> '' THEN k || '=' || json_extract_string(locator, '$.\"' || k || '\"') END), lambda x: x IS NOT NULL), ' · ') AS line FROM log WHERE type = 'citation'")
+def locator_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Locators as users see them."""
+    rows = sessions.log(_events(spark, d), "type", "locator").filter("type = 'citation'")
+    return rows.select("session_id", "seq", evidence.locator_line(F.col("locator")).alias("line"))
+
+
 @query("SELECT session_id, seq, name, args_key FROM calls")
 def call_keys(spark: SparkSession, d: str) -> DataFrame:
     return evidence.call_keys(_events(spark, d))
@@ -143,14 +151,6 @@ def latency_cost_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return evidence.latency_cost(_cases(spark, d), _measured(spark, d, by=evidence.RUN), evidence.RUN)
 
 
-def judged(events: DataFrame, cases: DataFrame, runs: DataFrame, measured: DataFrame, by: tuple[str, ...] = evidence.RUN) -> DataFrame:
-    """All seven checks over a log, a row per run and check."""
-    out = evidence.repeated_calls(runs, events, by).unionByName(evidence.faithfulness(runs, events, by))
-    for f in (evidence.coverage, evidence.entity_resolution, evidence.expected_clarification, evidence.forbidden_phrases):
-        out = out.unionByName(f(cases, runs, events, by))
-    return out.unionByName(evidence.latency_cost(cases, measured, by))
-
-
 @query(f"SELECT * FROM ({_ALL})")
 def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """The seven checks over every session of the log, a row per case, session and check. The log is put in order once, with what the checks need of it."""
@@ -158,7 +158,7 @@ def session_verdicts(spark: SparkSession, d: str) -> DataFrame:
     needed = ("type", "name", "args", "source", "locator", "value", "text", F.get_json_object("result", "$.path").alias("path"))
     held, _ = ws.keep(sessions.log(_events(spark, d).select("row_id", "session_id", "seq", *needed)).withColumn("result", F.when(F.col("path").isNotNull(), F.to_json(F.struct("path")))).drop("path"))
     runs, _ = ws.keep(_runs(spark, d, held))
-    return judged(held, _cases(spark, d), runs, _measured(spark, d, runs, evidence.RUN))
+    return built_in().run(_cases(spark, d), runs, held, _measured(spark, d, runs, evidence.RUN))
 
 
 _CELLS = ", ".join(f"""coalesce(max(cell) FILTER ("check" = '{c}'), '—') AS {c}""" for c in CHECKS)

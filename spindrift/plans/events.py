@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.operators import artifacts, hierarchy, sessions, truncation
+from spindrift.functions import markup
+from spindrift.operators import artifacts, hierarchy, replay, sessions, truncation
 from spindrift.runtime import table
+from spindrift.sinks import store
+from spindrift.sources import readers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -116,9 +119,52 @@ def fork_prefix(spark: SparkSession, d: str) -> DataFrame:
     return sessions.fork(_events(spark, d), 3, "-fork")
 
 
-@query("SELECT session_id, round, turn, CASE WHEN count(*) FILTER (type = 'tool_call') > 0 THEN 'calls' ELSE 'final' END AS action, count(*) FILTER (type = 'tool_call') AS calls FROM rounds WHERE round > 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (type IN ('tool_call', 'final_answer')) > 0")
+@query("""SELECT session_id, round, turn, CASE WHEN count(*) FILTER (type = 'tool_call') > 0 THEN 'calls' ELSE 'final' END AS action, count(*) FILTER (type = 'tool_call') AS calls, coalesce(string_agg(coalesce(call_id, '') || ':' || coalesce(name, ''), ',' ORDER BY seq) FILTER (type = 'tool_call'), '') AS batch,
+  CASE WHEN count(*) FILTER (type = 'tool_call') = 0 THEN arg_min(text, seq) FILTER (type = 'final_answer') END AS text FROM rounds WHERE round > 0 GROUP BY 1, 2, 3 HAVING count(*) FILTER (type IN ('tool_call', 'final_answer')) > 0""")
 def action_batches(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.action_batches(_events(spark, d))
+    rows = sessions.action_batches(_events(spark, d))
+    return rows.withColumn("batch", F.array_join(F.transform("batch", lambda c: F.concat(F.coalesce(c["call_id"], F.lit("")), F.lit(":"), F.coalesce(c["name"], F.lit("")))), ","))
+
+
+_PAIRED = """calls AS (SELECT session_id, call_id, seq, name, '{' || array_to_string(list_transform(list_sort(json_keys(args)), lambda k: '"' || k || '":' || json_extract(args, '$."' || k || '"')), ',') || '}' AS args_key FROM log WHERE type = 'tool_call' AND coalesce(name NOT IN ('save_note', 'register_citation', 'request_clarification', 'stop', 'escalate_to_oracle'), true)),
+asked AS (SELECT *, row_number() OVER (PARTITION BY session_id, name, args_key ORDER BY seq) AS ordinal, (SELECT min(r.seq) FROM log r WHERE r.type = 'tool_result' AND r.session_id = calls.session_id AND r.call_id = calls.call_id AND r.seq > calls.seq) AS own FROM calls),
+queue AS (SELECT session_id, name, args_key, own AS result_seq, row_number() OVER (PARTITION BY session_id, name, args_key ORDER BY own) AS ordinal FROM asked WHERE own IS NOT NULL)"""
+
+
+@query(f"""WITH {_PAIRED} SELECT a.session_id, a.seq, a.name, a.ordinal, q.result_seq, r.result FROM asked a LEFT JOIN queue q ON q.session_id = a.session_id AND q.name IS NOT DISTINCT FROM a.name AND q.args_key IS NOT DISTINCT FROM a.args_key AND q.ordinal = a.ordinal LEFT JOIN log r ON r.session_id = a.session_id AND r.seq = q.result_seq""")
+def recorded_results(spark: SparkSession, d: str) -> DataFrame:
+    """What each call takes when its session is played again."""
+    return replay.recorded_results(_events(spark, d)).drop("args_key")
+
+
+@query("SELECT session_id, seq, role, name, round, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS position FROM turns JOIN (SELECT session_id, seq, round FROM rounds) USING (session_id, seq)")
+def replayed_history(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replayed(_events(spark, d)).history.select("session_id", "seq", "role", "name", "round", "position")
+
+
+@query("SELECT session_id, max(round) AS rounds, count(*) AS events, count(*) FILTER (type = 'error') AS errors, max(seq) AS last_seq, CASE WHEN max(round) = 0 THEN 'no user query: the session cannot be rebuilt' END AS error FROM rounds GROUP BY 1")
+def replayed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return replay.replayed(_events(spark, d)).sessions
+
+
+@query("SELECT session_id, round, seq, mode, message, row_number() OVER (PARTITION BY session_id, round ORDER BY seq) AS position FROM rounds WHERE type = 'steering'")
+def steering_order(spark: SparkSession, d: str) -> DataFrame:
+    return replay.steered(_events(spark, d))
+
+
+@query("""SELECT session_id, seq, CASE WHEN role = 'tool' THEN 'user' ELSE role END AS role, CASE WHEN role = 'tool' THEN 'tool_result' WHEN args IS NOT NULL THEN 'tool_use' ELSE 'text' END AS kind, CASE WHEN role = 'tool' OR args IS NOT NULL THEN coalesce(call_id, '') END AS id, CASE WHEN role <> 'tool' AND args IS NOT NULL THEN args END AS input, CASE WHEN role = 'tool' OR args IS NULL THEN content END AS text
+FROM turns JOIN (SELECT session_id, seq, call_id, CASE WHEN type = 'tool_call' THEN args END AS args FROM log) USING (session_id, seq)""")
+def provider_messages(spark: SparkSession, d: str) -> DataFrame:
+    calls = sessions.log(_events(spark, d), "type", "call_id", "args").select("session_id", "seq", "call_id", F.when(F.col("type") == "tool_call", F.col("args")).alias("args"))
+    rows = replay.messages(sessions.turns(_events(spark, d)).join(calls, ["session_id", "seq"]))
+    return rows.select("session_id", "seq", "role", F.inline("blocks")).select("session_id", "seq", "role", "kind", "id", "input", "text")
+
+
+@query("""SELECT session_id, seq, concat_ws(' · ', CASE WHEN coalesce(trim(json_extract_string(args, '$.query')), '') <> '' THEN '"' || json_extract_string(args, '$.query') || '"' WHEN coalesce(trim(json_extract_string(args, '$.path')), '') <> '' THEN '"' || json_extract_string(args, '$.path') || '"' END, 'limit=' || json_extract_string(args, '$.limit')) AS line FROM log WHERE type = 'tool_call' AND len(list_filter(json_keys(args), lambda k: k NOT IN ('query', 'path', 'limit'))) = 0""")
+def call_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls as users see them."""
+    rows = sessions.log(_events(spark, d), "type", "args").filter("type = 'tool_call'").filter(F.size(F.array_except(F.json_object_keys("args"), F.array(F.lit("query"), F.lit("path"), F.lit("limit")))) == 0)
+    return rows.select("session_id", "seq", markup.call_line(F.col("args")).alias("line"))
 
 
 @query("SELECT DISTINCT session_id, regexp_full_match(session_id, '[A-Za-z0-9_-]+') AS valid FROM session_meta")
@@ -126,12 +172,25 @@ def session_id_validity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "session_meta").select("session_id", sessions.valid_id(F.col("session_id")).alias("valid")).distinct()
 
 
-@query("SELECT p AS prefix, count(DISTINCT session_id) AS n, CASE WHEN count(DISTINCT session_id) = 1 THEN min(session_id) END AS resolved FROM (SELECT DISTINCT session_id[1:6] AS p FROM session_meta) JOIN session_meta ON session_id[1:6] = p GROUP BY p")
+@query("""WITH ids AS (SELECT DISTINCT session_id FROM session_meta WHERE session_id IS NOT NULL), p AS (SELECT session_id AS prefix FROM ids UNION SELECT session_id[1:len(session_id) // 2 + 1] FROM ids UNION SELECT 'no such session'),
+m AS (SELECT prefix, count(session_id) AS n, min(session_id) AS one, bool_or(session_id = prefix) AS exact FROM p LEFT JOIN ids ON starts_with(session_id, prefix) GROUP BY 1)
+SELECT prefix, CASE WHEN exact THEN prefix WHEN n = 1 THEN one END AS session_id, CASE WHEN n = 0 THEN 'no match' WHEN n > 1 AND NOT exact THEN 'ambiguous' END AS error FROM m""")
 def session_prefix(spark: SparkSession, d: str) -> DataFrame:
-    """What each six-letter prefix of an id resolves to: the session, if it is the only one."""
+    """What whole ids, the first halves of ids and one id of nobody resolve to."""
     ids = table(spark, d, "session_meta").select("session_id").distinct().filter("session_id is not null")
-    n = F.count("*")
-    return ids.groupBy(F.substring("session_id", 1, 6).alias("prefix")).agg(n.alias("n"), F.when(n == 1, F.min("session_id")).alias("resolved"))
+    asked = ids.select(F.col("session_id").alias("prefix")).unionByName(ids.select(F.expr("substring(session_id, 1, int(length(session_id) / 2) + 1)").alias("prefix"))).unionByName(spark.createDataFrame([("no such session",)], "prefix string"))
+    return store.resolved_prefixes(ids, asked)
+
+
+@query("SELECT DISTINCT session_id, created, CASE WHEN contains(created, 'T') THEN replace(created, 'T', ' ')[1:16] ELSE created END AS shown FROM session_meta")
+def session_times(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "session_meta").select("session_id", "created", sessions.shown_time(F.col("created")).alias("shown")).distinct()
+
+
+@query()
+def event_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The log as JSON lines."""
+    return readers.event_lines(sessions.log(_events(spark, d)))
 
 
 @query("""WITH o AS (SELECT session_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM log GROUP BY 1),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.operators.ingestion import upserted
+from spindrift.storage import Place
 
 
 def write_entities(rows: DataFrame, path: str, keys: list[str]) -> None:
@@ -18,26 +17,28 @@ def write_entities(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes a table beside the old one and puts it in its place; a failure leaves the old one. For local and mounted folders, with one writer."""
-    new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    """Writes a table beside the old one and puts it in its place; a failure leaves the old one. One writer at a time; on stores without a rename the moves are copies."""
+    spark = rows.sparkSession
+    at, new, old = Place(spark, path), Place(spark, f"{path}.{uuid.uuid4().hex}"), Place(spark, f"{path}.old-{uuid.uuid4().hex}")
     try:
-        rows.write.parquet(new)
-        if os.path.exists(path):
-            os.rename(path, old)
+        rows.write.parquet(str(new))
+        if at.exists():
+            at.move(old)
         try:
-            os.rename(new, path)
-        except OSError:
-            if os.path.exists(old):
-                os.rename(old, path)
+            new.move(at)
+        except Exception:
+            if old.exists() and not at.exists():
+                old.move(at)
             raise
     finally:
-        shutil.rmtree(new, True)
-        shutil.rmtree(old, True)
+        new.delete()
+        if at.exists():
+            old.delete()
 
 
 def upsert_table(spark: SparkSession, rows: DataFrame, path: str, key: str = "id") -> None:
     """Puts rows into a table by key: new ones are added, old ones with the same key replaced."""
-    if os.path.exists(path):
+    if Place(spark, path).exists():
         rows = upserted(spark.read.schema(rows.schema).parquet(path), rows, key)
     replace_table(rows, path)
 
@@ -65,6 +66,6 @@ def fan_out(rows: DataFrame, *writers) -> None:
 
 def export_session(spark: SparkSession, path: str, session_id: str, to: str) -> None:
     """One session's log as a JSONL file of its own; an existing target is an error."""
-    if os.path.exists(to):
+    if Place(spark, to).exists():
         raise FileExistsError(to)
     spark.read.json(path).filter(F.col("session_id") == session_id).orderBy("seq").coalesce(1).write.json(to)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import SparkSession
 
 
@@ -12,6 +13,8 @@ class Place:
         self.spark, jvm, conf = spark, spark._jvm, spark._jsc.hadoopConfiguration()
         raw = jvm.org.apache.hadoop.fs.Path(path)
         self.fs = raw.getFileSystem(conf)
+        if is_instance_of(spark.sparkContext._gateway, self.fs, "org.apache.hadoop.fs.ChecksumFileSystem"):
+            self.fs = self.fs.getRawFileSystem()  # without check sums beside each file, which break when a file is changed by other means
         self.at = self.fs.makeQualified(raw)
 
     def __str__(self) -> str:
@@ -68,6 +71,7 @@ class Place:
             out.write(data, 0, len(data))
         finally:
             out.close()
-        if self.exists():
-            self.fs.delete(self.at, False)
+        for old in (self, self.parent / f".{self.name}.crc"):
+            if old.exists():
+                old.delete()
         part.move(self)
