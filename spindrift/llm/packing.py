@@ -14,11 +14,12 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.runtime import Workspace, spread
 
+#: A folder that is there on every worker, or a file shipped to them (see shipped()).
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Tokens dealt to one group.
@@ -38,14 +39,25 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
     import tiktoken
 
-    with open(os.path.join(folder, vocabulary), "rb") as f:
+    at = os.path.join(folder, vocabulary)
+    if not os.path.exists(at):  # sent along by shipped()
+        from pyspark import SparkFiles
+
+        at = SparkFiles.get(vocabulary)
+    with open(at, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def shipped(spark: SparkSession, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> None:
+    """Sends the vocabulary to all workers, which need no folder of their own then."""
+    spark.sparkContext.addFile(os.path.join(folder, vocabulary))
+
+
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tokens) of the texts that have any; null and empty ones have none."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    shipped(docs.sparkSession, folder, vocabulary)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(folder, vocabulary)
@@ -167,3 +179,17 @@ def packed(docs: DataFrame, windows: DataFrame, folder: str = TOKENIZERS, vocabu
     again = _packed(rest, rest.groupBy("model").agg(F.ceil(F.sum("size") / group_tokens).cast("long").alias("groups")), "b", doc_id)
     cols = ["model", "bin_id", "bin_size", doc_id, "piece", "pieces", "start", F.col("size").alias("tokens")]
     return first.filter(good).select(cols).unionByName(again.select(cols))
+
+
+def checked(bins: DataFrame, windows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """packed() held against its promises, a row for each model: texts, bins with more tokens than their size or of a size that is no window, texts in pieces that fit whole, texts whose pieces are not all there once."""
+    sizes = windows.filter("capacity_tokens > 0").select(F.col("capacity_tokens").alias("bin_size")).distinct().withColumn("known", F.lit(True))
+    most = windows.filter("capacity_tokens > 0").groupBy("model").agg(F.max("capacity_tokens").alias("capacity"))
+    full = bins.groupBy("model", "bin_id", "bin_size").agg(F.sum("tokens").alias("content")).join(F.broadcast(sizes), "bin_size", "left")
+    over = full.groupBy("model").agg(F.count_if((F.col("content") > F.col("bin_size")) | F.col("known").isNull()).alias("overfull"))
+    each = bins.groupBy("model", doc_id).agg(F.count("*").alias("n"), F.max("pieces").alias("pieces"), F.count_distinct("piece").alias("different"), F.sum("tokens").alias("tokens"), F.max(F.col("start") + F.col("tokens")).alias("end")).join(F.broadcast(most), "model")
+    texts = each.groupBy("model").agg(
+        F.count("*").alias("texts"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("needless_pieces"),
+        F.count_if((F.col("n") != F.col("pieces")) | (F.col("n") != F.col("different")) | (F.col("tokens") != F.col("end"))).alias("incomplete"),
+    )
+    return texts.join(over, "model").select("model", "texts", "overfull", "needless_pieces", "incomplete")

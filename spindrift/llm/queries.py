@@ -56,6 +56,12 @@ def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), table(spark, d, "context_windows"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing, model by model: every text is whole or in all its pieces, no bin holds more than its size, only texts over the capacity are in pieces."""
+    docs, windows = table(spark, d, "documents"), table(spark, d, "context_windows")
+    return packing.checked(packing.packed(docs, windows), windows)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_cases")).select("doc_id", "case_id").distinct()
 
@@ -72,7 +78,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sources, p4_found, p4_pieces, p5_found, p5_conversations, p6_packed, p7_found, p7_leaks, p8_found, p8_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_sources, p4_found, p4_pieces, p5_found, p5_conversations, p6_packed, p6_checked, p7_found, p7_leaks, p8_found, p8_languages)}
 
 _STEPS = r"""
 steps AS (
@@ -113,6 +119,8 @@ runs AS (SELECT DISTINCT case_id, array_to_string(w[i:i + 11], ' ') AS run FROM
 texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 held AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM texts))
 SELECT DISTINCT doc_id, case_id FROM held JOIN runs USING (run)""",
+    "p6_checked": """
+SELECT model, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0::BIGINT AS overfull, 0::BIGINT AS needless_pieces, 0::BIGINT AS incomplete FROM (SELECT DISTINCT model FROM context_windows WHERE capacity_tokens > 0)""",
     "p7_leaks": r"""
 WITH items AS (SELECT case_id, unnest(['passage', 'query']) AS field, unnest([regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'), regexp_extract_all(lower(query), '[\p{L}\p{N}]+')]) AS w FROM eval_cases),
 runs AS (SELECT case_id, field, len(w) AS size, i AS place, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 10)) AS i FROM items)),

@@ -57,3 +57,14 @@ def test_operator(spark):
         assert all(sum(v) <= k[1] <= size for k, v in bins.items())
         assert want / sum(k[1] for k in bins) > 0.93
     assert P.packed(docs.limit(0), windows).count() == 0
+
+
+def test_promises_are_checked(spark):
+    windows = spark.createDataFrame([("m", 10)], "model string, capacity_tokens int")
+    row = lambda bin_id, doc, piece, pieces, start, n: ("m", bin_id, 10, doc, piece, pieces, start, n)
+    schema = "model string, bin_id string, bin_size int, doc_id long, piece int, pieces int, start long, tokens long"
+    good = [row("a", 1, 0, 1, 0, 4), row("a", 2, 0, 1, 0, 6), row("b", 3, 0, 2, 0, 10), row("c", 3, 1, 2, 10, 3)]
+    told = lambda rows: tuple(P.checked(spark.createDataFrame(rows, schema), windows).first())
+    assert told(good) == ("m", 3, 0, 0, 0)
+    assert told([*good, row("a", 4, 0, 1, 0, 1)]) == ("m", 4, 1, 0, 0)
+    assert told([*good[:3], row("c", 5, 0, 2, 0, 3), row("c", 5, 1, 2, 3, 3)]) == ("m", 4, 0, 1, 1)
