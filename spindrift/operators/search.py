@@ -1,15 +1,22 @@
 """Ranked and filtered retrieval over entries (id, text, attributes).
 
-A single query scans the text once and keeps, per entry, its length and the counts of the query's words; what BM25 needs
-of the corpus is one row, summed over all entries before any filter. Many queries at once go through postings.
+A query scans the texts once and keeps, of the entries with one of its words, length and counts; what BM25 needs of the
+corpus is counted over all entries in passing, before any filter. Many queries at once share the scan, and tasks hand on
+their best entries only.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import snippet, term_count, token_count, tokens
@@ -47,19 +54,19 @@ def _scored(entries: DataFrame, query: str) -> DataFrame:
     distinct = list(dict.fromkeys(words))
     low = F.lower("text")
     own = spread(entries.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("_len", token_count(F.col("text")))
-    own = own.select("*", *(term_count(low, w).alias(f"_tf{i}") for i, w in enumerate(distinct)))
-    narrow = own.drop("text")
-    kept, _ = Workspace(entries.sparkSession, "bm25").keep(narrow)
-    stats = kept.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(distinct))))
+    own = own.select("*", *(term_count(low, w).alias(f"_tf{i}") for i, w in enumerate(distinct))).drop("text")
+    tf = [F.col(f"_tf{i}") for i in range(len(distinct))]
+    seen = Observation()
+    counted = own.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *(F.count_if(c > 0).alias(f"df{i}") for i, c in enumerate(tf)))
+    kept, _ = Workspace(entries.sparkSession, "bm25").keep(counted.filter(F.greatest(*tf, F.lit(0)) > 0))  # hits only; the others are counted in passing
+    stats = seen.get
     score = F.lit(0.0)
     for w in words:
         i = distinct.index(w)
-        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
-        idf = F.ln(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))).otherwise(0.0)
-    hit = F.greatest(*(F.col(f"_tf{i}") for i in range(len(distinct))), F.lit(0)) > 0
-    one = F.broadcast(stats)  # one row
-    return kept.filter(hit).join(one).withColumn("score", F.round(score, 6)).drop("_n", "_avg", "_len", *(f"_{x}{i}" for x in ("tf", "df") for i in range(len(distinct))))
+        n, df = stats["n"], stats[f"df{i}"]
+        idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf[i] > 0, F.lit(idf) * tf[i] * (K1 + 1) / (tf[i] + K1 * (1 - B + B * F.col("_len") / F.lit(stats["avg"] or 1.0)))).otherwise(0.0)
+    return kept.withColumn("score", F.round(score, 6)).drop("_len", *(f"_tf{i}" for i in range(len(distinct))))
 
 
 def bm25(entries: DataFrame, query: str, filters: dict | None = None, k: int = TOP_K, attributes: tuple[str, ...] = ()) -> DataFrame:
@@ -101,16 +108,76 @@ def build_index(entries: DataFrame) -> Index:
     return Index(postings, lengths, terms, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")))
 
 
-def bm25_batch(index: Index, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """queries(query_id, query): the k best entries of each, with rank. Repeated words of a query count as often as they occur."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    asked = asked.join(index.terms, "term")
-    rows = index.postings.join(asked, "term").join(index.lengths, "id").join(F.broadcast(index.corpus))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qn") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = rows.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= clamp_k(k))
+#: Queries answered in one block.
+BLOCK_QUERIES = 2_000
+
+
+def bm25_batch(entries: DataFrame, queries: DataFrame, k: int = TOP_K, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """queries(query_id, query) against entries(id, text): the k best entries of each, (query_id, id, score, rank). Repeated words of a query count as often as they occur; a query without words has no hit.
+
+    Each block of queries takes the texts apart once, keeps of each entry its length and the counts of the block's
+    words, and counts entries and lengths in passing. Tasks score what is kept and hand on k entries for a query at most.
+    """
+    each = queries.select("query_id", tokens(F.col("query")).alias("words"))
+    k, parts, block = clamp_k(k), [], []
+    for row in each.toLocalIterator():
+        block.append((row.query_id, row.words))
+        if len(block) == block_queries:
+            parts.append(_answered(entries, block, k, queries))
+            block = []
+    if block or not parts:
+        parts.append(_answered(entries, block, k, queries))
+    best = reduce(lambda a, b: a.unionByName(b), parts)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))  # of k rows a task
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _answered(entries: DataFrame, block: list[tuple], k: int, queries: DataFrame) -> DataFrame:
+    """The k best of every task for each query of a block."""
+    spark = entries.sparkSession
+    kinds = entries.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kinds[1]}, id {kinds[0]}, score double"
+    vocabulary = sorted({w for _, ws in block for w in ws})
+    if not vocabulary:
+        return spark.createDataFrame([], schema)
+    words = tokens(F.col("text"))
+    own = spread(entries.select("id", "text")).select("id", F.size(words).cast("long").alias("len"), F.filter(words, lambda w: w.isin(vocabulary)).alias("held"))
+    seen = Observation()
+    counted = own.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
+    kept, _ = Workspace(spark, "bm25").keep(counted.filter(F.size("held") > 0))
+    df = {r.term: r.df for r in kept.select(F.explode(F.array_distinct("held")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()}  # at most the vocabulary
+    n, avg = seen.get["n"], seen.get["avg"] or 1.0
+    asked: dict[str, tuple[list[int], list[float]]] = {}
+    for q, (_, ws) in enumerate(block):
+        for w, times in Counter(ws).items():
+            if w in df:
+                at, weight = asked.setdefault(w, ([], []))
+                at.append(q)
+                weight.append(times * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)))
+    held = spark.sparkContext.broadcast(({w: (np.array(at), np.array(weight)) for w, (at, weight) in asked.items()}, [q for q, _ in block]))
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, names = held.value
+        best: dict[int, list[tuple]] = {}
+        for frame in frames:
+            scores = np.zeros((len(frame), len(names)))
+            for row, (size, ws) in enumerate(zip(frame["len"], frame["held"])):
+                norm = K1 * (1 - B + B * size / avg)
+                for w, tf in Counter(ws).items():
+                    at, weight = table[w]
+                    scores[row, at] += weight * (tf * (K1 + 1) / (tf + norm))
+            scores = np.round(scores, 6)
+            ids = list(frame["id"])
+            for q in np.flatnonzero(scores.any(axis=0)):
+                column = scores[:, q]
+                rows = np.flatnonzero(column > 0)
+                if len(rows) > k:  # all that are as good as the k-th
+                    rows = rows[column[rows] >= -np.partition(-column[rows], k - 1)[k - 1]]
+                best[q] = sorted(best.get(q, []) + [(-column[r], ids[r]) for r in rows])[:k]
+        out = [(names[q], i, -s) for q, found in best.items() for s, i in found]
+        yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    return kept.mapInPandas(run, schema)
 
 
 def index_stats(entries: DataFrame, section: str) -> DataFrame:

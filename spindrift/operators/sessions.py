@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.text import canonical_json
+from spindrift.runtime import hub_join
 
 #: Sequence numbers in a block.
 BLOCK = 1024
@@ -136,14 +137,23 @@ def turns(events: DataFrame) -> DataFrame:
     return log(events, "type", "query", "text", "question", "result", "args", "name").select("session_id", "seq", role.alias("role"), content.alias("content"), "name").filter("role is not null")
 
 
+def _less(rows: DataFrame, last: DataFrame, by: str) -> DataFrame:
+    """(session_id, by, k): how many rows of each session have each value, without its last rows. Counts are taken off each other, so that no row meets its session in a join."""
+    every = rows.filter(F.col(by).isNotNull()).groupBy("session_id", by).agg(F.count("*").alias("k"))
+    off = last.filter(F.col(by).isNotNull()).groupBy("session_id", by).agg((-F.count("*")).alias("k"))
+    return every.unionByName(off).groupBy("session_id", by).agg(F.sum("k").alias("k")).filter("k > 0")
+
+
+def _named(counts: DataFrame, by: str, name: str) -> DataFrame:
+    return counts.groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", by, "k"))), ",").alias(name))
+
+
 def history_digest(events: DataFrame, keep: int = 3) -> DataFrame:
     """What compaction leaves of each history: a line on all but the last `keep` turns, with role and tool counts sorted by name."""
     t = turns(events)
     total = t.groupBy("session_id").agg(F.count("*").alias("n"))
-    recent = t.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))).filter(F.col("_r") <= keep).groupBy("session_id").agg(F.min("seq").alias("from_seq"))
-    older = t.join(recent, "session_id").filter("seq < from_seq")
-    roles = older.groupBy("session_id", "role").agg(F.count("*").alias("k")).groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "role", "k"))), ",").alias("roles"))
-    tools = older.filter("name is not null").groupBy("session_id", "name").agg(F.count("*").alias("k")).groupBy("session_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "name", "k"))), ",").alias("tools"))
+    last = last_rows(t.select("session_id", "seq", "role", "name"), keep)
+    roles, tools = _named(_less(t, last, "role"), "role", "roles"), _named(_less(t, last, "name"), "name", "tools")
     joined = total.filter(F.col("n") > keep).join(roles, "session_id").join(tools, "session_id", "left")
     line = F.concat_ws(" | ", F.format_string("compacted %d prior turn(s)", F.col("n") - keep), F.concat(F.lit("roles="), "roles"), F.concat(F.lit("tools="), "tools"))
     return joined.select("session_id", (F.col("n") - keep).alias("compacted"), line.alias("digest"))
@@ -165,7 +175,7 @@ def fork(events: DataFrame, at_round: int, suffix: str) -> DataFrame:
     rows = with_rounds(events, "type")
     if at_round >= 0:
         have = rows.groupBy("session_id").agg(F.max("round").alias("rounds")).filter(F.col("rounds") >= at_round).select("session_id")
-        rows = rows.join(have, "session_id", "left_semi").filter(F.col("round") < at_round)
+        rows = hub_join(rows.filter(F.col("round") < at_round), have, "session_id")
     return rows.select(F.concat("session_id", F.lit(suffix)).alias("session_id"), F.col("session_id").alias("parent_id"), "seq", "type", "round")
 
 

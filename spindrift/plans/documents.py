@@ -137,9 +137,9 @@ r AS (SELECT query_id, id, round(sum(qn * ln(1 + (n - df + 0.5::DOUBLE) / (df +
       FROM p JOIN q USING (term) JOIN f USING (term) JOIN l USING (id), s GROUP BY 1, 2)
 SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r) WHERE rank <= 3""")
 def bm25_all_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Every case's question against all documents, through postings."""
+    """Every case's question against all documents."""
     asked = table(spark, d, "eval_cases").select(F.col("case_id").alias("query_id"), "query")
-    return search.bm25_batch(search.build_index(entries(spark, d)), asked, 3)
+    return search.bm25_batch(entries(spark, d), asked, 3)
 
 
 def _grep_sql(test: str) -> str:
@@ -374,20 +374,26 @@ def source_hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "loaded_documents").select("load_id", ingestion.source_hash(F.col("raw")).alias("source_hash"), ingestion.cache_key(F.col("raw"), "1", "extract sections").alias("cache_key"))
 
 
-@query("""WITH k AS (SELECT load_id, source, sha256(raw) AS cache_key FROM loaded_documents)
-SELECT load_id FROM k WHERE NOT EXISTS (SELECT 1 FROM k m WHERE m.load_id < 150 AND m.source = k.source AND m.cache_key = k.cache_key)""")
+def _first_half(rows: DataFrame, time: str) -> DataFrame:
+    """The rows of the first half of the time that the table covers."""
+    middle = rows.agg(((F.unix_micros(F.min(time)) + F.unix_micros(F.max(time))) / 2).alias("_middle"))
+    return rows.join(F.broadcast(middle), F.unix_micros(time) < F.col("_middle")).drop("_middle")  # one row
+
+
+@query("""WITH k AS (SELECT load_id, source, sha256(raw) AS cache_key, epoch_us(fetched_at) AS t FROM loaded_documents), m AS (SELECT (min(t) + max(t)) / 2 AS middle FROM k)
+SELECT load_id FROM k WHERE NOT EXISTS (SELECT 1 FROM k old, m WHERE old.t < m.middle AND old.source = k.source AND old.cache_key = k.cache_key)""")
 def idempotent_skip(spark: SparkSession, d: str) -> DataFrame:
-    """Loads left to do, after those before number 150 have been compiled."""
-    k = table(spark, d, "loaded_documents").select("load_id", "source", ingestion.source_hash(F.col("raw")).alias("cache_key"))
-    return ingestion.not_yet_extracted(k, k.filter("load_id < 150"), ["source"]).select("load_id")
+    """Loads left to do, when those of the first half of the time have been compiled."""
+    k = table(spark, d, "loaded_documents").select("load_id", "source", ingestion.source_hash(F.col("raw")).alias("cache_key"), "fetched_at")
+    return ingestion.not_yet_extracted(k, _first_half(k, "fetched_at"), ["source"]).select("load_id")
 
 
-@query("""WITH c AS (SELECT doc_id, sha256(text || chr(0) || 'map prompt' || chr(0) || 'v1') AS key FROM documents WHERE text IS NOT NULL)
-SELECT c.doc_id, c.key, EXISTS (SELECT 1 FROM c m WHERE m.doc_id % 3 = 0 AND m.key = c.key) AS hit FROM c""")
+@query("""WITH c AS (SELECT doc_id, sha256(text || chr(0) || 'map prompt' || chr(0) || 'v1') AS key, epoch_us(written_at) AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT (min(t) + max(t)) / 2 AS middle FROM c)
+SELECT c.doc_id, c.key, EXISTS (SELECT 1 FROM c old, m WHERE old.t < m.middle AND old.key = c.key) AS hit FROM c""")
 def cache_hit_miss(spark: SparkSession, d: str) -> DataFrame:
-    """Texts against a cache that a third of them have filled; equal texts hit as well."""
-    c = table(spark, d, "documents").filter("text is not null").select("doc_id", ingestion.chunk_key(F.col("text"), "map prompt", "v1").alias("key"))
-    return ingestion.cache_probe(c, c.filter("doc_id % 3 = 0")).select("doc_id", "key", "hit")
+    """Texts against a cache that those of the first half of the time have filled; equal texts hit as well."""
+    c = table(spark, d, "documents").filter("text is not null").select("doc_id", ingestion.chunk_key(F.col("text"), "map prompt", "v1").alias("key"), "written_at")
+    return ingestion.cache_probe(c, _first_half(c, "written_at")).select("doc_id", "key", "hit")
 
 
 _SPEC = "(SELECT section, name AS spec, max_chars FROM (SELECT s.section, name, max_chars, row_number() OVER (PARTITION BY s.section ORDER BY (name = s.section) DESC, length(name) DESC) AS k FROM (SELECT DISTINCT section FROM documents WHERE section IS NOT NULL) s JOIN section_specs ON name = s.section OR (name LIKE '%*' AND starts_with(s.section, name[1:length(name) - 1]))) WHERE k = 1)"

@@ -70,8 +70,9 @@ def _remember(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) ->
         state.remove()
         return
     rounds, last, roles, notes, cited = (*state.get[:2], *map(json.loads, state.get[2:])) if state.exists else (0, -1, {}, [], [])
-    seen = set(cited)
+    seen, newest = set(cited), state.getCurrentWatermarkMs()
     for frame in frames:
+        newest = max([newest, *(int(t.timestamp() * 1000) for t in frame["ts"] if not pd.isna(t))])
         for row in sorted(frame[["seq", "type", "name", "args", "source", "locator", "value"]].itertuples(index=False), key=lambda r: r.seq):
             last = max(last, int(row.seq))
             rounds += row.type == "user_query"
@@ -83,14 +84,14 @@ def _remember(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) ->
             if row.type == "citation":
                 seen.add(hashlib.blake2b(json.dumps([row.source, row.locator, row.value]).encode(), digest_size=8).hexdigest())
     state.update((rounds, last, json.dumps(roles), json.dumps(notes), json.dumps(sorted(seen))))
-    state.setTimeoutDuration(IDLE)
+    state.setTimeoutTimestamp(newest + IDLE)
     yield pd.DataFrame([(key[0], rounds, last, sum(roles.values()), [n for n in notes if n is not None], len(seen))], columns=[c.split()[0] for c in _MEMORY_OUT.split(", ")])
 
 
-def session_memory(events: DataFrame) -> DataFrame:
-    """What each session's agent has at hand, updated with every batch: rounds, turns of its history, its newest notes and how many different citations. The state of a session that is silent for a week is let go."""
-    own = events.filter("session_id is not null and seq is not null").select("session_id", "seq", "type", "name", "args", "source", "locator", "value")
-    return own.groupBy("session_id").applyInPandasWithState(_remember, _MEMORY_OUT, _MEMORY, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def session_memory(events: DataFrame, delay: str = "1 day") -> DataFrame:
+    """What each session's agent has at hand, updated with every batch: rounds, turns of its history, its newest notes and how many different citations. The state of a session is let go when the times of the stream are a week past its last event."""
+    own = events.filter("session_id is not null and seq is not null").select("session_id", "seq", "type", "name", "args", "source", "locator", "value", "ts")
+    return own.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(_remember, _MEMORY_OUT, _MEMORY, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def citations_once(events: DataFrame, delay: str = "7 days") -> DataFrame:

@@ -136,8 +136,12 @@ def test_bm25_edges(spark):
         search.bm25(e, " ! ")
     with pytest.raises(ValueError):
         search.filtered_search(e, {"lang": []})
-    batch = search.bm25_batch(search.build_index(e), spark.createDataFrame([("q", "red red"), ("none", "absent")], "query_id string, query string"), 2).collect()
-    assert [(r.id, r.rank) for r in sorted(batch, key=lambda r: r.rank)] == [(1, 1), (5, 2)] and abs(batch[0].score - twice) < 1e-5
+    asked = spark.createDataFrame([("q", "red red"), ("none", "absent"), ("blank", " ! "), ("p", "blue")], "query_id string, query string")
+    batch = search.bm25_batch(e, asked, 2).collect()
+    assert [(r.id, r.rank) for r in sorted(batch, key=lambda r: r.rank) if r.query_id == "q"] == [(1, 1), (5, 2)] and {r.query_id for r in batch} == {"q", "p"}
+    assert abs(next(r.score for r in batch if r.query_id == "q" and r.rank == 1) - twice) < 1e-5
+    assert sorted(map(tuple, search.bm25_batch(e, asked, 2, block_queries=1).collect())) == sorted(map(tuple, batch))
+    assert search.bm25_batch(e, asked.limit(0)).count() == 0 and search.bm25_batch(e.limit(0), asked).count() == 0 and search.bm25(e.limit(0), "red").count() == 0
 
 
 @settings(max_examples=60, deadline=None)
