@@ -179,12 +179,29 @@ def composed_role(role: str, skills: tuple[Skill, ...], lead: str = "Load a skil
     return f"{role.rstrip()}\n\n{menu}" if role.strip() else menu
 
 
+# The points at which plug-ins may change what passes, and those at which they may look on.
+CHANGING = "before_tool_call after_tool_call on_final_answer".split()
+WATCHING = "on_session_start on_session_end on_event on_error".split()
+
+
 class Hooks:
-    """Plug-ins around a DataFrame: transforms are applied in order and fail loudly; observers see each result and can do no harm."""
+    """Plug-ins around a DataFrame: transforms are applied in order and fail loudly; observers see each result and can do no harm. With a name they are called at that point only."""
 
     def __init__(self) -> None:
         self.transforms: list[Callable[[DataFrame], DataFrame]] = []
         self.observers: list[Callable[[DataFrame], Any]] = []
+        self._at: dict[str, Hooks] = {}
+
+    def at(self, point: str) -> Hooks:
+        """The plug-ins of one point; changing ones only where something passes."""
+        if point not in CHANGING + WATCHING:
+            raise ValueError(f"no point {point!r}; there are {', '.join(CHANGING + WATCHING)}")
+        return self._at.setdefault(point, Hooks())
+
+    def passed(self, point: str, df: DataFrame) -> DataFrame:
+        """What comes out at a point; where plug-ins only look on, what went in."""
+        out = self.at(point).apply(df)
+        return out if point in CHANGING else df
 
     def apply(self, df: DataFrame) -> DataFrame:
         for f in self.transforms:

@@ -47,6 +47,14 @@ def citations(events: DataFrame) -> DataFrame:
     return rows.groupBy("session_id", "cite", "value").agg(F.min("seq").alias("seq"), F.count("*").alias("times"))
 
 
+def registered(events: DataFrame) -> DataFrame:
+    """(session_id, seq, source, locator, value, cite) of the citations that agents registered by a call, of equal ones of a session the first."""
+    calls = log(events, "type", "name", "args").filter("type = 'tool_call' and name = 'register_citation'")
+    rows = calls.select("session_id", "seq", *(F.get_json_object("args", f"$.{c}").alias(c) for c in ("source", "locator", "value"))).withColumn("cite", citation_id(F.col("source"), F.col("locator")))
+    first = rows.groupBy("session_id", "cite", "value").agg(F.min(F.struct("seq", "source", "locator")).alias("f"))
+    return first.select("session_id", "f.seq", "f.source", "f.locator", "value", "cite")
+
+
 def call_keys(events: DataFrame) -> DataFrame:
     """Each tool call with the canonical JSON of its arguments: calls with equal name and arguments have equal keys."""
     return log(events, "type", "name", "args").filter("type = 'tool_call'").select("session_id", "seq", "name", canonical_json(F.col("args")).alias("args_key"))

@@ -40,6 +40,14 @@ def identity(source: Column) -> list[Column]:
     return [F.upper(pick(1)).alias("ticker"), pick(2).alias("year")]
 
 
+def identified(loads: DataFrame, identifiers: Callable[[Column], dict[str, Column]] | None = None, source_id: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Loads with `identifiers`, a map made from their source (by default ticker and year), and `source_id`, the name their dead letters go by (by default the file's name without its ending)."""
+    source = F.col("source")
+    named = identifiers(source) if identifiers else dict(zip(("ticker", "year"), identity(source)))
+    stem = source_id(source) if source_id else F.regexp_extract(F.element_at(F.split(source, "/"), -1), r"^(.[^.]*(?:\.[^.]+)*?)(?:\.[^.]*)?$", 1)
+    return loads.withColumns({"identifiers": F.create_map(*(x for k, c in named.items() for x in (F.lit(k), c))), "source_id": stem})
+
+
 def section_specs(specs: DataFrame) -> DataFrame:
     glob = F.col("name").endswith("*")
     return specs.select("name", "required", "max_chars", glob.alias("glob"), F.when(glob, F.expr("substring(name, 1, length(name) - 1)")).otherwise(F.col("name")).alias("prefix"))

@@ -6,6 +6,8 @@ over many tasks: within blocks of sequence numbers, and over the blocks' sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,6 +161,14 @@ def history_digest(events: DataFrame, keep: int = 3) -> DataFrame:
     return joined.select("session_id", (F.col("n") - keep).alias("compacted"), line.alias("digest"))
 
 
+def compacted(events: DataFrame, keep: int = 3, summariser: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(session_id, seq, role, content): the last `keep` turns of each history, and before them, as turn -1 by `digest`, what the summariser (turns to session_id, digest) leaves of the others; histories as short as that have none."""
+    t = turns(events)
+    recent = last_rows(t, keep).select("session_id", "seq", "role", "content")
+    digest = (summariser(t) if summariser else history_digest(events, keep)).select("session_id", F.lit(-1).alias("seq"), F.lit("digest").alias("role"), F.col("digest").alias("content"))
+    return recent.unionByName(digest)
+
+
 def context_pressure(events: DataFrame, budget: int, tiers: tuple[float, float, float] = (0.8, 0.9, 0.95)) -> DataFrame:
     """Running size of each history (a token is taken for four characters), as a share of the budget, and the tier of compaction it calls for; what compaction would free is not fed back."""
     if not 0 < tiers[0] < tiers[1] < tiers[2] < 1:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindrift.operators.files import FS_GREP_CAP, FS_TEXT, escapes, ignored, matching_lines, suffix
+from spindrift.operators.files import FS_GREP_CAP, FS_TEXT, LIST_CAP, escapes, ignored, listed, matching_lines, suffix
 
 
 def entities(paths: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -99,3 +99,12 @@ def fs_grep(roots: dict[str, DataFrame], needle: str, path: str | None = None, e
     first = hits.orderBy("at.rank", "at.path", "line_no").limit(cap)
     every = Window.partitionBy(F.lit(1))  # of at most `cap` rows
     return first.select(F.col("at.shown").alias("path"), "line_no", "line", (F.count("*").over(every) >= cap).alias("truncated"))
+
+
+def fs_ls(roots: dict[str, DataFrame], path: str | None = None) -> DataFrame:
+    """What lies right below a folder of the tree: name, type and size. Without a path the roots themselves, or what lies in a nameless one."""
+    if path is None and "" not in roots:
+        spark = next(iter(roots.values())).sparkSession
+        return spark.createDataFrame([(name, "dir", None) for name in sorted(roots)][:LIST_CAP], "name string, type string, size bigint")
+    root, rest = located(roots, path) if path else ("", "")
+    return listed(roots[root].select("path", "size"), "" if rest in ("", ".") else rest)

@@ -108,6 +108,12 @@ def history_digest(spark: SparkSession, d: str) -> DataFrame:
     return sessions.history_digest(_events(spark, d))
 
 
+@query("SELECT session_id, seq, role FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS k FROM turns) WHERE k <= 3 UNION ALL SELECT session_id, -1, 'digest' FROM turns GROUP BY session_id HAVING count(*) > 3")
+def compacted_histories(spark: SparkSession, d: str) -> DataFrame:
+    """Histories with a digest in the place of all but their last turns."""
+    return sessions.compacted(_events(spark, d)).select("session_id", "seq", "role")
+
+
 @query("""WITH u AS (SELECT session_id, seq, sum(ceil(length(content) / 4))  OVER (PARTITION BY session_id ORDER BY seq) AS used FROM turns)
 SELECT session_id, seq, used::BIGINT AS used, round(used / 4000, 6) AS pressure, (CASE WHEN used / 4000 >= 0.95 THEN 3 WHEN used / 4000 >= 0.9 THEN 2 WHEN used / 4000 >= 0.8 THEN 1 ELSE 0 END)::INT AS tier FROM u""")
 def context_pressure_tiers(spark: SparkSession, d: str) -> DataFrame:
@@ -213,10 +219,11 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy(F.coalesce("type", F.lit("none")).alias("type"), known.alias("known")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT session_id, seq, 'event: ' || type || E'\\ndata: {\"seq\":' || seq || ',\"type\":\"' || type || '\"}' AS frame FROM log WHERE type IS NOT NULL")
+@query("""SELECT session_id, seq, 'event: ' || type || E'\\ndata: {"type":"' || type || '","seq":' || seq || ',"session_id":"' || session_id || '"' || CASE WHEN turn IS NULL THEN '' ELSE ',"turn":' || turn END || CASE WHEN name IS NULL THEN '' ELSE ',"name":"' || name || '"' END || CASE WHEN call_id IS NULL THEN '' ELSE ',"call_id":"' || call_id || '"' END
+  || CASE WHEN truncated IS NULL THEN '' ELSE ',"truncated":' || truncated END || CASE WHEN level IS NULL THEN '' ELSE ',"level":' || level END || '}' AS frame FROM log WHERE type IS NOT NULL""")
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
-    data = F.to_json(F.struct("seq", "type"))
-    return sessions.log(_events(spark, d)).filter("type is not null").select("session_id", "seq", F.concat(F.lit("event: "), "type", F.lit("\ndata: "), data).alias("frame"))
+    """The log as a server sends it, here with the fields that need no escapes."""
+    return readers.frames(sessions.log(_events(spark, d), "type", "turn", "name", "call_id", "truncated", "level"))
 
 
 @query("SELECT session_id, seq, json_extract_string(args, '$.path') AS field_path, json_extract_string(args, '$.query') AS field_query, array_to_string(list_sort(json_keys(args)), ',') AS available_keys, array_to_string(list_filter(['path', 'query', 'limit'], lambda x: NOT list_contains(json_keys(args), x)), ',') AS missing_keys FROM log WHERE type = 'tool_call'")

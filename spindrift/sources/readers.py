@@ -128,6 +128,13 @@ def event_lines(events: DataFrame) -> DataFrame:
     return events.select("session_id", "seq", F.to_json(F.struct(*known), {"ignoreNullFields": "true", "timeZone": "UTC"}).alias("line"))
 
 
+def frames(events: DataFrame) -> DataFrame:
+    """Events as a server sends them, (session_id, seq, frame): a line with the type, a line with the event. Events without a type are none."""
+    lines = event_lines(events.filter("type is not null"))
+    kind = F.get_json_object("line", "$.type")
+    return lines.select("session_id", "seq", F.concat(F.lit("event: "), kind, F.lit("\ndata: "), "line").alias("frame"))
+
+
 _CASE_KEYS = {"id", "query", "expected_citations", "forbidden_phrases", "expected_clarification", "max_tokens", "max_seconds"}
 
 

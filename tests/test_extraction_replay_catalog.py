@@ -209,3 +209,48 @@ def test_nested_settings(tmp_path):
     for bad in ({"model": {"provider": "p"}}, {"model": {"provider": "p", "name": "n", "x": 1}}, {"tools": {"fs": {}}}, {"max_iterations": 0}, {"oracle": {"provider": "p", "model": "m", "effort": "huge"}}):
         with pytest.raises(ValueError):
             settings(bad)
+
+
+def test_listing_several_roots(spark, as_rows):
+    make = lambda *ps: spark.createDataFrame([(p, 1) for p in ps], "path string, size bigint")
+    roots = {"b": make("x.md", "s/y.md"), "a": make("z.md")}
+    from spindrift.operators import trees
+
+    assert as_rows(trees.fs_ls(roots)) == [("a", "dir", None), ("b", "dir", None)] and as_rows(trees.fs_ls(roots, "b"), "name", "type") == [("s", "dir"), ("x.md", "file")]
+    assert as_rows(trees.fs_ls(roots, "b/s"), "name") == [("y.md",)] and as_rows(trees.fs_ls({"": roots["a"]}), "name") == [("z.md",)]
+
+
+def test_compaction_registered_citations_and_identities(spark, as_rows):
+    from spindrift.operators import ingestion
+
+    rows = [{"session_id": "s", "seq": i, "type": "user_query", "query": f"q{i}"} for i in range(5)] + [{"session_id": "s", "seq": 9 + i, "type": "tool_call", "name": "register_citation", "args": '{"source": "d", "locator": {"p": 1}, "value": 5}'} for i in range(2)]
+    mine = lambda t: t.groupBy("session_id").agg(F.count("*").cast("string").alias("digest"))
+    got = as_rows(sessions.compacted(log(spark, rows), 2, mine), "seq", "content")
+    assert (-1, "7") in got and len(got) == 3
+    assert as_rows(evidence.registered(log(spark, rows)), "seq", "cite", "value") == [(9, "d#p=1", "5")]
+    loads = spark.createDataFrame([("in/ACME/2024/report.v1.html",), ("x.md",), (".env",)], "source string")
+    assert [(r.identifiers, r.source_id) for r in ingestion.identified(loads).collect()] == [({"ticker": "ACME", "year": "2024"}, "report.v1"), ({"ticker": None, "year": None}, "x"), ({"ticker": None, "year": None}, ".env")]
+
+
+def test_hooks_at_points(spark):
+    h = catalog.Hooks()
+    h.at("after_tool_call").transforms.append(lambda d: d.withColumn("x", F.lit(1)))
+    h.at("on_event").transforms.append(lambda d: d.withColumn("y", F.lit(1)))
+    assert h.passed("after_tool_call", spark.range(1)).columns == ["id", "x"] and h.passed("on_event", spark.range(1)).columns == ["id"] and h.passed("before_tool_call", spark.range(1)).columns == ["id"]
+    with pytest.raises(ValueError):
+        h.at("nowhere")
+
+
+def test_fan_out_and_appended_logs(spark, tmp_path):
+    from spindrift.sinks import writers
+
+    seen = []
+    writers.fan_out(spark.range(3), lambda d: seen.append(d.count()), lambda d: seen.append(d.count()))
+    assert seen == [3, 3]
+    with pytest.raises(ZeroDivisionError):
+        writers.fan_out(spark.range(3), lambda d: 1 / 0, lambda d: seen.append(d.count()))
+    assert len(seen) == 2
+    one = log(spark, [{"session_id": "s", "seq": 1, "type": "error"}])
+    for _ in range(2):
+        writers.append_events(one, str(tmp_path / "logs"))
+    assert spark.read.json(str(tmp_path / "logs")).count() == 2
