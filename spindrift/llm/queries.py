@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.decoding import decoded
 from spindrift.llm import contamination, conversations, language, packing, pii, splitting, truncation
-from spindrift.runtime import Workspace, spread, table
+from spindrift.runtime import Workspace, table
 
 
 def pii_records(spark: SparkSession, d: str) -> DataFrame:
     """(origin, rec_id, text) of all payloads and all questions of users."""
-    raw = spread(table(spark, d, "loaded_documents").select("load_id", "raw", "content_type")).select(F.lit("raw").alias("origin"), F.col("load_id").alias("rec_id"), decoded(F.col("raw"), F.col("content_type")).alias("text"))
+    raw = table(spark, d, "loaded_documents").select(F.lit("raw").alias("origin"), F.col("load_id").alias("rec_id"), decoded(F.col("raw"), F.col("content_type")).alias("text"))
     asked = table(spark, d, "agent_events").filter("type = 'user_query'").select(F.lit("query").alias("origin"), F.col("row_id").alias("rec_id"), F.col("query").alias("text"))
     return raw.unionByName(asked).filter("text is not null and text != ''")
 
