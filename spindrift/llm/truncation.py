@@ -160,8 +160,9 @@ def _judged(seen: DataFrame, limits: DataFrame) -> DataFrame:
     figures = counts.filter("ending = 'figure'").withColumn("label", label).join(totals, "label").filter(f"final >= {SHARE} * all").select("ending", "token")
     good = entries.unionByName(figures).withColumn("usual", F.lit(True))
     at = limits.filter("is_limit").groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("measure", "limit_at", "is_hard")).alias("limits"))  # measures are few
-    rows = seen.join(F.broadcast(good), ["ending", "token"], "left") if _few(good) else seen.join(good, ["ending", "token"], "left")
-    rows = rows.join(F.broadcast(at) if _few(at) else at, F.col("s").eqNullSafe(F.col("source")), "left")
+    ws = Workspace(seen.sparkSession, "endings")
+    rows = seen.join(_sized(good, ws), ["ending", "token"], "left")
+    rows = rows.join(_sized(at, ws), F.col("s").eqNullSafe(F.col("source")), "left")
     hard = F.coalesce(F.expr("exists(limits, x -> x.is_hard and sizes[x.measure] = x.limit_at)"), F.lit(False))
     soft = F.coalesce(F.expr("exists(limits, x -> sizes[x.measure] <= x.limit_at and sizes[x.measure] > x.limit_at - ceil(x.limit_at * 0.04))"), F.lit(False))
     whole, doubtful = F.col("ending").isin("whole", "blank"), F.col("ending").isin("list_entry", "figure")
@@ -170,9 +171,10 @@ def _judged(seen: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.withColumn("at_limit", hard).withColumn("cut", cut).select("action_id", "source", "ending", "at_limit", "cut", F.when(F.col("cut"), by).alias("by"))
 
 
-def _few(table: DataFrame, rows: int = 100_000) -> bool:
-    """Whether a table of sums has so few rows that it can be broadcast."""
-    return len(table.select(F.lit(1)).limit(rows + 1).collect()) <= rows
+def _sized(sums: DataFrame, ws: Workspace, rows: int = 100_000) -> DataFrame:
+    """A table of sums, written once, and marked for a broadcast if it has few rows."""
+    kept, _ = ws.keep(sums)
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
 
 def truncated(actions: DataFrame) -> DataFrame:
