@@ -140,8 +140,8 @@ def _answered(entries: DataFrame, block: list[tuple], k: int, queries: DataFrame
     vocabulary = sorted({w for _, ws in block for w in ws})
     if not vocabulary:
         return spark.createDataFrame([], schema)
-    words = tokens(F.col("text"))
-    own = spread(entries.select("id", "text")).select("id", F.size(words).cast("long").alias("len"), F.filter(words, lambda w: w.isin(vocabulary)).alias("held"))
+    words = spread(entries.select("id", "text")).select("id", tokens(F.col("text")).alias("words"))
+    own = words.select("id", F.size("words").cast("long").alias("len"), F.filter("words", lambda w: w.isin(vocabulary)).alias("held"))
     seen = Observation()
     counted = own.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     kept, _ = Workspace(spark, "bm25").keep(counted.filter(F.size("held") > 0))
