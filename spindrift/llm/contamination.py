@@ -80,8 +80,8 @@ def _prefixes(items: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def _hits(docs: DataFrame, prefixes: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, no) of the items of one block that a document holds, each once."""
     index: dict[str, dict[int, dict[str, int]]] = defaultdict(lambda: defaultdict(dict))
-    for r in prefixes.toLocalIterator():  # of one block
-        index[r.word][r.off][r.item] = r.no
+    for no, item, word, off in prefixes.toPandas().itertuples(index=False, name=None):  # of one block
+        index[word][off][item] = no
     held = docs.sparkSession.sparkContext.broadcast({w: dict(t) for w, t in index.items()})
     kind = docs.schema[doc_id].dataType.simpleString()
 
