@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from spindrift.runtime import Workspace
 
-#: Sequence numbers in a block. As they are of 32 bits, no session has more than 2 ** 32 / BLOCK blocks.
+#: Sequence numbers in a block. As they are of 32 bits, no session has more than 2 ** 32 / BLOCK blocks, whatever the block's size no more than 2 ** 32.
 BLOCK = 512
+MAX_JUMPS = 33
 ROLES = {"user_query": "user", "clarification": "assistant", "final_answer": "assistant"}
 #: What a repeated row must agree in.
 SAID = ("type", "turn", "query", "question", "text")
@@ -90,8 +91,8 @@ def _linked(blocks: DataFrame) -> DataFrame:
 def jumped(blocks: DataFrame, ws: Workspace) -> DataFrame:
     """The blocks (session_id, block, up and their sums) with what all blocks before them add up to: messages before, greatest turn, whether a user spoke, last mark; and whether their pointers end at an `orphan`, whose parent is not there, or never (`cyclic`).
 
-    Pointers double their reach every round, so that after as many rounds as the number of blocks has binary digits only
-    those on or below a cycle are open.
+    Pointers double their reach every round, so that after MAX_JUMPS rounds, more than a session's blocks need, only those
+    on or below a cycle are open.
     """
     state = blocks.select("session_id", "block", "up", F.lit(0).cast("long").alias("n_before"), F.lit(None).cast("int").alias("turn_before"), F.lit(False).alias("user_before"), F.lit(None).cast("string").alias("mark_before"))
     own = blocks.select("session_id", F.col("block").alias("up"), F.col("n").alias("n0"), F.col("turn_max").alias("t0"), F.col("user").alias("u0"), F.col("last_mark").alias("m0"))
@@ -100,8 +101,7 @@ def jumped(blocks: DataFrame, ws: Workspace) -> DataFrame:
         F.col("m0").alias("mark_before"), (F.col("up").isNotNull() & F.col("n0").isNull()).alias("orphan"),
     )
     state, at = ws.keep(first)
-    rounds = state.count().bit_length() + 1
-    for _ in range(rounds):
+    for _ in range(MAX_JUMPS):
         if not state.filter("up is not null").take(1):
             break
         there = state.select("session_id", F.col("block").alias("up"), F.col("up").alias("up2"), F.col("n_before").alias("n2"), F.col("turn_before").alias("t2"), F.col("user_before").alias("u2"), F.col("mark_before").alias("m2"), F.col("orphan").alias("o2"))
